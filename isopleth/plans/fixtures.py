@@ -219,6 +219,23 @@ class Fixtures:
         joined = self.grid.attach(self.field, self.cells)
         return joined.withColumn("valid", valid_cells(["prior", "obs", "s1", "s2"], "prior", 70.0, "land"))
 
+    @cached_property
+    def coarse(self) -> DataFrame:
+        """Area-weighted block means of prior and observation on valid cells."""
+        from isopleth.operators.conserve import block_mean
+
+        return block_mean(self.valid.where("valid"), ["t"], ["prior", "obs"], self.grid, "w")
+
+    @cached_property
+    def consistency(self) -> DataFrame:
+        """Prior against observation on plain blocks, training months only."""
+        from isopleth.operators.conserve import block_mean_plain
+        from isopleth.operators.temporal import consistency
+
+        train = self.field.where(F.col("t") <= F.lit(TRAIN_END).cast("date"))
+        coarse = block_mean_plain(train, ["t"], ["obs", "prior"], self.grid)
+        return consistency(coarse, "obs", "prior", ["cy", "cx"])
+
     @cached_property
     def pred(self) -> DataFrame:
         """The corrected M4 prediction next to the masked cube."""
@@ -292,6 +309,33 @@ _VALID = """SELECT f.t, f.iy, f.ix, prior, obs, s1, s2, s3, lat, lon, w, land, g
 
 _PRED = """SELECT v.*, value FROM fx_valid v JOIN fx_model m USING (t, iy, ix) WHERE model='M4' AND variant='corrected'"""
 
+_COARSE = """SELECT t, cy, cx, sum(prior*w)/sum(w) AS prior, sum(obs*w)/sum(w) AS obs FROM fx_valid WHERE valid GROUP BY t, cy, cx"""
+
+
+def sql_corr(a: str, b: str, n: int = 3) -> str:
+    """SQL text of the guarded Pearson correlation of two columns without NULLs."""
+    return (
+        f"CASE WHEN count(*)>={n} AND stddev_pop({a})>0 AND stddev_pop({b})>0 "
+        f"THEN covar_pop({a},{b})/(stddev_pop({a})*stddev_pop({b})) END"
+    )
+
+
+def sql_rank(x: str, partition: str = "") -> str:
+    """SQL text of the average rank of ``x``."""
+    p = f"PARTITION BY {partition} " if partition else ""
+    q = f"PARTITION BY {partition}, {x}" if partition else f"PARTITION BY {x}"
+    return f"(rank() OVER ({p}ORDER BY {x}) + (count(*) OVER ({q})-1)/2.0e0)"
+
+
+_CONSISTENCY = f"""WITH c AS (SELECT t, iy//3 AS cy, ix//3 AS cx, avg(obs) AS r, avg(prior) AS k FROM fx_field
+  WHERE t <= DATE '1998-12-31' GROUP BY ALL),
+ n AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY t) AS pos FROM c),
+ b AS (SELECT cy, cx, {sql_corr("k", "r", 2)} AS corr, sqrt(avg((k-r)*(k-r)))/stddev_pop(r) AS nrmse,
+  regr_slope(k,pos)-regr_slope(r,pos) AS trend_diff FROM n GROUP BY cy, cx),
+ m AS (SELECT cy, cx, month(t) AS mo, avg(r) AS r, avg(k) AS k FROM c GROUP BY ALL),
+ a AS (SELECT cy, cx, (max(k)-min(k))/2-(max(r)-min(r))/2 AS season_amp_diff FROM m GROUP BY cy, cx)
+ SELECT * FROM b JOIN a USING (cy, cx)"""
+
 VIEWS = {
     "fx_lines": _LINES,
     "fx_field": _FIELD,
@@ -301,6 +345,8 @@ VIEWS = {
     "fx_cells": _CELLS,
     "fx_valid": _VALID,
     "fx_pred": _PRED,
+    "fx_coarse": _COARSE,
+    "fx_consistency": _CONSISTENCY,
     "fx_split": _SPLIT,
     "fx_station_raw": _STATION_RAW,
     "fx_station_qc": _STATION_QC,
