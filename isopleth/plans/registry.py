@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from isopleth.plans.fixtures import VIEWS, Fixtures
 
 MODULES = (
+    "coordinates",
     "space",
     "time_series",
 )
