@@ -17,7 +17,8 @@ def wrap_longitude(lon: Column | str) -> Column:
 
 def area_weight(lat: Column | str) -> Column:
     """cos(latitude), never negative."""
-    return F.greatest(F.lit(0.0), F.cos(F.radians(col(lat))))
+    w = F.cos(F.radians(col(lat)))
+    return F.when(w < 0, 0.0).otherwise(w)
 
 
 def cell_area_km2(lat: Column | str, dlat: float, dlon: float) -> Column:

@@ -80,7 +80,7 @@ class Grid:
 def nearest_index(value: Column | str, first: float, step: float, count: int) -> Column:
     """Index of the closest centre; a tie goes to the lower index, ends are clamped."""
     raw = F.ceil((_col(value) - F.lit(first)) / F.lit(step) - F.lit(0.5)).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(count - 1), raw))
+    return F.when(raw < 0, 0).when(raw >= count, count - 1).otherwise(raw)
 
 
 def _col(value: Column | str) -> Column:

@@ -20,6 +20,7 @@ from isopleth.plans.fixtures import VIEWS, Fixtures
 
 MODULES = (
     "coordinates",
+    "masks_scores",
     "space",
     "time_series",
 )
