@@ -6,10 +6,14 @@ zero gives NULL rather than an ANSI error.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def col(value: Column | str) -> Column:
@@ -181,12 +185,12 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return exact_quantiles(df, keys, value, {out: 0.5})
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int = 16_384) -> DataFrame:
-    """Add average ranks (ties share the mean rank) within each group of any size."""
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int = 16_384) -> DataFrame:
+    """Distinct values of each group with their average rank (ties share the mean rank)."""
     keys = list(keys)
     ties = _with_bounds(df, keys, value, bins)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
+    return (
         ties.withColumn("_below", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
         .join(_bin_offsets(ties, keys), [*keys, "_b"])
         .select(
@@ -195,16 +199,62 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, bins
             (F.col("_off") + F.col("_below") + (F.col("_c") + 1) / 2.0).alias(out),
         )
     )
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Add average ranks within each group of any size."""
+    ranks = rank_table(df, keys, value, out)
     return df.where(F.col(value).isNotNull()).join(ranks, [*keys, value])
 
 
+def ecdf(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction", bins: int = 16_384) -> DataFrame:
+    """Every present value with its position/n in sorted order; large groups are ordered by bins."""
+    keys = list(keys)
+    ties = _with_bounds(df, keys, value, bins)
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ties.withColumn("_below", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(
+        _bin_offsets(ties, keys), [*keys, "_b"]
+    )
+    first = F.col("_off") + F.col("_below") + 1
+    return placed.select(
+        *keys,
+        F.col("_v").alias(value),
+        "_n",
+        F.explode(F.sequence(first.cast("long"), (first + F.col("_c") - 1).cast("long"))).alias("_k"),
+    ).select(*keys, value, (F.col("_k") / F.col("_n")).alias(out))
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a correlation from the t distribution with n-2 degrees of freedom.
+
+    The incomplete beta integral becomes an integral of sin**(n-3) and is
+    evaluated with Gauss-Legendre nodes.
+    """
+    rho = r.to_numpy(dtype=float)
+    df = n.to_numpy(dtype=float) - 2.0
+    out = np.full(len(rho), np.nan)
+    good = np.isfinite(rho) & (df > 0)
+    nodes, node_weights = np.polynomial.legendre.leggauss(256)
+    for i in np.flatnonzero(good):
+        top = math.asin(math.sqrt(max(0.0, 1.0 - min(1.0, rho[i] ** 2))))
+        theta = 0.5 * top * (nodes + 1.0)
+        log_beta = math.lgamma(df[i] / 2) + math.lgamma(0.5) - math.lgamma((df[i] + 1) / 2)
+        with np.errstate(divide="ignore"):
+            f = np.exp((df[i] - 1) * np.log(np.sin(theta)) - log_beta)
+        out[i] = min(1.0, 2.0 * 0.5 * top * float(node_weights @ f)) if top > 0 else 0.0
+    return pd.Series(out)
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho", min_n: int = 3) -> DataFrame:
     """Average-rank correlation of two columns per group, with the joint count ``n``."""
     keys = list(keys)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).alias("_x1"), F.col(y).alias("_y1")
     )
-    ranked = average_ranks(average_ranks(both, keys, "_x1", "_rx"), keys, "_y1", "_ry")
+    ranked = both.join(rank_table(both, keys, "_x1", "_rx"), [*keys, "_x1"]).join(
+        rank_table(both, keys, "_y1", "_ry"), [*keys, "_y1"]
+    )
     return ranked.groupBy(*keys).agg(
         pearson("_rx", "_ry", min_n).alias(out), F.count("*").alias("n")
     )

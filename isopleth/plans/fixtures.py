@@ -226,6 +226,39 @@ class Fixtures:
 
         return block_mean(self.valid.where("valid"), ["t"], ["prior", "obs"], self.grid, "w")
 
+    @cached_property
+    def common(self) -> DataFrame:
+        """Valid cells at which all models have both variants."""
+        from isopleth.operators.masks import common_support
+
+        ok = self.valid.where("valid").select("t", "iy", "ix")
+        rows = self.model.join(ok, ["t", "iy", "ix"], "left_semi")
+        return common_support(rows, ["t", "iy", "ix"], ["model", "variant"], "value", 2 * len(MODELS))
+
+    @cached_property
+    def fine_eval(self) -> DataFrame:
+        """Models next to the references on the common cells."""
+        refs = self.valid.where("valid").select(
+            "t", "iy", "ix", "lat", "lon", "w", "obs", "prior", "s1", "glacier", "human", "aridity", "basin_id"
+        )
+        return self.model.join(self.common, ["t", "iy", "ix"], "left_semi").join(refs, ["t", "iy", "ix"])
+
+    @cached_property
+    def coarse_eval(self) -> DataFrame:
+        """Area-weighted block means of the models and the observation on the common cells."""
+        from isopleth.operators.conserve import block_mean
+
+        both = block_mean(self.fine_eval, ["model", "variant", "t"], ["value", "obs"], self.grid, "w")
+        return both.withColumnRenamed("obs", "ref")
+
+    @cached_property
+    def external(self) -> DataFrame:
+        """Corrected models against an external series (s1) on undisturbed cells."""
+        from isopleth.operators.masks import external_evaluation
+
+        kept = self.fine_eval.where("variant = 'corrected'").withColumn("land", F.lit(True))
+        return kept.where(external_evaluation(max_human=0.9, max_glacier=0.9)).withColumnRenamed("s1", "smap")
+
     @cached_property
     def consistency(self) -> DataFrame:
         """Prior against observation on plain blocks, training months only."""
@@ -336,6 +369,17 @@ _CONSISTENCY = f"""WITH c AS (SELECT t, iy//3 AS cy, ix//3 AS cx, avg(obs) AS r,
  a AS (SELECT cy, cx, (max(k)-min(k))/2-(max(r)-min(r))/2 AS season_amp_diff FROM m GROUP BY cy, cx)
  SELECT * FROM b JOIN a USING (cy, cx)"""
 
+_COMMON = """SELECT t, iy, ix FROM fx_model JOIN (SELECT t, iy, ix FROM fx_valid WHERE valid) USING (t, iy, ix)
+ GROUP BY t, iy, ix HAVING count(DISTINCT model||variant)=10"""
+
+_FINE_EVAL = """SELECT m.*, v.lat, v.lon, v.w, v.obs, v.prior, v.s1, v.glacier, v.human, v.aridity, v.basin_id
+ FROM fx_model m JOIN fx_common USING (t, iy, ix) JOIN fx_valid v USING (t, iy, ix)"""
+
+_COARSE_EVAL = """SELECT model, variant, t, iy//3 AS cy, ix//3 AS cx, sum(value*w)/sum(w) AS value, sum(obs*w)/sum(w) AS ref
+ FROM fx_fine_eval GROUP BY ALL"""
+
+_EXTERNAL = "SELECT *, s1 AS smap FROM fx_fine_eval WHERE variant='corrected' AND glacier<=.9e0 AND human<=.9e0"
+
 VIEWS = {
     "fx_lines": _LINES,
     "fx_field": _FIELD,
@@ -346,6 +390,10 @@ VIEWS = {
     "fx_valid": _VALID,
     "fx_pred": _PRED,
     "fx_coarse": _COARSE,
+    "fx_common": _COMMON,
+    "fx_fine_eval": _FINE_EVAL,
+    "fx_coarse_eval": _COARSE_EVAL,
+    "fx_external": _EXTERNAL,
     "fx_consistency": _CONSISTENCY,
     "fx_split": _SPLIT,
     "fx_station_raw": _STATION_RAW,

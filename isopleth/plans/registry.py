@@ -21,6 +21,7 @@ from isopleth.plans.fixtures import VIEWS, Fixtures
 MODULES = (
     "coordinates",
     "masks_scores",
+    "skill",
     "space",
     "time_series",
 )
