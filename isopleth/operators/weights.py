@@ -7,10 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isopleth.functions.stats import bounded_median, clip, exact_quantiles, mae, ratio, scalar, spearman
+from isopleth.functions.stats import (
+    bounded_median,
+    clip,
+    exact_quantiles,
+    mae,
+    pearson,
+    ratio,
+    rmse,
+    scalar,
+    spearman,
+)
 from isopleth.operators.neighbours import forward_difference
 from isopleth.operators.temporal import season_amplitude, trend_indexed
-from isopleth.functions.stats import pearson, rmse
+from isopleth.session import pinned
 
 
 def alpha_disagreement(df: DataFrame, cell: Sequence[str], a: str, b: str) -> DataFrame:
@@ -108,6 +118,7 @@ def leave_one_out(disagreements: DataFrame, sources: Sequence[str], land: DataFr
     pairs = outs.join(full, list(cell)).withColumns(
         {"part": F.coalesce("part", F.lit(0.0)), "full": F.coalesce("full", F.lit(0.0))}
     )
+    pairs = pinned(pairs)
     errors = pairs.groupBy("left_out").agg(mae("part", "full").alias("mae"))
     return errors.join(spearman(pairs, ["left_out"], "part", "full", "rho"), "left_out")
 

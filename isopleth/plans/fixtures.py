@@ -132,6 +132,38 @@ class Fixtures:
             g.cx().alias("cx"),
         )
 
+    @cached_property
+    def polygons(self) -> DataFrame:
+        """One quadrilateral per nation; upstream area from its suppliers."""
+        area = self.table("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+            F.sum(F.round(F.col("s_acctbal") * 100).cast("long")).alias("a")
+        )
+        return self.table("nation").join(area, "n_nationkey", "left").select(
+            F.col("n_nationkey").alias("poly_id"),
+            F.col("n_nationkey").alias("seq"),
+            (F.col("n_nationkey") * 10).alias("hybas_id"),
+            (F.col("n_regionkey") + 1).alias("main_id"),
+            F.coalesce("a", F.lit(0)).alias("up_area"),
+        )
+
+    @cached_property
+    def polygon_edges(self) -> DataFrame:
+        k = F.col("n_nationkey")
+        x, y = -170.0 + 14 * k, -60.0 + 30 * (k % 5)
+        corners = [(x, y), (x + 25, y + 3), (x + 22, y + 31), (x - 4, y + 27)]
+        edges = F.array(
+            *[
+                F.struct(
+                    corners[i][0].alias("x1"),
+                    corners[i][1].alias("y1"),
+                    corners[(i + 1) % 4][0].alias("x2"),
+                    corners[(i + 1) % 4][1].alias("y2"),
+                )
+                for i in range(4)
+            ]
+        )
+        return self.table("nation").select(k.alias("poly_id"), F.explode(edges).alias("e")).select("poly_id", "e.*")
+
     @cached_property
     def split(self) -> DataFrame:
         months = self.table("lineitem").select(time.month_start("l_shipdate").alias("t")).distinct()
@@ -380,6 +412,13 @@ _COARSE_EVAL = """SELECT model, variant, t, iy//3 AS cy, ix//3 AS cx, sum(value*
 
 _EXTERNAL = "SELECT *, s1 AS smap FROM fx_fine_eval WHERE variant='corrected' AND glacier<=.9e0 AND human<=.9e0"
 
+_POLYGONS = """SELECT n_nationkey AS poly_id, n_nationkey AS seq, n_nationkey*10 AS hybas_id, n_regionkey+1 AS main_id, coalesce(a,0) AS up_area
+ FROM nation LEFT JOIN (SELECT s_nationkey AS n_nationkey, CAST(sum(CAST(round(s_acctbal*100) AS BIGINT)) AS BIGINT) AS a FROM supplier GROUP BY 1) USING (n_nationkey)"""
+
+_EDGES = """WITH o AS (SELECT n_nationkey AS k, -170e0+14*n_nationkey AS x, -60e0+30*(n_nationkey%5) AS y FROM nation)
+ SELECT k AS poly_id, x AS x1, y AS y1, x+25 AS x2, y+3 AS y2 FROM o UNION ALL SELECT k, x+25, y+3, x+22, y+31 FROM o
+ UNION ALL SELECT k, x+22, y+31, x-4, y+27 FROM o UNION ALL SELECT k, x-4, y+27, x, y FROM o"""
+
 VIEWS = {
     "fx_lines": _LINES,
     "fx_field": _FIELD,
@@ -389,6 +428,8 @@ VIEWS = {
     "fx_cells": _CELLS,
     "fx_valid": _VALID,
     "fx_pred": _PRED,
+    "fx_polygons": _POLYGONS,
+    "fx_polygon_edges": _EDGES,
     "fx_coarse": _COARSE,
     "fx_common": _COMMON,
     "fx_fine_eval": _FINE_EVAL,

@@ -22,6 +22,7 @@ MODULES = (
     "coordinates",
     "masks_scores",
     "skill",
+    "joins",
     "space",
     "time_series",
 )

@@ -8,6 +8,7 @@ from isopleth.functions.stats import scalar
 from isopleth.operators import masks, temporal, weights
 from isopleth.plans.fixtures import BASE_END, BASE_START, TRAIN_END, Fixtures, sql_corr, sql_rank
 from isopleth.plans.registry import query
+from isopleth.session import pinned
 
 BLOCK = ["cy", "cx"]
 IN_BASE = "t BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
@@ -167,7 +168,7 @@ def _vectors(fx: Fixtures):
 
 
 def _disagreements(fx: Fixtures):
-    vectors = _vectors(fx)
+    vectors = pinned(_vectors(fx))
     return weights.gradient_disagreement(vectors, weights.gradient_scales(vectors, "field"), "field", "prior")
 
 
@@ -236,7 +237,7 @@ r AS (SELECT *, {sql_rank("f", "left_out")} AS rf, {sql_rank("p", "left_out")} A
 SELECT left_out, avg(abs(p-f)) AS mae, {sql_corr("rf", "rp")} AS rho, count(*) AS n FROM r GROUP BY left_out""",
 )
 def leave_one_out(fx: Fixtures):
-    return weights.leave_one_out(_disagreements(fx), ["s1", "s2", "s3"], fx.cells.where("land"), ["iy", "ix"])
+    return weights.leave_one_out(pinned(_disagreements(fx)), ["s1", "s2", "s3"], fx.cells.where("land"), ["iy", "ix"])
 
 
 STRATA_SQL = """(VALUES ('global_land'),('arid'),('humid'),('glacier_influenced'),('non_glacier'),('high_human_activity'),
