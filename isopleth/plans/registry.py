@@ -23,6 +23,8 @@ MODULES = (
     "masks_scores",
     "skill",
     "joins",
+    "filters",
+    "objective_terms",
     "space",
     "time_series",
 )
