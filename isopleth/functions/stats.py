@@ -260,27 +260,26 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho
     )
 
 
-def dense_index(df: DataFrame, unit: str, out: str = "idx", buckets: int = 4096) -> DataFrame:
-    """Distinct integer ``unit`` values with their 0-based position in sorted order.
+def dense_index(df: DataFrame, unit: str, keys: Sequence[str] = (), out: str = "idx", bins: int = 4096) -> DataFrame:
+    """Distinct integer ``unit`` values per group with their 0-based position in sorted order.
 
-    Positions come from per-bucket counts of the id range, so no single task
+    Positions come from counts per bin of the id range, so no single task
     sees all units.
     """
-    units = df.select(F.col(unit).cast("long").alias(unit)).where(F.col(unit).isNotNull()).distinct()
+    keys = list(keys)
+    units = df.select(*keys, F.col(unit).cast("long").alias(unit)).where(F.col(unit).isNotNull()).distinct()
     bounds = units.agg(F.min(unit).alias("lo"), F.max(unit).alias("hi")).select(F.struct("lo", "hi").alias("s"))
+    width = F.greatest(F.lit(1.0), (F.col("_s.hi") - F.col("_s.lo")).cast("double"))
     placed = units.withColumn("_s", scalar(bounds)).select(
+        *keys,
         unit,
-        F.floor(
-            (F.col(unit) - F.col("_s.lo")).cast("double")
-            * F.lit(float(buckets - 1))
-            / F.greatest(F.lit(1.0), (F.col("_s.hi") - F.col("_s.lo")).cast("double"))
-        ).cast("int").alias("_b"),
+        F.floor((F.col(unit) - F.col("_s.lo")).cast("double") * F.lit(float(bins - 1)) / width).cast("int").alias("_b"),
     )
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("_b").agg(F.count("*").alias("_c")).select(
-        "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).select(
+        *keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")
     )
-    inside = Window.partitionBy("_b").orderBy(unit)
-    return placed.join(offsets, "_b").select(
-        unit, (F.col("_off") + F.row_number().over(inside) - 1).cast("long").alias(out)
+    inside = Window.partitionBy(*keys, "_b").orderBy(unit)
+    return placed.join(offsets, [*keys, "_b"]).select(
+        *keys, unit, (F.col("_off") + F.row_number().over(inside) - 1).cast("long").alias(out)
     )

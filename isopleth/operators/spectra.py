@@ -2,58 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def radial_power(field: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bin centres (cycles per cell) and mean power; NaN marks masked cells.
+def radial_power(fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wavenumbers (cycles per cell) and mean power of a stack of maps; NaN marks masked cells.
 
-    The map is demeaned on its support and zero outside; power is divided by
-    map size times support.  Fewer than four cells give NaN.
+    Each map is demeaned on its support and zero outside; power is divided by
+    map size times support.  A map with fewer than four cells has NaN power
+    at the wavenumbers ``1..half`` over its shorter side.
     """
-    half = min(field.shape) // 2
-    good = np.isfinite(field)
-    count = int(good.sum())
-    if count < 4:
-        return np.arange(1, half + 1) / min(field.shape), np.full(half, np.nan)
-    centred = np.where(good, field - field[good].mean(), 0.0)
-    power = np.abs(np.fft.fft2(centred)) ** 2 / (field.size * count)
-    radius = np.hypot(np.fft.fftfreq(field.shape[0])[:, None], np.fft.fftfreq(field.shape[1])[None, :])
+    _, ny, nx = fields.shape
+    half = min(ny, nx) // 2
+    good = np.isfinite(fields)
+    count = good.sum(axis=(1, 2))
+    mean = np.where(good, fields, 0.0).sum(axis=(1, 2)) / np.maximum(count, 1)
+    centred = np.where(good, fields - mean[:, None, None], 0.0)
+    scale = (ny * nx * np.maximum(count, 1))[:, None]
+    power = (np.abs(np.fft.fft2(centred)) ** 2).reshape(len(fields), -1) / scale
+    radius = np.hypot(np.fft.fftfreq(ny)[:, None], np.fft.fftfreq(nx)[None, :]).ravel()
     edges = np.linspace(0.0, 0.5, half + 1)
-    place = np.searchsorted(edges, radius.ravel(), side="right") - 1
-    inside = place < half
-    total = np.bincount(place[inside], power.ravel()[inside], half)
-    members = np.bincount(place[inside], minlength=half)
+    member = (radius[:, None] >= edges[:-1]) & (radius[:, None] < edges[1:])
     with np.errstate(invalid="ignore", divide="ignore"):
-        return (edges[:-1] + edges[1:]) / 2, total / members
+        values = power @ member / member.sum(axis=0)
+    values[count < 4] = np.nan
+    waves = np.tile((edges[:-1] + edges[1:]) / 2, (len(fields), 1))
+    waves[count < 4] = np.arange(1, half + 1) / min(ny, nx)
+    return waves, values
 
 
 def spectrum(df: DataFrame, keys: Sequence[str], value: str, ny: int, nx: int, y0: str | None = None,
              x0: str | None = None) -> DataFrame:
-    """``wavenumber, power`` per map.  One map is one group: ``ny * nx`` cells at most."""
+    """``wavenumber, power`` per map.
+
+    A map becomes one row of at most ``ny * nx`` cells; the transforms run on
+    Arrow batches of maps.
+    """
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "wavenumber double", "power double"])
+    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "wavenumber array<double>", "power array<double>"])
+    chunk = max(1, 4_000_000 // (ny * nx))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        field = np.full((ny, nx), np.nan)
-        field[pdf["_y"].to_numpy(), pdf["_x"].to_numpy()] = pdf[value].to_numpy(dtype=float)
-        k, p = radial_power(field)
-        out = pd.DataFrame({"wavenumber": k, "power": p})
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        return out[[*keys, "wavenumber", "power"]]
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, chunk):
+                part = batch.slice(start, chunk)
+                cell, level = part.column("_cell"), part.column("_value")
+                which = np.repeat(np.arange(part.num_rows), np.diff(cell.offsets.to_numpy()))
+                fields = np.full((part.num_rows, ny * nx), np.nan)
+                fields[which, cell.flatten().to_numpy()] = level.flatten().to_numpy()
+                k, p = radial_power(fields.reshape(-1, ny, nx))
+                step = np.arange(part.num_rows + 1, dtype="int32") * k.shape[1]
+                columns = [part.column(name) for name in keys]
+                columns += [pa.ListArray.from_arrays(step, pa.array(a.ravel())) for a in (k, p)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "wavenumber", "power"])
 
     y = F.col("iy") if y0 is None else F.col("iy") - F.col(y0)
     x = F.col("ix") if x0 is None else F.col("ix") - F.col(x0)
-    local = df.where(F.col(value).isNotNull()).select(*keys, y.alias("_y"), x.alias("_x"), value)
-    out = local.groupBy(*keys).applyInPandas(one, schema)
-    return out.withColumn("power", F.nanvl("power", F.lit(None).cast("double")))
+    cells = df.where(F.col(value).isNotNull()).select(*keys, F.struct((y * nx + x).cast("int").alias("c"), F.col(value).alias("v")).alias("s"))
+    maps = cells.groupBy(*keys).agg(F.collect_list("s").alias("s")).select(
+        *keys, F.col("s.c").alias("_cell"), F.col("s.v").alias("_value")
+    )
+    both = maps.mapInArrow(transform, schema).select(*keys, F.explode(F.arrays_zip("wavenumber", "power")).alias("z"))
+    return both.select(*keys, "z.wavenumber", F.nanvl("z.power", F.lit(None).cast("double")).alias("power"))
 
 
 def summary(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:

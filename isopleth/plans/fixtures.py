@@ -20,6 +20,8 @@ MODELS = ("M0", "M1", "M2", "M3", "M4")
 TRAIN_END, VAL_END = "1998-12-31", "1999-12-31"
 BASE_START, BASE_END = "1996-01-01", "1998-12-31"
 DIVISOR = 997.123457
+MIN_PERIODS, MIN_COMMON, MAIN_COMMON = 18, 12, 16
+REPLICATES, SEED = 200, 42
 
 
 def dyadic(x: Column) -> Column:
@@ -202,6 +204,58 @@ class Fixtures:
         kept = qc_filter(self.station_raw, start="2024-01-01", end="2024-12-31").where("reason = 'kept'")
         return station_period(kept, F.col("ts").cast("date"), how="median")
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """Station eligibility, written once: the later steps all read it."""
+        from isopleth.operators.stations import eligibility
+        from isopleth.session import pinned
+
+        return pinned(eligibility(self.days, self.cells, self.grid, MIN_PERIODS))
+
+    @cached_property
+    def days(self) -> DataFrame:
+        from isopleth.session import pinned
+
+        return pinned(self.station_day)
+
+    @cached_property
+    def site_z(self) -> DataFrame:
+        from isopleth.operators.stations import standardize
+
+        return standardize(self.days, self.sites)
+
+    @cached_property
+    def grid_obs(self) -> DataFrame:
+        """Median of the standardised sites per cell and day."""
+        from isopleth.operators.stations import grid_median
+        from isopleth.session import pinned
+
+        return pinned(grid_median(pinned(self.site_z)))
+
+    @cached_property
+    def pair_rows(self) -> DataFrame:
+        """Every pair with its metrics and, if it cannot be used, the reason."""
+        from isopleth.operators import pairs
+        from isopleth.session import pinned
+
+        table = pairs.pair_table(pairs.contrasts(self.grid_obs, self.station_model, 2 * len(MODELS)))
+        return pinned(pairs.judged(table, MIN_COMMON))
+
+    @cached_property
+    def pair_metrics(self) -> DataFrame:
+        from isopleth.operators.pairs import usable
+
+        return usable(self.pair_rows, self.cells.select("iy", "ix", F.col("aridity").alias("beta")))
+
+    @cached_property
+    def block_medians(self) -> DataFrame:
+        """Corrected variant, pairs with enough common days."""
+        from isopleth.operators.pairs import block_summary
+        from isopleth.session import pinned
+
+        kept = self.pair_metrics.where(F.col("variant") == "corrected").where(F.col("n_common") >= MAIN_COMMON)
+        return pinned(block_summary(kept))
+
     @cached_property
     def station_model(self) -> DataFrame:
         """Five jackknife models of the raw measurements per cell and day."""
@@ -419,6 +473,45 @@ _EDGES = """WITH o AS (SELECT n_nationkey AS k, -170e0+14*n_nationkey AS x, -60e
  SELECT k AS poly_id, x AS x1, y AS y1, x+25 AS x2, y+3 AS y2 FROM o UNION ALL SELECT k, x+25, y+3, x+22, y+31 FROM o
  UNION ALL SELECT k, x+22, y+31, x-4, y+27 FROM o UNION ALL SELECT k, x-4, y+27, x, y FROM o"""
 
+_SITES = f"""WITH s AS (SELECT site, median(lat) AS lat, median(lon) AS lon, count(value) AS n_periods, stddev_pop(value) AS sd, avg(value) AS site_mean
+  FROM fx_station_day GROUP BY site),
+ p AS (SELECT *, greatest(0, least(11, CAST(ceil((lat+82.5e0)/15-0.5e0) AS INT))) AS iy, greatest(0, least(23, CAST(ceil((lon+172.5e0)/15-0.5e0) AS INT))) AS ix FROM s),
+ q AS (SELECT p.*, (iy//3)*8+ix//3 AS block, coalesce(c.land, false) AS land, abs(p.lat-(-82.5e0+15*iy))<=7.5e0 AND abs(p.lon-(-172.5e0+15*ix))<=7.5e0 AS inside_cell
+  FROM p LEFT JOIN (SELECT iy, ix, land FROM fx_cells) c USING (iy, ix))
+ SELECT *, n_periods>={MIN_PERIODS} AND sd>0 AND land AND inside_cell AS eligible FROM q"""
+
+_SITE_Z = """SELECT site, t, iy, ix, block, (value-site_mean)/sd AS z FROM fx_station_day d JOIN (SELECT site, iy, ix, block, site_mean, sd FROM fx_sites WHERE eligible) USING (site)"""
+
+_GRID_OBS = "SELECT block, iy, ix, t, count(*) AS n_sites, median(z) AS obs FROM fx_site_z GROUP BY block, iy, ix, t"
+
+_PAIR_ROWS = f"""WITH f AS (SELECT t, iy, ix FROM fx_station_model GROUP BY t, iy, ix HAVING count(*)=10),
+ c AS (SELECT g.* FROM fx_grid_obs g JOIN f USING (t, iy, ix)),
+ d AS (SELECT a.block, a.iy AS iy_i, a.ix AS ix_i, b.iy AS iy_j, b.ix AS ix_j, a.t, a.obs-b.obs AS obs_d FROM c a JOIN c b ON a.block=b.block AND a.t=b.t
+  AND (a.iy<b.iy OR (a.iy=b.iy AND a.ix<b.ix))),
+ l AS (SELECT d.*, x.model, x.variant, x.value-y.value AS model_d FROM d JOIN fx_station_model x ON x.t=d.t AND x.iy=iy_i AND x.ix=ix_i
+  JOIN fx_station_model y ON y.t=d.t AND y.iy=iy_j AND y.ix=ix_j AND y.model=x.model AND y.variant=x.variant),
+ r AS (SELECT *, {sql_rank("obs_d", "block, iy_i, ix_i, iy_j, ix_j, model, variant")} AS ro,
+  {sql_rank("model_d", "block, iy_i, ix_i, iy_j, ix_j, model, variant")} AS rm FROM l),
+ p AS (SELECT block, iy_i, ix_i, iy_j, ix_j, model, variant, count(*) AS n_common, {sql_corr("model_d", "obs_d", 1)} AS pearson_r, {sql_corr("rm", "ro", 1)} AS spearman_rho,
+  avg(CASE WHEN sign(obs_d)=sign(model_d) THEN 1e0 ELSE 0 END) AS sign_agreement, count(*) FILTER (obs_d=0) AS obs_zero, stddev_pop(obs_d) AS so, stddev_pop(model_d) AS sm,
+  string_agg(strftime(t,'%Y-%m-%d'), ';' ORDER BY t) AS common_periods FROM r GROUP BY ALL)
+ SELECT *, CASE WHEN n_common<{MIN_COMMON} THEN 'insufficient_common_months' WHEN min(least(so, sm)) OVER (PARTITION BY block, iy_i, ix_i, iy_j, ix_j)=0
+  THEN 'constant_difference_in_observation_or_model' END AS reason FROM p"""
+
+_PAIR_METRICS = """SELECT p.*, a.aridity AS beta_i, b.aridity AS beta_j, (a.aridity+b.aridity)/2 AS beta_pair FROM fx_pair_rows p
+ JOIN fx_cells a ON a.iy=iy_i AND a.ix=ix_i JOIN fx_cells b ON b.iy=iy_j AND b.ix=ix_j WHERE reason IS NULL"""
+
+_BLOCK_MEDIANS = f"""WITH k AS (SELECT * FROM fx_pair_metrics WHERE variant='corrected' AND n_common>={MAIN_COMMON}),
+ e AS (SELECT block, model, count(DISTINCT c) AS n_cells FROM (SELECT block, model, iy_i*24+ix_i AS c FROM k UNION ALL SELECT block, model, iy_j*24+ix_j FROM k) GROUP BY ALL)
+ SELECT block, model, count(*) AS n_pairs, max(n_cells) AS n_cells, median(pearson_r) AS median_pcc, median(spearman_rho) AS median_spearman,
+ median(sign_agreement) AS median_sign FROM k JOIN e USING (block, model) GROUP BY block, model"""
+
+
+def sql_draw(b: str, k: str, n: str, seed: int = SEED) -> str:
+    """SQL text of a hashed draw."""
+    return f"(CAST('0x'||substr(md5(concat_ws('|','{seed}',CAST({b} AS VARCHAR),CAST({k} AS VARCHAR))),1,12) AS BIGINT) % {n})"
+
+
 VIEWS = {
     "fx_lines": _LINES,
     "fx_field": _FIELD,
@@ -430,6 +523,12 @@ VIEWS = {
     "fx_pred": _PRED,
     "fx_polygons": _POLYGONS,
     "fx_polygon_edges": _EDGES,
+    "fx_sites": _SITES,
+    "fx_site_z": _SITE_Z,
+    "fx_grid_obs": _GRID_OBS,
+    "fx_pair_rows": _PAIR_ROWS,
+    "fx_pair_metrics": _PAIR_METRICS,
+    "fx_block_medians": _BLOCK_MEDIANS,
     "fx_coarse": _COARSE,
     "fx_common": _COMMON,
     "fx_fine_eval": _FINE_EVAL,

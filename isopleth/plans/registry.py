@@ -25,6 +25,10 @@ MODULES = (
     "joins",
     "filters",
     "objective_terms",
+    "stations",
+    "pairs",
+    "sources_provenance",
+    "baselines",
     "space",
     "time_series",
 )
