@@ -115,22 +115,23 @@ def project_blocks(df: DataFrame, keys: Sequence[str], value: str, target: DataF
     """
     w = masked_weight(F.col(weight), F.col(value), valid=F.col(valid) if valid else None)
     side = target.select(*keys, "cy", "cx", F.col(target_col).alias("_target"))
-    out = with_block(df, grid).join(side, [*keys, "cy", "cx"], "left").withColumn("_w", w)
     block = Window.partitionBy(*keys, "cy", "cx")
-
-    def mean(c: Column) -> Column:
-        total = F.sum("_w").over(block)
-        return F.when(total > eps, ratio(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("_w")).over(block), total))
-
-    out = out.withColumn("projected", F.col(value)).withColumn(
-        "error_before", F.abs(F.col("_target") - mean(F.col(value)))
+    out = with_block(df, grid).join(side, [*keys, "cy", "cx"], "left").withColumn("_w", w)
+    out = out.withColumns(
+        {
+            "projected": F.col(value),
+            "_total": F.sum("_w").over(block),
+            "_sum": F.sum(F.coalesce(F.col(value), F.lit(0.0)) * F.col("_w")).over(block),
+        }
     )
+    gap = F.col("_target") - F.when(F.col("_total") > eps, ratio(F.col("_sum"), F.col("_total")))
+    out = out.withColumns({"_gap": gap, "error_before": F.abs(gap)})
     for _ in range(passes):
-        gap = F.coalesce(F.col("_target") - mean(F.col("projected")), F.lit(0.0))
-        out = out.withColumn(
-            "projected", F.when(F.col("_w") > 0, F.col("projected") + gap).otherwise(F.col("projected"))
-        )
-    return out.withColumn("error_after", F.abs(F.col("_target") - mean(F.col("projected")))).drop("_target", "_w")
+        shifted = F.when(F.col("_w") > 0, F.col("projected") + F.coalesce("_gap", F.lit(0.0))).otherwise(F.col("projected"))
+        out = out.withColumn("projected", shifted)
+        out = out.withColumn("_sum", F.sum(F.coalesce("projected", F.lit(0.0)) * F.col("_w")).over(block))
+        out = out.withColumn("_gap", gap)
+    return out.withColumn("error_after", F.abs("_gap")).drop("_target", "_w", "_total", "_sum", "_gap")
 
 
 def blend_correct(df: DataFrame, keys: Sequence[str], value: str, target: str, grid: Grid,
@@ -140,12 +141,11 @@ def blend_correct(df: DataFrame, keys: Sequence[str], value: str, target: str, g
     The block means use the mask alone, without area weights.
     """
     block = Window.partitionBy(*keys, "cy", "cx")
-    gap = F.avg(target).over(block) - F.avg(value).over(block)
-    if cap is not None:
-        gap = clip(gap, -cap, cap)
-    return with_block(df, grid).withColumn(
+    gap = F.col("_gap") if cap is None else clip(F.col("_gap"), -cap, cap)
+    residual = with_block(df, grid).withColumn("_gap", F.avg(target).over(block) - F.avg(value).over(block))
+    return residual.withColumn(
         "corrected", F.col(value) + F.lit(blend) * F.coalesce(gap, F.lit(0.0))
-    )
+    ).drop("_gap")
 
 
 def blend_errors(df: DataFrame, keys: Sequence[str], target: str, before: str, after: str, grid: Grid) -> DataFrame:

@@ -67,11 +67,14 @@ def anomaly_zscore(df: DataFrame, cell: Sequence[str], columns: Sequence[str]) -
     for c in columns:
         ok = ok & F.col(c).isNotNull()
     over = Window.partitionBy(*cell)
-    out = df.where(ok)
-    for c in columns:
-        anom = F.col(c) - F.avg(c).over(over)
-        out = out.withColumns({f"{c}_anom": anom, f"{c}_z": ratio(anom, F.stddev_pop(c).over(over))})
-    return out
+    out = df.where(ok).withColumns(
+        {
+            **{f"{c}_anom": F.col(c) - F.avg(c).over(over) for c in columns},
+            **{f"_sd_{c}": F.stddev_pop(c).over(over) for c in columns},
+        }
+    )
+    scaled = out.withColumns({f"{c}_z": ratio(F.col(f"{c}_anom"), F.col(f"_sd_{c}")) for c in columns})
+    return scaled.drop(*[f"_sd_{c}" for c in columns])
 
 
 def external_monthly(z: DataFrame, keys: Sequence[str], a: str, b: str, n_cells: int) -> DataFrame:

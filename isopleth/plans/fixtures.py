@@ -29,6 +29,19 @@ def dyadic(x: Column) -> Column:
     return F.floor(x * F.lit(1048576.0)).cast("double") / F.lit(1048576.0)
 
 
+def jackknife(divisor: float, sign: float = 1.0) -> Column:
+    """Array of (model, value): the mean over all residues but one, from columns s0..s4 and n0..n4."""
+    members = []
+    for m in range(5):
+        rest = [i for i in range(5) if i != m]
+        total, count = F.lit(0.0), F.lit(0)
+        for i in rest:
+            total, count = total + F.col(f"s{i}"), count + F.col(f"n{i}")
+        mean = F.try_divide(F.try_divide(F.lit(sign) * total, count), F.lit(divisor))
+        members.append(F.struct(F.lit(f"M{m}").alias("model"), dyadic(mean).alias("value")))
+    return F.array(*members)
+
+
 class Fixtures:
     """Lazily built views of one scale-factor directory."""
 
@@ -75,20 +88,16 @@ class Fixtures:
     def raw_model(self) -> DataFrame:
         """Five jackknife models: model m leaves out the lines with ``l_linenumber % 5 = m``.
 
-        Sums per residue first, so the fan-out to models works on cells, not lines.
+        Sums per residue come from one aggregation per cell; the models are
+        put together from them afterwards.
         """
-        parts = (
-            self.lines.withColumn("r", (F.col("l_linenumber") % 5).cast("int"))
-            .groupBy("t", "iy", "ix", "r")
-            .agg(F.sum(F.col("price") * (1 - F.col("disc"))).alias("s"), F.count("*").alias("n"))
-        )
-        others = F.filter(F.array(*[F.lit(m) for m in range(5)]), lambda m: m != F.col("r"))
-        return (
-            parts.withColumn("m", F.explode(others))
-            .groupBy("t", "iy", "ix", "m")
-            .agg(dyadic(F.sum("s") / F.sum("n") / F.lit(DIVISOR)).alias("value"))
-            .select("t", "iy", "ix", F.concat(F.lit("M"), F.col("m")).alias("model"), "value")
-        )
+        r, net = F.col("l_linenumber") % 5, F.col("price") * (1 - F.col("disc"))
+        sums = [F.sum(F.when(r == i, net).otherwise(0.0)).alias(f"s{i}") for i in range(5)]
+        counts = [F.count_if(r == i).alias(f"n{i}") for i in range(5)]
+        parts = self.lines.groupBy("t", "iy", "ix").agg(*sums, *counts)
+        return parts.select("t", "iy", "ix", F.explode(jackknife(DIVISOR)).alias("m")).select(
+            "t", "iy", "ix", "m.model", "m.value"
+        ).where("value IS NOT NULL")
 
     @cached_property
     def model(self) -> DataFrame:
@@ -260,42 +269,26 @@ class Fixtures:
     def station_model(self) -> DataFrame:
         """Five jackknife models of the raw measurements per cell and day."""
         g = self.grid
-        u, q = F.col("user_id"), F.lit(DIVISOR / 1000)
+        u = F.col("user_id")
         lat = F.lit(-82.5) + 15 * (u % 12) + (u % 9 - 4) * 2.0
         lon = F.lit(-172.5) + 15 * (F.floor(u / 12) % 6) + (u % 7 - 3) * 2.0
-        parts = (
-            self.table("events")
-            .select(
-                F.col("ts").cast("date").alias("t"),
-                g.nearest_iy(lat).alias("iy"),
-                g.nearest_ix(lon).alias("ix"),
-                (F.col("event_id") % 5).cast("int").alias("r"),
-                "value",
-            )
-            .groupBy("t", "iy", "ix", "r")
-            .agg(F.sum("value").alias("s"), F.count("*").alias("n"))
+        r = F.col("event_id") % 5
+        cells = self.table("events").select(
+            F.col("ts").cast("date").alias("t"), g.nearest_iy(lat).alias("iy"), g.nearest_ix(lon).alias("ix"), "event_id", "value"
         )
-        others = F.filter(F.array(*[F.lit(m) for m in range(5)]), lambda m: m != F.col("r"))
-        raw = (
-            parts.withColumn("m", F.explode(others))
-            .groupBy("t", "iy", "ix", "m")
-            .agg(dyadic(-F.sum("s") / F.sum("n") / q).alias("raw"))
+        parts = cells.groupBy("t", "iy", "ix").agg(
+            *[F.sum(F.when(r == i, F.col("value")).otherwise(0.0)).alias(f"s{i}") for i in range(5)],
+            *[F.count_if(r == i).alias(f"n{i}") for i in range(5)],
+        )
+        raw = parts.select("t", "iy", "ix", F.explode(jackknife(DIVISOR / 1000, -1.0)).alias("m")).where("m.value IS NOT NULL")
+        shifted = dyadic(F.col("m.value") * 0.9 - F.col("iy") * 0.37 + F.dayofmonth("t") * 0.113)
+        both = F.array(
+            F.struct(F.lit("raw").alias("variant"), F.col("m.value").alias("value")),
+            F.struct(F.lit("corrected").alias("variant"), shifted.alias("value")),
+        )
+        return raw.select("t", "iy", "ix", "m.model", F.explode(both).alias("v")).select(
+            "t", "iy", "ix", "model", "v.variant", "v.value"
         )
-        return raw.select(
-            "t",
-            "iy",
-            "ix",
-            F.concat(F.lit("M"), F.col("m")).alias("model"),
-            F.explode(
-                F.array(
-                    F.struct(F.lit("raw").alias("variant"), F.col("raw").alias("value")),
-                    F.struct(
-                        F.lit("corrected").alias("variant"),
-                        dyadic(F.col("raw") * 0.9 - F.col("iy") * 0.37 + F.dayofmonth("t") * 0.113).alias("value"),
-                    ),
-                )
-            ).alias("v"),
-        ).select("t", "iy", "ix", "model", "v.variant", "v.value")
 
     @cached_property
     def valid(self) -> DataFrame:
