@@ -93,27 +93,30 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def _with_bounds(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """Distinct values per group with their count ``_c`` and equal-width bin ``_b``.
+def with_bins(df: DataFrame, source: DataFrame, value: str, bins: int) -> DataFrame:
+    """Add ``_b``, an integer bin of a value that never decreases with the value.
 
-    The bins depend only on the group's minimum and maximum, so a recomputed
-    task puts every value in the same bin again.
+    It joins two scales: equal widths between the overall minimum and maximum
+    of ``source``, and equal ratios of magnitude, so neither outliers nor a
+    narrow range put everything in one bin.  Both depend on exact bounds only,
+    so a recomputed task puts every value in the same bin again.
     """
+    v = F.col(value)
+    bounds = source.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(F.struct("lo", "hi").alias("s"))
+    share = F.try_divide(v - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))
+    width = F.floor(share * F.lit(bins - 1)).cast("long") * F.lit(1 << 20)
+    size = (F.signum(v) * F.floor(F.log2(F.abs(v) * 1e9 + 1.0) * 16)).cast("long")
+    # Never NULL: otherwise joins on the bin push a filter below the aggregation
+    # on one side only, and the shuffle of the counts is not shared.
+    return df.withColumn("_s", scalar(bounds)).withColumn(
+        "_b", F.coalesce(width, F.lit(0)) + F.coalesce(size, F.lit(0))
+    ).drop("_s")
+
+
+def _value_counts(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
+    """Distinct values per group with their count ``_c`` and bin ``_b``; combined before the shuffle."""
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    span = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    if keys:
-        ranged = base.join(base.groupBy(*keys).agg(*span), keys)
-    else:
-        bounds = base.agg(*span).select(F.struct("_lo", "_hi").alias("s"))
-        ranged = base.withColumn("_s", scalar(bounds)).select(
-            "_v", F.col("_s._lo").alias("_lo"), F.col("_s._hi").alias("_hi")
-        )
-    share = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return (
-        ranged.withColumn("_b", F.coalesce(F.floor(share * F.lit(bins - 1)), F.lit(0)).cast("int"))
-        .groupBy(*keys, "_b", "_v")
-        .agg(F.count("*").alias("_c"))
-    )
+    return with_bins(base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), base, "_v", bins)
 
 
 def _bin_offsets(ties: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,16 +135,16 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    bins: int = 16_384,
+    bins: int = 1024,
 ) -> DataFrame:
     """Exact linear quantiles of groups of any size, one row per group.
 
-    Values are counted per bin of the group's range (combined map-side); only
+    Distinct values are counted (combined map-side) and summed per bin; only
     the bins that hold a requested rank are then ordered.  No task sees a
     whole group, even when one group has most of the rows.
     """
     keys = list(keys)
-    ties = _with_bounds(df, keys, value, bins)
+    ties = _value_counts(df, keys, value, bins)
     ranks: list[Column] = []
     for i, p in enumerate(probs.values()):
         pos = F.lit(float(p)) * (F.col("_n") - 1)
@@ -185,10 +188,10 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return exact_quantiles(df, keys, value, {out: 0.5})
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int = 16_384) -> DataFrame:
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int = 1024) -> DataFrame:
     """Distinct values of each group with their average rank (ties share the mean rank)."""
     keys = list(keys)
-    ties = _with_bounds(df, keys, value, bins)
+    ties = _value_counts(df, keys, value, bins)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         ties.withColumn("_below", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
@@ -207,10 +210,10 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return df.where(F.col(value).isNotNull()).join(ranks, [*keys, value])
 
 
-def ecdf(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction", bins: int = 16_384) -> DataFrame:
+def ecdf(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction", bins: int = 1024) -> DataFrame:
     """Every present value with its position/n in sorted order; large groups are ordered by bins."""
     keys = list(keys)
-    ties = _with_bounds(df, keys, value, bins)
+    ties = _value_counts(df, keys, value, bins)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     placed = ties.withColumn("_below", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(
         _bin_offsets(ties, keys), [*keys, "_b"]

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isopleth.functions.stats import dense_index, exact_median, scalar, spearman
+from isopleth.functions.stats import dense_index, exact_median, scalar, spearman, with_bins
 from isopleth.operators.masks import tertile_class, tertile_edges
 from isopleth.session import pinned
 
@@ -33,12 +33,12 @@ def indexed_units(df: DataFrame, unit: str, keys: Sequence[str] = ()) -> DataFra
 
 
 def multiplicities(units: DataFrame, keys: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """How often each unit is drawn in each replicate: ``(keys, b, idx, m)``."""
+    """How often each unit is drawn in each replicate: ``(keys, replicate, idx, copies)``."""
     b = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    drawn = units.select(*keys, "n_units", F.col("idx").alias("k"), b.alias("b"))
+    drawn = units.select(*keys, "n_units", F.col("idx").alias("_k"), b.alias("replicate"))
     return drawn.select(
-        *keys, "b", hashed_draw(seed, F.col("b"), F.col("k"), F.col("n_units")).alias("idx")
-    ).groupBy(*keys, "b", "idx").agg(F.count("*").alias("m"))
+        *keys, "replicate", hashed_draw(seed, F.col("replicate"), F.col("_k"), F.col("n_units")).alias("idx")
+    ).groupBy(*keys, "replicate", "idx").agg(F.count("*").alias("copies"))
 
 
 def interval(replicates: DataFrame, keys: Sequence[str], value: str = "stat") -> DataFrame:
@@ -61,9 +61,9 @@ def cluster_statistics(values: DataFrame, series: Sequence[str], unit: str, repl
     units = indexed_units(values, drawn_by)
     draws = multiplicities(units, [], replicates, seed)
     placed = values.join(units.select(drawn_by, "idx", "n_units"), drawn_by)
-    per = placed.join(draws, "idx").groupBy(*series, "b").agg(
-        F.percentile("value", F.lit(0.5), F.col("m")).alias("median"),
-        (F.sum(F.when(F.col("value") > 0, F.col("m")).otherwise(0)) / F.sum("m")).alias("share"),
+    per = placed.join(draws, "idx").groupBy(*series, "replicate").agg(
+        F.percentile("value", F.lit(0.5), F.col("copies")).alias("median"),
+        (F.sum(F.when(F.col("value") > 0, F.col("copies")).otherwise(0)) / F.sum("copies")).alias("share"),
     )
     base = placed.groupBy(*series).agg(
         F.percentile("value", F.lit(0.5)).alias("median"),
@@ -86,44 +86,34 @@ def cluster_statistics(values: DataFrame, series: Sequence[str], unit: str, repl
 def replicate_medians(values: DataFrame, draws: DataFrame, keys: Sequence[str], bins: int = 1024) -> DataFrame:
     """Exact median of each replicate when a unit may hold very many values.
 
-    ``values``: keys, idx, value; ``draws``: keys, b, idx, m.  Counts per unit
+    ``values``: keys, idx, value; ``draws``: keys, replicate, idx, copies.  Counts per unit
     and value bin are weighted first; single values enter only for the bin
     that holds the middle of a replicate.
     """
     keys = list(keys)
-    ends = [F.min("value").alias("_lo"), F.max("value").alias("_hi")]
-    share = F.try_divide(F.col("value") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    if keys:
-        joined = values.join(values.groupBy(*keys).agg(*ends), keys)
-    else:
-        one = values.agg(*ends).select(F.struct("_lo", "_hi").alias("s"))
-        joined = values.withColumn("_r", one.scalar()).select("*", "_r._lo", "_r._hi")
-    binned = (
-        joined.withColumn("_b", F.coalesce(F.floor(share * (bins - 1)), F.lit(0)).cast("int"))
-        .groupBy(*keys, "idx", "_b", "value")
-        .agg(F.count("*").alias("c"))
-    )
-    per_unit = binned.groupBy(*keys, "idx", "_b").agg(F.sum("c").alias("c"))
-    weighted = per_unit.join(draws, [*keys, "idx"]).groupBy(*keys, "b", "_b").agg(F.sum(F.col("c") * F.col("m")).alias("w"))
-    run = Window.partitionBy(*keys, "b").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = weighted.withColumn("_end", F.sum("w").over(run)).withColumn(
-        "_n", F.sum("w").over(Window.partitionBy(*keys, "b"))
-    ).withColumn("_start", F.col("_end") - F.col("w"))
+    counts = values.groupBy(*keys, "idx", "value").agg(F.count("*").alias("_c"))
+    binned = with_bins(counts, values, "value", bins)
+    per_unit = binned.groupBy(*keys, "idx", "_b").agg(F.sum("_c").alias("_c"))
+    weighted = per_unit.join(draws, [*keys, "idx"]).groupBy(*keys, "replicate", "_b").agg(F.sum(F.col("_c") * F.col("copies")).alias("_m"))
+    run = Window.partitionBy(*keys, "replicate").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = weighted.withColumn("_end", F.sum("_m").over(run)).withColumn(
+        "_n", F.sum("_m").over(Window.partitionBy(*keys, "replicate"))
+    ).withColumn("_start", F.col("_end") - F.col("_m"))
     low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
     holds = lambda r: (F.col("_start") <= r) & (r < F.col("_end"))
-    wanted = placed.where(holds(low) | holds(high)).select(*keys, "b", "_b", "_start", low.alias("_l"), high.alias("_h"))
+    wanted = placed.where(holds(low) | holds(high)).select(*keys, "replicate", "_b", "_start", low.alias("_l"), high.alias("_h"))
     rows = (
         binned.join(wanted, [*keys, "_b"])
-        .join(draws, [*keys, "b", "idx"])
-        .groupBy(*keys, "b", "_b", "_start", "_l", "_h", "value")
-        .agg(F.sum(F.col("c") * F.col("m")).alias("w"))
+        .join(draws, [*keys, "replicate", "idx"])
+        .groupBy(*keys, "replicate", "_b", "_start", "_l", "_h", "value")
+        .agg(F.sum(F.col("_c") * F.col("copies")).alias("_m"))
     )
-    inner = Window.partitionBy(*keys, "b", "_b").orderBy("value").rowsBetween(
+    inner = Window.partitionBy(*keys, "replicate", "_b").orderBy("value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = rows.withColumn("_e", F.col("_start") + F.sum("w").over(inner)).withColumn("_s", F.col("_e") - F.col("w"))
+    ranked = rows.withColumn("_e", F.col("_start") + F.sum("_m").over(inner)).withColumn("_s", F.col("_e") - F.col("_m"))
     at = lambda r: F.max(F.when((F.col("_s") <= F.col(r)) & (F.col(r) < F.col("_e")), F.col("value")))
-    return ranked.groupBy(*keys, "b").agg(((at("_l") + at("_h")) / 2).alias("stat"))
+    return ranked.groupBy(*keys, "replicate").agg(((at("_l") + at("_h")) / 2).alias("stat"))
 
 
 def paired_blocks(df: DataFrame, keys: Sequence[str], a: str, b: str, block: str, replicates: int, seed: int) -> DataFrame:
@@ -191,8 +181,8 @@ def association(pairs: DataFrame, block: str, x: str, y: str, replicates: int, s
     units = indexed_units(rows, block)
     drawn = classed.join(units, block).join(multiplicities(units, [], replicates, seed), "idx")
     names = F.array(F.lit("low"), F.lit("middle"), F.lit("high"))
-    rho = interval(weighted_spearman(drawn, "b", x, y, "m"), []).withColumn("statistic", F.lit("spearman"))
-    medians = drawn.groupBy("tertile", "b").agg(F.percentile(y, F.lit(0.5), F.col("m")).alias("stat"))
+    rho = interval(weighted_spearman(drawn, "replicate", x, y, "copies"), []).withColumn("statistic", F.lit("spearman"))
+    medians = drawn.groupBy("tertile", "replicate").agg(F.percentile(y, F.lit(0.5), F.col("copies")).alias("stat"))
     bands = interval(medians, ["tertile"]).select(names[F.col("tertile")].alias("statistic"), "lower", "upper")
     point = spearman(rows, [], x, y, "estimate").select(F.lit("spearman").alias("statistic"), "estimate", "n")
     counts = classed.groupBy("tertile").agg(F.count("*").alias("n"))

@@ -30,31 +30,40 @@ def masked_weight(weight: Column, *values: Column, valid: Column | None = None)
     return F.when(ok, weight).otherwise(0.0)
 
 
-def block_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid, weight: str,
-               valid: str | None = None, empty: str = "null", eps: float = 1e-6) -> DataFrame:
-    """Weighted block means of several fields in one pass.
-
-    ``empty`` says what a block without weight gives: ``null`` (evaluation),
-    ``zero`` (training fields, use ``eps=1e-12``) or ``flag`` (pooling: value 0
-    and ``<name>_valid`` false).
-    """
+def block_sums(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid, weight: str,
+               valid: str | None = None) -> DataFrame:
+    """Weighted sums ``_s_<v>`` and weights ``_w_<v>`` per block, combined map-side."""
     sums: list[Column] = []
     ok = F.col(valid) if valid else None
     for v in values:
         w = masked_weight(F.col(weight), F.col(v), valid=ok)
-        sums += [
-            F.sum(F.coalesce(F.col(v), F.lit(0.0)) * w).alias(f"_s_{v}"),
-            F.sum(w).alias(f"_w_{v}"),
-        ]
-    summed = with_block(df, grid).groupBy(*keys, "cy", "cx").agg(*sums)
+        sums += [F.sum(F.coalesce(F.col(v), F.lit(0.0)) * w).alias(f"_s_{v}"), F.sum(w).alias(f"_w_{v}")]
+    return with_block(df, grid).groupBy(*keys, "cy", "cx").agg(*sums)
+
+
+def has_weight(value: str, eps: float = 1e-6) -> Column:
+    return F.col(f"_w_{value}") > eps
+
+
+def mean_of_sums(value: str, empty: str = "null", eps: float = 1e-6) -> Column:
+    """Mean from :func:`block_sums`.
+
+    A block without weight gives NULL (``null``, evaluation) or 0 (``zero``
+    for training fields with ``eps=1e-12``, ``flag`` for pooling).
+    """
+    mean = F.when(has_weight(value, eps), ratio(F.col(f"_s_{value}"), F.col(f"_w_{value}")))
+    return mean if empty == "null" else F.coalesce(mean, F.lit(0.0))
+
+
+def block_mean(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid, weight: str,
+               valid: str | None = None, empty: str = "null", eps: float = 1e-6) -> DataFrame:
+    """Weighted block means of several fields in one pass; ``flag`` adds ``<name>_valid``."""
     out: list[Column | str] = [*keys, "cy", "cx"]
     for v in values:
-        seen = F.col(f"_w_{v}") > eps
-        mean = F.when(seen, ratio(F.col(f"_s_{v}"), F.col(f"_w_{v}")))
-        out.append((mean if empty == "null" else F.coalesce(mean, F.lit(0.0))).alias(v))
+        out.append(mean_of_sums(v, empty, eps).alias(v))
         if empty == "flag":
-            out.append(seen.alias(f"{v}_valid"))
-    return summed.select(*out)
+            out.append(has_weight(v, eps).alias(f"{v}_valid"))
+    return block_sums(df, keys, values, grid, weight, valid).select(*out)
 
 
 def block_mean_plain(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,15 +11,13 @@ from isopleth.operators import skill
 from isopleth.plans.fixtures import Fixtures
 from isopleth.plans.registry import query
 from isopleth.plans.skill import TEMPORAL_SQL, _temporal
+from isopleth.session import shared_folder
 from isopleth.sources import provenance, readers, sinks
 
 
 def _folder(fx: Fixtures, name: str) -> str:
-    """A new folder for a round trip: in the shared folder the cluster names, else (tests) in scratch."""
-    shared = fx.spark.sparkContext.getCheckpointDir() or fx.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"isopleth-{name}-") + "/out"
-    return f"{shared.rstrip('/')}/isopleth-{name}-{uuid.uuid4().hex}"
+    """A new folder for a round trip."""
+    return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("src_field_table", "field:s t:d iy:i ix:i value:f", "SELECT * FROM fx_field_long")

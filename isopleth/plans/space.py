@@ -29,14 +29,16 @@ SELECT t, cy, cx, CASE WHEN d>1e-6 THEN n/d END AS evaluation, CASE WHEN d>1e-12
  CASE WHEN d>1e-6 THEN n/d ELSE 0 END AS pooled, d>1e-6 AS pooled_valid FROM s""",
 )
 def block_mean_area(fx: Fixtures):
-    def mean(name, **rule):
-        return conserve.block_mean(fx.valid.withColumn(name, F.col("obs")), ["t"], [name], fx.grid, "w", "valid", **rule)
-
-    keys = ["t", "cy", "cx"]
-    return (
-        mean("evaluation")
-        .join(mean("training", empty="zero", eps=1e-12), keys)
-        .join(mean("pooled", empty="flag"), keys)
+    """The three rules for empty blocks from one aggregation."""
+    sums = conserve.block_sums(fx.valid, ["t"], ["obs"], fx.grid, "w", "valid")
+    return sums.select(
+        "t",
+        "cy",
+        "cx",
+        conserve.mean_of_sums("obs").alias("evaluation"),
+        conserve.mean_of_sums("obs", "zero", 1e-12).alias("training"),
+        conserve.mean_of_sums("obs", "flag").alias("pooled"),
+        conserve.has_weight("obs").alias("pooled_valid"),
     )
 
 

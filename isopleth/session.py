@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,22 @@ def build(app: str = "isopleth", master: str | None = None, **extra: str) -> Spa
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset (tests), scratch."""
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="isopleth-")
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later plans read.
+    """Write a result that several later plans read, and read it back.
 
-    The files go to the shared folder the cluster names in
-    ``spark.checkpoint.dir``, so they outlive any one executor.  Only where
-    nothing is set (tests on one machine) is a scratch folder used.
+    The table lies in the shared folder, so it outlives any one executor and
+    later plans see its size and read only the columns they need.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="isopleth-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
