@@ -193,6 +193,15 @@ def nullspace(df: DataFrame, keys: Sequence[str], value: str, zone: str, weight:
     ).drop("_mean")
 
 
+def remaining_mean(df: DataFrame, keys: Sequence[str], detail: str, zone: str, weight: str,
+                   valid: str | None = None) -> DataFrame:
+    """Zones with valid cells and the largest absolute zone mean a detail field still has."""
+    means = zone_mean(df, keys, zone, [detail], weight, valid).where(F.col(detail).isNotNull())
+    return means.groupBy(*keys).agg(
+        F.count("*").alias("n_zones"), F.max(F.abs(detail)).alias("max_abs_mean")
+    )
+
+
 def decompose(df: DataFrame, keys: Sequence[str], prior: str, target: DataFrame, target_col: str, zone: str,
               weight: str, detail_valid: str) -> tuple[DataFrame, DataFrame]:
     """Zone observation plus prior detail on a complete output support.

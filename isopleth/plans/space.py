@@ -11,6 +11,7 @@ from isopleth.operators import conserve
 from isopleth.plans.fixtures import Fixtures
 from isopleth.plans.registry import query
 
+# West, east, south and north of four named boxes.
 NAMED_BOXES = {
     "Amazon": (-75.0, -50.0, -15.0, 5.0),
     "Sahara": (0.0, 30.0, 15.0, 30.0),
@@ -212,6 +213,16 @@ def nullspace(fx: Fixtures):
     return conserve.nullspace(fx.pred, ["t"], "value", "zone_id", "w", "valid")
 
 
+@query(
+    "cons_nullspace_residual",
+    "t:d n_zones:i max_abs_mean:f",
+    """SELECT t, count(DISTINCT zone_id) AS n_zones, 0 AS max_abs_mean FROM fx_pred WHERE valid GROUP BY t""",
+)
+def nullspace_residual(fx: Fixtures):
+    detail = conserve.nullspace(fx.pred, ["t"], "value", "zone_id", "w", "valid")
+    return conserve.remaining_mean(detail, ["t"], "detail", "zone_id", "w", "valid")
+
+
 DECOMPOSE = f"""WITH ztarget AS (SELECT t, zone_id, sum(obs*w)/sum(w) AS target FROM fx_pred WHERE {{out}} GROUP BY t, zone_id),
 m AS (SELECT t, zone_id, sum(value*w)/sum(w) AS mean FROM fx_pred WHERE {{out}} AND {{detail}} GROUP BY t, zone_id),
 c AS (SELECT t, iy, ix, zone_id, w, {{detail}} AS used, target AS observation,

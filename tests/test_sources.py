@@ -95,6 +95,12 @@ def test_inventory_and_equality(spark, small):
     assert [(r.k, r.v, r.note) for r in added] == [(1, 1.0, None), (2, 5.0, "n")]
 
 
+def test_expected_files(spark):
+    want = spark.createDataFrame([("a", True), ("b", False)], "path string, complete boolean")
+    row = provenance.files_as_expected(want, spark.createDataFrame([("a",), ("c",)], "path string")).first()
+    assert (row.common, row.only_left, row.only_right, row.incomplete) == (1, 1, 1, 1)
+
+
 def test_month_lookup_policy(spark):
     wanted = spark.createDataFrame([(date(2020, 1, 1),), (date(2020, 2, 1),)], "month date")
     released = spark.createDataFrame([(date(2020, 1, 1), 1, 5.0), (date(2020, 1, 1), 2, 6.0)], "month date, o int, v double")
