@@ -105,12 +105,36 @@ def _spectra(fx: Fixtures):
     return spectra.spectrum(rows, ["model", "stratum", "t"], "v", fx.grid.ny, fx.grid.nx)
 
 
-@query("spc_radial_power", "model:s stratum:s t:d wavenumber:f power:f")
+SPECTRUM_SQL = f"""{LONG_SQL},
+sg AS (SELECT model, stratum, t, iy, ix, v FROM sf JOIN (SELECT iy, ix, aridity FROM fx_cells) c USING (iy, ix) JOIN (VALUES ('global'),('arid'),('moist')) st(stratum)
+ ON stratum='global' OR (stratum='arid' AND aridity>.5e0) OR (stratum='moist' AND aridity<=.5e0)),
+zm AS (SELECT model, stratum, t, iy, ix, v-avg(v) OVER g AS z, count(*) OVER g AS n FROM sg WINDOW g AS (PARTITION BY model, stratum, t)),
+ax AS (SELECT model, stratum, t, iy, k, max(n) AS n, sum(z*cos(2*pi()*k*ix/24)) AS re, -sum(z*sin(2*pi()*k*ix/24)) AS im FROM zm, (SELECT unnest(range(0,24)) AS k)
+ GROUP BY model, stratum, t, iy, k),
+ay AS (SELECT model, stratum, t, k, u, max(n) AS n, sum(re*cos(2*pi()*u*iy/12)+im*sin(2*pi()*u*iy/12)) AS re, sum(im*cos(2*pi()*u*iy/12)-re*sin(2*pi()*u*iy/12)) AS im
+ FROM ax, (SELECT unnest(range(0,12)) AS u) GROUP BY model, stratum, t, k, u),
+pw AS (SELECT model, stratum, t, n, (re*re+im*im)/(288*n) AS p, floor(sqrt(4*(CASE WHEN u<6 THEN u ELSE u-12 END)**2+(CASE WHEN k<12 THEN k ELSE k-24 END)**2)/2) AS bin FROM ay),
+sp AS (SELECT model, stratum, t, CASE WHEN max(n)<4 THEN (bin+1)/12 ELSE (bin+.5e0)/12 END AS wavenumber, CASE WHEN max(n)>=4 THEN avg(p) END AS power
+ FROM pw WHERE bin<6 GROUP BY model, stratum, t, bin)"""
+
+
+@query(
+    "spc_radial_power",
+    "model:s stratum:s t:d wavenumber:f power:f",
+    f"WITH {SPECTRUM_SQL}\n--\nSELECT model, stratum, t, wavenumber, power FROM sp",
+)
 def radial_power(fx: Fixtures):
     return _spectra(fx)
 
 
-@query("spc_summary", "model:s stratum:s wavenumber:f q25:f q50:f q75:f")
+@query(
+    "spc_summary",
+    "model:s stratum:s wavenumber:f q25:f q50:f q75:f",
+    f"""WITH {SPECTRUM_SQL}
+--
+SELECT model, stratum, floor(wavenumber*1e9+.5e0)/1e9 AS wavenumber, quantile_cont(power,.25e0) AS q25, quantile_cont(power,.5e0) AS q50, quantile_cont(power,.75e0) AS q75
+ FROM sp GROUP BY ALL""",
+)
 def spectral_summary(fx: Fixtures):
     return spectra.summary(_spectra(fx), ["model", "stratum"])
 
