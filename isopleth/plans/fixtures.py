@@ -439,6 +439,28 @@ def sql_rank(x: str, partition: str = "") -> str:
     return f"(rank() OVER ({p}ORDER BY {x}) + (count(*) OVER ({q})-1)/2.0e0)"
 
 
+def sql_harmonics(name: str, source: str, keys: str, value: str, least: int = 24) -> str:
+    """WITH items ending in ``name`` (keys, n, trend, annual, semiannual): normal equations, then Gauss-Jordan steps."""
+    b = ["1e0", "x", "sin(2*pi()*x)", "cos(2*pi()*x)", "sin(4*pi()*x)", "cos(4*pi()*x)"]
+    rows = ", ".join("[" + ", ".join([f"sum(({p})*({q}))" for q in b] + [f"sum(({p})*y)"]) + "]" for p in b)
+    items = [
+        f"{name}_s AS (SELECT {keys}, {value} AS y, (year(t)*12+month(t)-(SELECT min(year(t)*12+month(t)) FROM {source}))/12.0e0 AS x "
+        f"FROM {source} WHERE {value} IS NOT NULL)",
+        f"{name}_0 AS (SELECT {keys}, count(*) AS n, [{rows}] AS m FROM {name}_s GROUP BY {keys})",
+    ]
+    for k in range(1, 7):
+        item = (
+            f"[CASE WHEN i={k} THEN [q/m[{k}][{k}] for q in m[{k}]] ELSE [m[i][j]-m[i][{k}]*m[{k}][j]/m[{k}][{k}] for j in range(1,8)] END for i in range(1,7)]"
+        )
+        where = f" WHERE n>={least}" if k == 1 else ""
+        items.append(f"{name}_{k} AS (SELECT {keys}, n, {item} AS m FROM {name}_{k - 1}{where})")
+    items.append(
+        f"{name} AS (SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.n, z.m[2][7] AS trend, sqrt(z.m[3][7]**2+z.m[4][7]**2) AS annual, "
+        f"sqrt(z.m[5][7]**2+z.m[6][7]**2) AS semiannual FROM {name}_0 a LEFT JOIN {name}_6 z USING ({keys}))"
+    )
+    return ",\n".join(items)
+
+
 _CONSISTENCY = f"""WITH c AS (SELECT t, iy//3 AS cy, ix//3 AS cx, avg(obs) AS r, avg(prior) AS k FROM fx_field
   WHERE t <= DATE '1998-12-31' GROUP BY ALL),
  n AS (SELECT *, row_number() OVER (PARTITION BY cy, cx ORDER BY t) AS pos FROM c),

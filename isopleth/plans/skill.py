@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isopleth.functions.stats import ecdf, exact_median, pearson, rmse, spearman
 from isopleth.operators import conserve, masks, neighbours, skill, temporal
-from isopleth.plans.fixtures import MODELS, Fixtures, sql_corr, sql_rank
+from isopleth.plans.fixtures import MODELS, Fixtures, sql_corr, sql_harmonics, sql_rank
 from isopleth.plans.registry import query
 from isopleth.session import pinned
 from isopleth.plans.time_series import ALPHA_SQL, BETA_SQL, STRATA_SQL, _alpha, _beta
@@ -50,7 +50,20 @@ def monthly_spatial(fx: Fixtures):
     return skill.monthly_skill(fx.coarse_eval, ["model", "variant"], "value", "ref")
 
 
-@query("met_coarse_full", "model:s rmse:f mae:f bias:f median_pcc:f median_nse:f trend_mae:f annual_mae:f semiannual_mae:f")
+@query(
+    "met_coarse_full",
+    "model:s rmse:f mae:f bias:f median_pcc:f median_nse:f trend_mae:f annual_mae:f semiannual_mae:f",
+    f"""WITH {TEMPORAL_SQL},
+own AS (SELECT * FROM fx_coarse_eval WHERE variant='corrected'), rf AS (SELECT * FROM own WHERE model='M0'),
+{sql_harmonics("hv", "own", "model, cy, cx", "value")},
+{sql_harmonics("hr", "rf", "cy, cx", "ref")},
+mo AS (SELECT model, avg(rmse) AS rmse, avg(mae) AS mae, avg(bias) AS bias FROM ({MONTHLY}) WHERE variant='corrected' GROUP BY model),
+ce AS (SELECT model, median(pcc) AS median_pcc, median(nse) AS median_nse FROM tm GROUP BY model),
+gp AS (SELECT v.model, avg(abs(v.trend-r.trend)) AS trend_mae, avg(abs(v.annual-r.annual)) AS annual_mae, avg(abs(v.semiannual-r.semiannual)) AS semiannual_mae
+ FROM hv v JOIN hr r USING (cy, cx) GROUP BY v.model)
+--
+SELECT * FROM mo JOIN ce USING (model) JOIN gp USING (model)""",
+)
 def coarse_full(fx: Fixtures):
     """Mean of monthly errors, medians of the cell skill, harmonic differences."""
     rows = _corrected(fx)

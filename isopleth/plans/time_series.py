@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isopleth.functions.stats import scalar
 from isopleth.operators import masks, temporal, weights
-from isopleth.plans.fixtures import BASE_END, BASE_START, TRAIN_END, Fixtures, sql_corr, sql_rank
+from isopleth.plans.fixtures import BASE_END, BASE_START, TRAIN_END, Fixtures, sql_corr, sql_harmonics, sql_rank
 from isopleth.plans.registry import query
 from isopleth.session import pinned
 
@@ -99,7 +99,11 @@ def trend_calendar(fx: Fixtures):
     return temporal.trend_calendar(fx.field, ["obs", "s3"])
 
 
-@query("agg_harmonics", "field:s iy:i ix:i n:i trend:f annual:f semiannual:f")
+@query(
+    "agg_harmonics",
+    "field:s iy:i ix:i n:i trend:f annual:f semiannual:f",
+    f"WITH {sql_harmonics('ha', 'fx_field_long', 'field, iy, ix', 'value')}\n--\nSELECT * FROM ha",
+)
 def harmonics(fx: Fixtures):
     return temporal.harmonics(fx.field_long, ["field", "iy", "ix"], "value", 24)
 
