@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from isopleth.functions.stats import exact_quantiles, scalar, spearman
@@ -195,7 +193,7 @@ def tile_admit(fx: Fixtures):
     "WHERE iy BETWEEN y0 AND y0+5 AND ix BETWEEN x0 AND x0+5 GROUP BY t, iy, ix",
 )
 def tile_stitch(fx: Fixtures):
-    rows = tiles.on_tiles(fx.pred, replace(fx.grid), SIZE, STRIDE)
+    rows = tiles.on_tiles(fx.pred, fx.grid, SIZE, STRIDE)
     per_tile = rows.withColumn("value", F.col("value") + F.col("y0") * 0.25 - F.col("x0") * 0.125)
     return tiles.stitch(per_tile, ["t"], "value", "valid")
 

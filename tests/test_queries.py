@@ -51,4 +51,4 @@ def test_equals_sql(spark, con, small_dir, name):
 
 
 def test_entry_has_rows(spark):
-    assert "model" in entry.entry(spark).columns
+    assert entry.entry(spark).count() > 0
