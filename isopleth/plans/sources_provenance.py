@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,13 +9,13 @@ from isopleth.operators import skill
 from isopleth.plans.fixtures import Fixtures
 from isopleth.plans.registry import query
 from isopleth.plans.skill import TEMPORAL_SQL, _temporal
-from isopleth.session import shared_folder
+from isopleth.session import scratch
 from isopleth.sources import provenance, readers, sinks
 
 
 def _folder(fx: Fixtures, name: str) -> str:
     """A new folder for a round trip."""
-    return f"{shared_folder(fx.spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(fx.spark, name)
 
 
 @query("src_field_table", "field:s t:d iy:i ix:i value:f", "SELECT * FROM fx_field_long")

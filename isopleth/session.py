@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.storagelevel import StorageLevel
 
 #: Settings that matter for results (time zone) or for skewed inputs (AQE).
 SETTINGS = {
@@ -16,6 +16,10 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: What :func:`pinned` and :func:`scratch` made, for :func:`release`.
+_FOLDERS: list[str] = []
+_CACHED: list[DataFrame] = []
+
 
 def build(app: str = "isopleth", master: str | None = None, **extra: str) -> SparkSession:
     """A session with :data:`SETTINGS`; the cluster manager chooses the rest."""
@@ -27,22 +31,55 @@ def build(app: str = "isopleth", master: str | None = None, **extra: str) -> Spa
     return builder.getOrCreate()
 
 
+def configured_folder(spark: SparkSession) -> str | None:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, if it names one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/") if named else None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset (tests), scratch."""
-    context = spark.sparkContext
-    named = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that all executors can reach: the configured one, else one below the warehouse.
+
+    Without a configured folder a ``file:`` warehouse is shared only if driver
+    and executors are one process; on any other master it is refused.
+    """
+    named = configured_folder(spark)
     if named is None:
-        named = tempfile.mkdtemp(prefix="isopleth-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        if (named.startswith("file:") or "://" not in named) and not local:
+            raise ValueError("executors cannot share a local folder: set spark.checkpoint.dir")
+    return named
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed by :func:`release`."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write a result that several later plans read, and read it back.
+    """A result that several later plans read, computed once.
 
-    The table lies in the shared folder, so it outlives any one executor and
-    later plans see its size and read only the columns they need.
+    With a configured shared folder it is written there and read back, so it
+    outlives any one executor and later plans see its size and read only the
+    columns they need.  Without one it is cached, and recomputed if lost.
     """
-    path = f"{shared_folder(df.sparkSession)}/pinned-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    if configured_folder(spark) is None:
+        _CACHED.append(kept := df.persist(StorageLevel.MEMORY_AND_DISK))
+        return kept
+    path = scratch(spark, "pinned")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Forget cached results and delete the folders made so far; nothing built on them works afterwards."""
+    while _CACHED:
+        _CACHED.pop().unpersist()
+    jvm = spark.sparkContext._jvm
+    while _FOLDERS:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
