@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth import session
-from isopleth.llm import chat, language, mixture, packing, quality, secrets, urls, warc
+from isopleth.llm import chat, jaccard, language, mixture, packing, quality, secrets, urls, warc
 
 #: Target shares of the mixture; names not listed weigh 1.  The hot source is a domain of its own.
 WEIGHTS = {"domain": {"crawl": 0.3, "curated": 0.7}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "source": {}}
@@ -73,6 +73,11 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.near_duplicates(docs, width=3, percent=90)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = warc.write_archives(warc.with_revisits(pages), session.scratch(spark, "warc"))
@@ -94,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_url_filters,
         op5_secret_scans,
         op6_source_mixing,
+        op7_ngram_jaccard,
         op9_warc,
         op10_best_fit_packing,
     ]
