@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth import session
-from isopleth.llm import chat, jaccard, language, mixture, packing, quality, secrets, urls, warc
+from isopleth.llm import ann, chat, jaccard, language, mixture, packing, quality, secrets, urls, warc
 
 #: Target shares of the mixture; names not listed weigh 1.  The hot source is a domain of its own.
 WEIGHTS = {"domain": {"crawl": 0.3, "curated": 0.7}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "source": {}}
@@ -78,6 +78,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs, width=3, percent=90)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose id is divisible by 100."""
+    rows = ann.vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, F.col("id") % 100 == 0, k=10)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = warc.write_archives(warc.with_revisits(pages), session.scratch(spark, "warc"))
@@ -100,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_secret_scans,
         op6_source_mixing,
         op7_ngram_jaccard,
+        op8_nearest_neighbours,
         op9_warc,
         op10_best_fit_packing,
     ]
