@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth import session
-from isopleth.llm import ann, chat, jaccard, language, mixture, packing, quality, secrets, urls, warc
+from isopleth.llm import ann, chat, jaccard, language, mixture, oracles, packing, quality, secrets, urls, warc
 
 #: Target shares of the mixture; names not listed weigh 1.  The hot source is a domain of its own.
 WEIGHTS = {"domain": {"crawl": 0.3, "curated": 0.7}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "source": {}}
@@ -114,4 +114,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Learned models, approximate search and packing have no SQL; tests compare them with brute force."""
+    return {
+        "op3_chat_formatting": oracles.chat_formatting(ODD),
+        "op5_secret_scans": oracles.secret_scans(),
+        "op6_source_mixing": oracles.source_mixing(WEIGHTS, max_epochs=4, seed=7),
+        "op7_ngram_jaccard": oracles.ngram_jaccard(3, 90),
+        "op9_warc": oracles.warc_records(),
+    }
