@@ -63,13 +63,16 @@ def fit_text_model(
     sample_rows: int = 12_000,
     min_rows: int = 5,
     smoothing: float = 0.5,
+    most_pairs: int = 2000,
 ) -> TextModel:
     """Fit on about ``sample_rows`` rows, the declared language as label.
 
     The sample is a hash share of the rows with a declared language and a
-    text, so recomputed tasks take the same rows.  Languages with fewer than
-    ``min_rows`` sampled rows are not learned.  Sums come back as one row per
-    language.  No rows give a model without languages.
+    text, so recomputed tasks take the same rows.  A text counts as a whole but
+    weighs no more than ``most_pairs`` pairs, so one long text does not make a
+    language.  Languages with fewer than ``min_rows`` sampled rows are not
+    learned.  Sums come back as one row per language.  No rows give a model
+    without languages.
     """
     known = docs.select(declared.alias("l"), text.alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
     n = known.count()
@@ -81,15 +84,15 @@ def fit_text_model(
         rows: dict[str, int] = {}
         for frame in frames:
             for lang, t in zip(frame["l"], frame["t"]):
-                held = sums.setdefault(lang, np.zeros(1 << 16, dtype=np.int64))
+                held = sums.setdefault(lang, np.zeros(1 << 16))
                 rows[lang] = rows.get(lang, 0) + 1
-                for codes in pairs_of(t):
-                    held += np.bincount(codes, minlength=1 << 16)
+                own = sum((np.bincount(codes, minlength=1 << 16) for codes in pairs_of(t)), np.zeros(1 << 16))
+                held += own * min(1.0, most_pairs / max(own.sum(), 1))
         for lang, held in sums.items():
             seen = np.flatnonzero(held)
             yield pd.DataFrame({"l": lang, "code": seen, "n": held[seen], "rows": rows[lang]})
 
-    counted = picked.mapInPandas(count, "l string, code int, n long, rows long")
+    counted = picked.mapInPandas(count, "l string, code int, n double, rows long")
     per_code = counted.groupBy("l", "code").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
     per_lang = per_code.groupBy("l").agg(F.max("rows").alias("rows"), F.collect_list(F.struct("code", "n")).alias("c"))
     rows = sorted(per_lang.where(F.col("rows") >= min_rows).collect(), key=lambda r: r["l"])
