@@ -127,9 +127,9 @@ def sum_of_squares(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     for i, s in enumerate(sizes.tolist()):
         gaps = np.flatnonzero(open_with[s:])
         if s < length and len(gaps):
-            change = open_with[gaps] - open_with[gaps + s] + 1
+            change = 2 * (open_with[gaps] - open_with[gaps + s] + 1)
             if gaps[0] == 0:  # an exact fit closes the sequence
-                change[0] = -open_with[s]
+                change[0] = 1 - 2 * open_with[s]
             gap = int(gaps[np.argmin(change)]) + s
             sequence = stacks[gap].pop()
             open_with[gap] -= 1
