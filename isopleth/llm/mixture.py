@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isopleth.llm.tables import if_small
 from isopleth.llm.text import words
 from isopleth.session import pinned
 
@@ -145,7 +146,7 @@ def mix(
         .withColumn("_part", F.col("_given") - F.col("_whole") * F.col("_tokens"))
     )
     # The share of the key range in which each partial epoch ends.
-    keyed = skinny.join(plan.where("_part > 0"), [*LEVELS]).withColumn("_order", epoch_key(seed, F.col("_whole"), F.col("_key")))
+    keyed = skinny.join(if_small(plan.where("_part > 0")), [*LEVELS]).withColumn("_order", epoch_key(seed, F.col("_whole"), F.col("_key")))
     keyed = keyed.withColumn("_b", _place(F.col("_order"), F.col("_rows"), bucket_rows))
     up_to = Window.partitionBy(*LEVELS).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
@@ -157,7 +158,7 @@ def mix(
     )
     inside = Window.partitionBy(*LEVELS).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     last = (
-        keyed.join(ends, [*LEVELS, "_b"])
+        keyed.join(if_small(pinned(ends)), [*LEVELS, "_b"])
         .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .where("_start < _part AND _start + _n >= _part")
         .groupBy(*LEVELS)
@@ -169,7 +170,7 @@ def mix(
     )
     none = F.col("_last").isNull() & (F.col("_whole") < 1)
     taken = (
-        row.join(plan, [*LEVELS])
+        row.join(if_small(plan), [*LEVELS])
         .withColumn("_o", epoch_key(seed, F.col("_whole"), F.col("_key")))
         .withColumn("_epoch", F.explode(F.when(~none, epochs)))
         .where((F.col("_epoch") <= F.col("_whole")) | (F.col("_o") <= F.col("_last._order")))

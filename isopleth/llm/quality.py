@@ -120,11 +120,13 @@ def learn(
     Rows are first counted per combination of feature intervals (``cuts``
     quantiles each), separately for growing and pruning (a third of the ids),
     and every later step is one aggregation of that table to at most
-    features x cuts rows.  A rule grows by the condition with the largest
-    information gain until it covers no other class, then drops its last
-    conditions while that improves (right - wrong) / covered on the pruning
-    rows.  Learning ends when a rule's pruning precision or support falls
-    short.  Rows without a label do not count; no labels give no rules.
+    features x features x cuts rows.  A rule is grown from the best condition
+    of each feature, by the condition with the largest information gain, until
+    it covers no other class.  Of these rules and their shorter beginnings,
+    the one that catches most on the pruning rows at ``min_precision`` or
+    better is taken, and learning ends when there is none with
+    ``min_support``.  Rows without a label do not count; no labels give no
+    rules.
     """
     names = list(columns)
     known = labelled.where(target.isNotNull()).select(
@@ -141,58 +143,70 @@ def learn(
     )
     binned = {n: F.col(n) for n in names}
 
-    def counts(rows: DataFrame) -> tuple[int, int]:
-        got = rows.agg(F.coalesce(F.sum("_p"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
-        return int(got[0]), int(got[1])
+    def holds(conditions: tuple[Condition, ...]) -> Column:
+        return reduce(lambda a, b: a & b, (c.holds(binned) for c in conditions), F.lit(True))
 
-    def best_condition(rows: DataFrame) -> tuple[Condition | None, int, int]:
-        """Over interval numbers: the condition of the largest gain, and what it covers."""
+    def extended(rows: DataFrame, starts: list[tuple[Condition, ...]]) -> dict[int, dict[str, tuple]]:
+        """For each start and feature: (gain, condition, others left) of the best condition on interval numbers."""
+        chosen = F.array_compact(F.array(*[F.when(holds(s), F.lit(i)) for i, s in enumerate(starts)]))
         pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in names]))
-        table = rows.select(pairs.alias("x"), "_p", "_n").groupBy("x.f", "x.b").agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
-        by: dict[str, dict[int, tuple[int, int]]] = {n: {} for n in names}
-        for f, b, p, n in sorted(map(tuple, table.collect())):
-            by[f][b] = (int(p), int(n))
-        all_p, all_n = (sum(v[i] for v in by[names[0]].values()) for i in (0, 1))
-        best, gain = (None, all_p, all_n), 1e-9
-        for f in names:
+        table = (
+            rows.select(F.explode(chosen).alias("s"), *names, "_p", "_n")
+            .select("s", pairs.alias("x"), "_p", "_n")
+            .groupBy("s", "x.f", "x.b")
+            .agg(F.sum("_p").alias("p"), F.sum("_n").alias("n"))
+        )
+        by: dict[tuple[int, str], dict[int, tuple[int, int]]] = {}
+        for s, f, b, p, n in sorted(map(tuple, table.collect())):
+            by.setdefault((s, f), {})[b] = (int(p), int(n))
+        out: dict[int, dict[str, tuple]] = {i: {} for i in range(len(starts))}
+        for (s, f), held in by.items():
+            all_p, all_n = (sum(v[i] for v in held.values()) for i in (0, 1))
             below_p = below_n = 0
             for b in range(len(grid[f])):
-                p, n = by[f].get(b, (0, 0))
+                p, n = held.get(b, (0, 0))
                 below_p, below_n = below_p + p, below_n + n
                 for above, q, m in ((False, below_p, below_n), (True, all_p - below_p, all_n - below_n)):
-                    if q and (g := q * (math.log2(q / (q + m)) - math.log2(all_p / (all_p + all_n)))) > gain:
-                        best, gain = (Condition(f, above, b), q, m), g
-        return best
+                    if q:
+                        gain = q * (math.log2(q / (q + m)) - math.log2(all_p / (all_p + all_n)))
+                        if gain > max(1e-9, out[s].get(f, (0.0,))[0]):
+                            out[s][f] = (gain, Condition(f, above, b), m)
+        return out
 
-    rules: list[tuple[Rule, Rule]] = []
+    rules: list[Rule] = []
     left = cells
     while len(rules) < max_rules:
         grow, hold = left.where("NOT _prune"), left.where("_prune")
-        chosen: list[Condition] = []
-        while len(chosen) < max_conditions:
-            found, p, n = best_condition(grow)
-            if found is None:
-                break
-            chosen.append(found)
-            grow = grow.where(found.holds(binned))
-            if n == 0:
-                break
-        if not chosen:
+        found = extended(grow, [()])[0]
+        grown, going = [], []
+        for _, c, others in found.values():
+            (going if others and max_conditions > 1 else grown).append((c,))
+        while going:
+            after = extended(grow, going)
+            longer = []
+            for i, start in enumerate(going):
+                if not after[i]:
+                    grown.append(start)
+                    continue
+                _, c, others = max(after[i].values(), key=lambda x: x[0])
+                (longer if others and len(start) + 1 < max_conditions else grown).append((*start, c))
+            going = longer
+        tried = sorted({r[:k] for r in grown for k in range(1, len(r) + 1)}, key=lambda r: (len(r), str(r)))
+        if not tried:
             break
-        tried = []
-        for k in range(len(chosen)):
-            hold = hold.where(chosen[k].holds(binned))
-            p, n = counts(hold)
-            tried.append(((p - n) / (p + n) if p + n else -1.0, -k, p, n))
-        _, k, p, n = max(tried)
-        if p + n < min_support or p / (p + n) < min_precision:
+        sums = [F.sum(F.when(holds(r), F.col(c)).otherwise(0)) for r in tried for c in ("_p", "_n")]
+        got = [int(x or 0) for x in hold.agg(*sums).first()]
+        best = None
+        for r, p, n in zip(tried, got[::2], got[1::2]):
+            if p + n >= min_support and p / (p + n) >= min_precision and (best is None or p > best[1]):
+                best = (r, p, n)
+        if best is None:
             break
-        kept = tuple(chosen[: 1 - k])
-        by_bin = Rule(kept, p / (p + n), p + n)
-        by_value = Rule(tuple(Condition(c.feature, c.above, float(grid[c.feature][int(c.cut)])) for c in kept), by_bin.precision, by_bin.support)
-        rules.append((by_bin, by_value))
-        left = left.where(~by_bin.holds(binned))
-    return [r for _, r in rules]
+        taken, p, n = best
+        by_value = tuple(Condition(c.feature, c.above, float(grid[c.feature][int(c.cut)])) for c in taken)
+        rules.append(Rule(by_value, p / (p + n), p + n))
+        left = left.where(~holds(taken))
+    return rules
 
 
 def quality(

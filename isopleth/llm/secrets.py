@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isopleth.llm.text import let, text_or_empty
+from isopleth.session import pinned
 
 try:
     from re import _constants as sre
@@ -216,7 +217,8 @@ def scan(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = BASE +
     named = F.array().cast("array<string>")
     if queries:
         grams = sorted({g for q in queries.values() for clause in q for alt in clause for g in alt})
-        row = row.join(candidates(postings(docs, text, grams), queries), "_h", "left")
+        # Written, so that the join sees its true size and may split a text that very many rows share.
+        row = row.join(pinned(candidates(postings(docs, text, grams), queries)), "_h", "left")
         named = F.coalesce(F.col("_kinds"), named)
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     parts = []

@@ -214,11 +214,12 @@ def parse(raw: bytes) -> tuple[str | None, str | None, str, str | None, str, byt
     return _key(fields["WARC-Record-ID"]), url and unquote(url), kind, refers and _key(refers), stated, payload
 
 
-def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
+def read_archives(files: DataFrame, split_bytes: int = 8 << 20, most_tasks: int = 50_000) -> DataFrame:
     """Records of the archives in ``file, bytes``: id, url, record_type, refers_to, payload_digest, payload.
 
-    Ranges are dealt to tasks by a shuffle of their numbers only.  A revisit's
-    payload is null.  A digest that differs from its header is an error.
+    Ranges are dealt to tasks by a shuffle of their numbers only, one task for
+    each up to ``most_tasks``.  A revisit's payload is null.  A digest that
+    differs from its header is an error.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -239,7 +240,9 @@ def read_archives(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                 yield pd.DataFrame(rows, columns=names)
 
     ranges = splits(files, split_bytes)
-    return ranges.repartition(F.col("file"), F.col("start")).mapInPandas(read, RECORDS)
+    # A number of its own, since the few bytes of these rows say nothing about the work behind them.
+    tasks = max(1, min(ranges.count(), most_tasks))
+    return ranges.repartition(tasks, F.col("file"), F.col("start")).mapInPandas(read, RECORDS)
 
 
 def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
@@ -248,13 +251,14 @@ def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     Sizes of targets are aggregated first, so repeated records do not multiply
     revisits and a target of very many revisits is one row of the smaller side.
     """
-    rows = records.select(
+    # Written, so that the archives are read once and joins see real sizes.
+    rows = pinned(records.select(
         F.col("id").cast(id_type).alias("page_id"),
         F.octet_length("payload").cast("long").alias("own"),
         "payload_digest",
         "record_type",
         F.col("refers_to").cast(id_type).alias("refers_to"),
-    )
+    ))
     targets = (
         rows.where("record_type = 'response' AND page_id IS NOT NULL")
         .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
