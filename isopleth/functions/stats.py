@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from isopleth.session import pinned
+
 
 def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -93,30 +95,22 @@ def scalar(df: DataFrame) -> Column:
     return df.scalar()
 
 
-def with_bins(df: DataFrame, source: DataFrame, value: str, bins: int) -> DataFrame:
-    """Add ``_b``, an integer bin of a value that never decreases with the value.
+def in_ranges(df: DataFrame, order: Sequence[str], bins: int | None = None) -> DataFrame:
+    """The rows with ``_b``, a number that never decreases in the given order.
 
-    It joins two scales: equal widths between the overall minimum and maximum
-    of ``source``, and equal ratios of magnitude, so neither outliers nor a
-    narrow range put everything in one bin.  Both depend on exact bounds only,
-    so a recomputed task puts every value in the same bin again.
+    Rows are range-partitioned, so a range holds about as many rows as any
+    other whatever scales the values have, and ``_b`` is the partition.  The
+    result is written (or cached), so every later use sees the same ranges.
     """
-    v = F.col(value)
-    bounds = source.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).select(F.struct("lo", "hi").alias("s"))
-    share = F.try_divide(v - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))
-    width = F.floor(share * F.lit(bins - 1)).cast("long") * F.lit(1 << 20)
-    size = (F.signum(v) * F.floor(F.log2(F.abs(v) * 1e9 + 1.0) * 16)).cast("long")
-    # Never NULL: otherwise joins on the bin push a filter below the aggregation
-    # on one side only, and the shuffle of the counts is not shared.
-    return df.withColumn("_s", scalar(bounds)).withColumn(
-        "_b", F.coalesce(width, F.lit(0)) + F.coalesce(size, F.lit(0))
-    ).drop("_s")
-
-
-def _value_counts(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
-    """Distinct values per group with their count ``_c`` and bin ``_b``; combined before the shuffle."""
+    cols = [F.col(c) for c in order]
+    dealt = df.repartitionByRange(bins, *cols) if bins else df.repartitionByRange(*cols)
+    return pinned(dealt.withColumn("_b", F.spark_partition_id()))
+
+
+def _value_counts(df: DataFrame, keys: list[str], value: str, bins: int | None) -> DataFrame:
+    """Distinct values per group with their count ``_c`` and range ``_b``; combined before the shuffle."""
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    return with_bins(base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), base, "_v", bins)
+    return in_ranges(base.groupBy(*keys, "_v").agg(F.count("*").alias("_c")), [*keys, "_v"], bins)
 
 
 def _bin_offsets(ties: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,13 +129,14 @@ def exact_quantiles(
     keys: Sequence[str],
     value: str,
     probs: Mapping[str, float],
-    bins: int = 1024,
+    bins: int | None = None,
 ) -> DataFrame:
     """Exact linear quantiles of groups of any size, one row per group.
 
-    Distinct values are counted (combined map-side) and summed per bin; only
-    the bins that hold a requested rank are then ordered.  No task sees a
-    whole group, even when one group has most of the rows.
+    Distinct values are counted (combined map-side), dealt to ranges of equal
+    numbers of rows and summed per range; only the ranges that hold a requested
+    rank are then ordered.  No task orders more than one range, even when one
+    group has most of the rows.
     """
     keys = list(keys)
     ties = _value_counts(df, keys, value, bins)
@@ -188,7 +183,7 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     return exact_quantiles(df, keys, value, {out: 0.5})
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int = 1024) -> DataFrame:
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, bins: int | None = None) -> DataFrame:
     """Distinct values of each group with their average rank (ties share the mean rank)."""
     keys = list(keys)
     ties = _value_counts(df, keys, value, bins)
@@ -210,8 +205,8 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return df.where(F.col(value).isNotNull()).join(ranks, [*keys, value])
 
 
-def ecdf(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction", bins: int = 1024) -> DataFrame:
-    """Every present value with its position/n in sorted order; large groups are ordered by bins."""
+def ecdf(df: DataFrame, keys: Sequence[str], value: str, out: str = "fraction", bins: int | None = None) -> DataFrame:
+    """Every present value with its position/n in sorted order; large groups are ordered by ranges."""
     keys = list(keys)
     ties = _value_counts(df, keys, value, bins)
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
@@ -236,16 +231,16 @@ def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """
     rho = r.to_numpy(dtype=float)
     df = n.to_numpy(dtype=float) - 2.0
-    out = np.full(len(rho), np.nan)
     good = np.isfinite(rho) & (df > 0)
+    out = np.full(len(rho), np.nan)
     nodes, node_weights = np.polynomial.legendre.leggauss(256)
-    for i in np.flatnonzero(good):
-        top = math.asin(math.sqrt(max(0.0, 1.0 - min(1.0, rho[i] ** 2))))
-        theta = 0.5 * top * (nodes + 1.0)
-        log_beta = math.lgamma(df[i] / 2) + math.lgamma(0.5) - math.lgamma((df[i] + 1) / 2)
-        with np.errstate(divide="ignore"):
-            f = np.exp((df[i] - 1) * np.log(np.sin(theta)) - log_beta)
-        out[i] = min(1.0, 2.0 * 0.5 * top * float(node_weights @ f)) if top > 0 else 0.0
+    top = np.arcsin(np.sqrt(np.clip(1.0 - rho[good] ** 2, 0.0, 1.0)))[:, None]
+    half = df[good][:, None] / 2
+    log_beta = np.array([math.lgamma(h) + math.lgamma(0.5) - math.lgamma(h + 0.5) for h in half[:, 0]])[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        f = np.exp((2 * half - 1) * np.log(np.sin(0.5 * top * (nodes + 1.0))) - log_beta)
+    p = np.minimum(1.0, top[:, 0] * (f @ node_weights))
+    out[good] = np.where(top[:, 0] > 0, p, 0.0)
     return pd.Series(out)
 
 
@@ -263,21 +258,15 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "rho
     )
 
 
-def dense_index(df: DataFrame, unit: str, keys: Sequence[str] = (), out: str = "idx", bins: int = 4096) -> DataFrame:
+def dense_index(df: DataFrame, unit: str, keys: Sequence[str] = (), out: str = "idx", bins: int | None = None) -> DataFrame:
     """Distinct integer ``unit`` values per group with their 0-based position in sorted order.
 
-    Positions come from counts per bin of the id range, so no single task
-    sees all units.
+    Positions come from counts per range of equal numbers of units, so no
+    single task sees all units, and a far id changes nothing.
     """
     keys = list(keys)
     units = df.select(*keys, F.col(unit).cast("long").alias(unit)).where(F.col(unit).isNotNull()).distinct()
-    bounds = units.agg(F.min(unit).alias("lo"), F.max(unit).alias("hi")).select(F.struct("lo", "hi").alias("s"))
-    width = F.greatest(F.lit(1.0), (F.col("_s.hi") - F.col("_s.lo")).cast("double"))
-    placed = units.withColumn("_s", scalar(bounds)).select(
-        *keys,
-        unit,
-        F.floor((F.col(unit) - F.col("_s.lo")).cast("double") * F.lit(float(bins - 1)) / width).cast("int").alias("_b"),
-    )
+    placed = in_ranges(units, [*keys, unit], bins)
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).select(
         *keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isopleth.functions.stats import dense_index, exact_median, scalar, spearman, with_bins
+from isopleth.functions.stats import dense_index, exact_median, scalar, spearman
 from isopleth.operators.masks import tertile_class, tertile_edges
 from isopleth.session import pinned
 
@@ -83,28 +83,51 @@ def cluster_statistics(values: DataFrame, series: Sequence[str], unit: str, repl
     )
 
 
-def replicate_medians(values: DataFrame, draws: DataFrame, keys: Sequence[str], bins: int = 1024) -> DataFrame:
+#: Value ranges that replicates are first counted in.
+COARSE = 64
+
+
+def replicate_medians(values: DataFrame, draws: DataFrame, keys: Sequence[str], bins: int = COARSE) -> DataFrame:
     """Exact median of each replicate when a unit may hold very many values.
 
-    ``values``: keys, idx, value; ``draws``: keys, replicate, idx, copies.  Counts per unit
-    and value bin are weighted first; single values enter only for the bin
-    that holds the middle of a replicate.
+    ``values``: keys, idx, value; ``draws``: keys, replicate, idx, copies.  A
+    unit is one row with its counts in ``bins`` value ranges; a replicate adds
+    these up, which shows in which range its middle lies, and only the values
+    of that range are looked at one by one.  Drawn rows are units, not values.
     """
     keys = list(keys)
     counts = values.groupBy(*keys, "idx", "value").agg(F.count("*").alias("_c"))
-    binned = with_bins(counts, values, "value", bins)
-    per_unit = binned.groupBy(*keys, "idx", "_b").agg(F.sum("_c").alias("_c"))
-    weighted = per_unit.join(draws, [*keys, "idx"]).groupBy(*keys, "replicate", "_b").agg(F.sum(F.col("_c") * F.col("copies")).alias("_m"))
-    run = Window.partitionBy(*keys, "replicate").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = weighted.withColumn("_end", F.sum("_m").over(run)).withColumn(
-        "_n", F.sum("_m").over(Window.partitionBy(*keys, "replicate"))
-    ).withColumn("_start", F.col("_end") - F.col("_m"))
-    low, high = F.floor((F.col("_n") - 1) / 2), F.ceil((F.col("_n") - 1) / 2)
-    holds = lambda r: (F.col("_start") <= r) & (r < F.col("_end"))
-    wanted = placed.where(holds(low) | holds(high)).select(*keys, "replicate", "_b", "_start", low.alias("_l"), high.alias("_h"))
+    probs = [i / bins for i in range(1, bins)]
+    edges = values.groupBy(*keys).agg(F.percentile_approx("value", probs, 10 * bins).alias("_e"))
+    joined = counts.join(edges, keys) if keys else counts.withColumn("_e", edges.scalar())
+    # Written: the edges are approximate, so every use has to see the same ones.
+    place = F.aggregate("_e", F.lit(0), lambda a, e: a + F.when(F.col("value") > e, 1).otherwise(0))
+    binned = pinned(joined.select(*keys, "idx", "value", "_c", place.alias("_b")))
+    in_bin = lambda i: F.sum(F.when(F.col("_b") == i, F.col("_c")).otherwise(0))
+    per_unit = binned.groupBy(*keys, "idx").agg(*[in_bin(i).alias(f"_n{i}") for i in range(bins)])
+    drawn = per_unit.join(draws, [*keys, "idx"])
+    totals = drawn.groupBy(*keys, "replicate").agg(
+        F.array(*[F.sum(F.col(f"_n{i}") * F.col("copies")) for i in range(bins)]).alias("_m")
+    )
+    n = F.aggregate("_m", F.lit(0).cast("long"), lambda a, x: a + x)
+    before = F.aggregate(
+        "_m",
+        F.array(F.lit(0).cast("long")),
+        lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)),
+    )
+    placed = totals.select(*keys, "replicate", n.alias("_n"), before.alias("_cum")).withColumns(
+        {"_l": F.floor((F.col("_n") - 1) / 2), "_h": F.ceil((F.col("_n") - 1) / 2)}
+    )
+    middle = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.struct(i.alias("b"), F.get("_cum", i).alias("s"), F.get("_cum", i + 1).alias("e"))),
+        lambda x: ((x["s"] <= F.col("_l")) & (F.col("_l") < x["e"])) | ((x["s"] <= F.col("_h")) & (F.col("_h") < x["e"])),
+    )
+    wanted = placed.select(*keys, "replicate", F.explode(middle).alias("_x"), "_l", "_h").select(
+        *keys, "replicate", F.col("_x.b").alias("_b"), F.col("_x.s").alias("_start"), "_l", "_h"
+    )
     rows = (
-        binned.join(wanted, [*keys, "_b"])
-        .join(draws, [*keys, "replicate", "idx"])
+        draws.join(wanted, [*keys, "replicate"])
+        .join(binned, [*keys, "idx", "_b"])
         .groupBy(*keys, "replicate", "_b", "_start", "_l", "_h", "value")
         .agg(F.sum(F.col("_c") * F.col("copies")).alias("_m"))
     )

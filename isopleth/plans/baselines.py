@@ -11,7 +11,7 @@ from isopleth.plans.registry import query
 from isopleth.session import pinned
 
 LAYERS = ["prior", "s1", "s2", "aridity", "human", "glacier"]
-TREES = 20
+TREES = 200
 
 
 @query(

@@ -101,14 +101,15 @@ def bin_id(fx: Fixtures):
 @query(
     "geo_grid_guard",
     "common:i only_left:i only_right:i",
-    """WITH a AS (SELECT DISTINCT iy, ix FROM fx_field WHERE t=DATE '1996-03-01'), b AS (SELECT DISTINCT iy, ix FROM fx_field WHERE t=DATE '2000-05-01')
+    """WITH a AS (SELECT DISTINCT t, iy, ix FROM fx_field WHERE obs IS NOT NULL), b AS (SELECT DISTINCT t, iy, ix FROM fx_field WHERE s3 IS NOT NULL)
 --
-SELECT (SELECT count(*) FROM a SEMI JOIN b USING (iy,ix)) AS common, (SELECT count(*) FROM a ANTI JOIN b USING (iy,ix)) AS only_left,
- (SELECT count(*) FROM b ANTI JOIN a USING (iy,ix)) AS only_right""",
+SELECT (SELECT count(*) FROM a SEMI JOIN b USING (t,iy,ix)) AS common, (SELECT count(*) FROM a ANTI JOIN b USING (t,iy,ix)) AS only_left,
+ (SELECT count(*) FROM b ANTI JOIN a USING (t,iy,ix)) AS only_right""",
 )
 def grid_guard(fx: Fixtures):
-    at = lambda m: fx.field.where(F.col("t") == F.lit(m).cast("date")).select("iy", "ix")
-    return guards.coordinate_mismatch(at("1996-03-01"), at("2000-05-01"), ["iy", "ix"])
+    """Coordinates of two variables of the cube, of which one ends early."""
+    of = lambda c: fx.field.where(F.col(c).isNotNull()).select("t", "iy", "ix")
+    return guards.coordinate_mismatch(of("obs"), of("s3"), ["t", "iy", "ix"])
 
 
 @query(

@@ -21,7 +21,7 @@ TRAIN_END, VAL_END = "1998-12-31", "1999-12-31"
 BASE_START, BASE_END = "1996-01-01", "1998-12-31"
 DIVISOR = 997.123457
 MIN_PERIODS, MIN_COMMON, MAIN_COMMON = 18, 12, 16
-REPLICATES, SEED = 200, 42
+REPLICATES, SEED = 2000, 42
 
 
 def dyadic(x: Column) -> Column:

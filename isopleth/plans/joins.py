@@ -39,12 +39,12 @@ def reindex_left(fx: Fixtures):
     "join_month_policy",
     "month:d ts:d price:f",
     """WITH r AS (SELECT date_trunc('month', o_orderdate) AS month, arg_max(CAST(o_orderdate AS DATE), ROW(o_orderdate, o_totalprice)) AS ts,
- arg_max(o_totalprice, ROW(o_orderdate, o_totalprice)) AS price FROM orders WHERE month(o_orderdate)<>6 GROUP BY 1)
+ arg_max(o_totalprice, ROW(o_orderdate, o_totalprice)) AS price FROM orders GROUP BY 1)
 --
 SELECT r.* FROM r SEMI JOIN (SELECT DISTINCT t AS month FROM fx_lines) w ON w.month=r.month""",
 )
 def month_policy(fx: Fixtures):
-    released = fx.table("orders").where(F.month("o_orderdate") != 6).select(
+    released = fx.table("orders").select(
         time.month_start("o_orderdate").alias("month"),
         F.col("o_orderdate").alias("ts"),
         F.col("o_totalprice").alias("price"),
@@ -73,12 +73,12 @@ def coarse_to_fine(fx: Fixtures):
 @query(
     "join_zone_broadcast",
     "t:d iy:i ix:i obs:f",
-    """WITH z AS (SELECT t, zone_id, sum(obs*w)/sum(w) AS o FROM fx_valid WHERE valid AND zone_id%7<>0 GROUP BY t, zone_id)
+    """WITH z AS (SELECT t, zone_id, sum(obs*w)/sum(w) AS o FROM fx_valid WHERE valid GROUP BY t, zone_id)
 --
 SELECT v.t, iy, ix, coalesce(o,-999) AS obs FROM fx_valid v LEFT JOIN z USING (t, zone_id)""",
 )
 def zone_broadcast(fx: Fixtures):
-    zones = conserve.zone_mean(fx.valid.where("zone_id % 7 <> 0"), ["t"], "zone_id", ["obs"], "w", "valid")
+    zones = conserve.zone_mean(fx.valid, ["t"], "zone_id", ["obs"], "w", "valid")
     cells = fx.valid.select("t", "iy", "ix", "zone_id")
     return conserve.zone_to_cells(cells, zones, ["t"], "zone_id", "obs", fill=-999.0)
 

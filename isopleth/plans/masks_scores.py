@@ -170,15 +170,15 @@ def aridity(fx: Fixtures):
 @query(
     "score_human_composite",
     "iy:i ix:i human:f",
-    """WITH a AS (SELECT iy, ix, avg(s1)*3 AS v FROM fx_field WHERE iy<8 GROUP BY iy, ix),
-b AS (SELECT iy, ix, count(*)*0.02e0-0.9e0 AS v FROM fx_field WHERE ix>=6 GROUP BY iy, ix)
+    """WITH a AS (SELECT iy, ix, avg(s1)*3 AS v FROM fx_field GROUP BY iy, ix),
+b AS (SELECT iy, ix, count(*)*0.02e0-0.9e0 AS v FROM fx_field GROUP BY iy, ix)
 --
 SELECT iy, ix, least(1, .7e0*CASE WHEN a.v IS NULL THEN 0 ELSE greatest(0,least(1,a.v/100)) END+.3e0*CASE WHEN b.v IS NULL THEN 0 ELSE greatest(0,least(1,b.v)) END) AS human
  FROM a FULL JOIN b USING (iy, ix)""",
 )
 def human_composite(fx: Fixtures):
-    a = fx.field.where("iy < 8").groupBy("iy", "ix").agg((F.avg("s1") * 3).alias("irrigated"))
-    b = fx.field.where("ix >= 6").groupBy("iy", "ix").agg((F.count("*") * 0.02 - 0.9).alias("reservoir"))
+    a = fx.field.groupBy("iy", "ix").agg((F.avg("s1") * 3).alias("irrigated"))
+    b = fx.field.groupBy("iy", "ix").agg((F.count("*") * 0.02 - 0.9).alias("reservoir"))
     return a.join(b, ["iy", "ix"], "full").withColumn(
         "human", weights.human_composite(F.col("irrigated"), F.col("reservoir"))
     )
@@ -251,7 +251,7 @@ ATTR_SQL = """attrs AS (SELECT field AS artefact, k AS key, CASE k WHEN 'fit_sta
  WHEN 'fit_start_effective' THEN strftime(min(t),'%Y-%m-%d') WHEN 'fit_end_effective' THEN strftime(max(t),'%Y-%m-%d')
  WHEN 'fit_n_months' THEN CAST(count(DISTINCT t) AS VARCHAR) ELSE 'same' END AS value
  FROM fx_field_long, (SELECT unnest(['fit_start_requested','fit_end_requested','fit_start_effective','fit_end_effective','fit_n_months',
- 'consistency_source_sha256']) AS k) WHERE (field<>'s2' OR t<=DATE '1998-12-31') AND NOT (field='s1' AND k='fit_n_months') GROUP BY field, k)"""
+ 'consistency_source_sha256']) AS k) WHERE NOT (field='s1' AND k='fit_n_months') GROUP BY field, k)"""
 
 
 @query(
@@ -263,8 +263,7 @@ SELECT artefact, 6-count(DISTINCT key) AS n_missing, max(CASE WHEN key='fit_end_
  true AS one_source FROM attrs GROUP BY artefact""",
 )
 def provenance_keys(fx: Fixtures):
-    kept = fx.field_long.where("field <> 's2' OR t <= DATE '1998-12-31'")
-    facts = kept.groupBy(F.col("field").alias("artefact")).agg(
+    facts = fx.field_long.groupBy(F.col("field").alias("artefact")).agg(
         F.min("t").cast("string").alias("fit_start_effective"),
         F.max("t").cast("string").alias("fit_end_effective"),
         F.count_distinct("t").cast("string").alias("fit_n_months"),
@@ -391,7 +390,7 @@ def gnss_monthly(fx: Fixtures):
     "qc_gnss_eligibility",
     "station:s valid_months:i n_steps:i exclude:s",
     f"""WITH {GNSS_SQL},
-st AS (SELECT DISTINCT 'S'||user_id AS station, user_id%11=0 AS failed, user_id%13<>0 AS known FROM events WHERE user_id<80),
+st AS (SELECT DISTINCT 'S'||user_id AS station, user_id%11=0 AS failed, user_id%13<>0 AS known FROM events),
 c AS (SELECT station, count(*) AS n FROM gm GROUP BY station),
 s AS (SELECT 'S'||user_id AS station, count(DISTINCT CAST(ts AS DATE)) AS n FROM events WHERE value>300 GROUP BY user_id)
 --
@@ -402,7 +401,7 @@ SELECT station, coalesce(c.n,0) AS valid_months, coalesce(s.n,0) AS n_steps, CAS
 def gnss_eligibility(fx: Fixtures):
     name = F.concat(F.lit("S"), F.col("user_id")).alias("station")
     events = fx.table("events")
-    listed = events.where("user_id < 80").select(
+    listed = events.select(
         name, (F.col("user_id") % 11 == 0).alias("failed"), (F.col("user_id") % 13 != 0).alias("known_schema")
     ).distinct()
     code = F.upper(F.date_format("ts", "yyMMMdd"))

@@ -68,9 +68,13 @@ def value_huber(fx: Fixtures):
     return objective.value_huber(_scored(fx), ["t"], "value", "prior", "alpha")
 
 
-@query("obj_gradient_l1", "t:d gradient:f", f"WITH {SCORED}\n--\nSELECT b AS t, gradient FROM ({_term('gradient')})")
+@query(
+    "obj_gradient_l1",
+    "t:d gradient:f",
+    f"WITH {SCORED}\n--\nSELECT t, coalesce(gradient, 0) AS gradient FROM (SELECT DISTINCT t FROM sc) LEFT JOIN ({_term('gradient')}) ON b=t",
+)
 def gradient_l1(fx: Fixtures):
-    return objective.gradient_l1(_scored(fx), ["t"], "t", "value", "prior", "beta").where("gradient > 0")
+    return objective.gradient_l1(_scored(fx), ["t"], "t", "value", "prior", "beta")
 
 
 @query("obj_basin_mse", "t:d basin:f", f"WITH {SCORED}\n--\nSELECT b AS t, basin FROM ({_term('basin')})")

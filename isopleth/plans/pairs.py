@@ -203,7 +203,7 @@ def beta_association(fx: Fixtures):
             - F.max(F.when(F.col("model") == "M0", F.col("pearson_r")))
         ).alias("gain"),
     )
-    return bootstrap.association(wide, "block", "beta", "gain", REPLICATES, SEED, min_blocks=5)
+    return bootstrap.association(wide, "block", "beta", "gain", REPLICATES, SEED)
 
 
 @query(

@@ -138,12 +138,13 @@ def _diff(keys: str, src: str) -> str:
 @query(
     "met_gradient_mae",
     "model:s t:d gradient_mae:f",
-    f"WITH {_diff('model', 'fx_fine_eval').replace('FROM fx_fine_eval', 'FROM fx_fine_eval WHERE variant=\'corrected\'')}\n--\nSELECT * FROM g",
+    f"WITH {_diff('model', 'fx_fine_eval').replace('FROM fx_fine_eval', 'FROM fx_fine_eval WHERE variant=\'corrected\'')}\n--\n"
+    "SELECT * FROM (SELECT DISTINCT model, t FROM fx_fine_eval WHERE variant='corrected') LEFT JOIN g USING (model, t)",
 )
 def gradient_mae(fx: Fixtures):
     rows = fx.fine_eval.where("variant = 'corrected'")
     diffs = neighbours.forward_difference(rows, ["model", "t"], ["value", "prior"])
-    return neighbours.gradient_mae(diffs, ["model", "t"], "value", "prior").where("gradient_mae IS NOT NULL")
+    return neighbours.gradient_mae(diffs, ["model", "t"], "value", "prior")
 
 
 INTERNAL_SQL = f"""{_diff('model', 'fx_fine_eval').replace('FROM fx_fine_eval', 'FROM fx_fine_eval WHERE variant=\'corrected\'')},

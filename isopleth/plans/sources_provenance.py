@@ -42,15 +42,15 @@ def alias_resolve(fx: Fixtures):
 
 @query(
     "src_variant_resolve",
-    "wanted:s t:d total:f",
-    """WITH w AS (SELECT t, variant, value FROM fx_model WHERE model='M2')
+    "wanted:s model:s t:d total:f",
+    """WITH w AS (SELECT model, t, variant, value FROM fx_model)
 --
-SELECT 'corrected' AS wanted, t, sum(value) AS total FROM w WHERE variant='corrected' GROUP BY t UNION ALL
-SELECT 'projected', t, sum(value) FROM w WHERE variant='raw' GROUP BY t UNION ALL SELECT 'auto', t, sum(value) FROM w WHERE variant='corrected' GROUP BY t""",
+SELECT 'corrected' AS wanted, model, t, sum(value) AS total FROM w WHERE variant='corrected' GROUP BY model, t UNION ALL
+SELECT 'projected', model, t, sum(value) FROM w WHERE variant='raw' GROUP BY model, t UNION ALL SELECT 'auto', model, t, sum(value) FROM w WHERE variant='corrected' GROUP BY model, t""",
 )
 def variant_resolve(fx: Fixtures):
     """The projected variant is absent, so it falls back to the plain column."""
-    wide = fx.model.where("model = 'M2'").groupBy("t", "iy", "ix").agg(
+    wide = fx.model.groupBy("model", "t", "iy", "ix").agg(
         F.max(F.when(F.col("variant") == "raw", F.col("value"))).alias("predicted_twsa"),
         F.max(F.when(F.col("variant") == "corrected", F.col("value"))).alias("predicted_twsa_corrected"),
     )
@@ -60,7 +60,7 @@ def variant_resolve(fx: Fixtures):
             for v in ("corrected", "projected", "auto")
         ]
     )
-    return wide.select("t", F.explode(picks).alias("p")).groupBy("p.wanted", "t").agg(F.sum("p.v").alias("total"))
+    return wide.select("model", "t", F.explode(picks).alias("p")).groupBy("p.wanted", "model", "t").agg(F.sum("p.v").alias("total"))
 
 
 @query("src_csv", "t:d iy:i ix:i prior:f obs:f", "SELECT t, iy, ix, prior, obs FROM fx_field")
@@ -154,8 +154,8 @@ def skip_unreadable(fx: Fixtures):
     """Folder of daily files in which some are not what they claim to be."""
     good, bad = _folder(fx, "daily"), _folder(fx, "broken")
     days = fx.table("events").select("event_id", "value", F.dayofmonth("ts").alias("d"))
-    sinks.write_table(days.where("d <= 10").repartition(4, "d"), good)
-    days.where("d > 28").select(F.col("value").cast("string")).write.text(bad)
+    sinks.write_table(days.where("d <= 20").repartition(4, "d"), good)
+    days.where("d > 20").select(F.col("value").cast("string")).write.text(bad)
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
     listed = fx.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([good, bad]).select("path")
     reader = fx.spark.read.schema(schema).option("ignoreCorruptFiles", True).option("pathGlobFilter", "part-*")
@@ -282,14 +282,14 @@ def table_equal(fx: Fixtures):
     return provenance.tables_equal(first, second, keys, ["obs"], 1e-13, 1e-13)
 
 
-@query("sink_table", "field:s n_rows:i kept_first:b")
+@query("sink_table", "field:s n_rows:i kept_first:b", "SELECT field, count(*) AS n_rows, true AS kept_first FROM fx_field_long GROUP BY field")
 def sink_table(fx: Fixtures):
     """Write, try to write again without overwrite, read what is there."""
     path = _folder(fx, "sink")
-    sinks.write_table(fx.field_long.where("field = 's1'"), path, ["field"])
-    sinks.write_table(fx.field_long.where("field = 's2'"), path, ["field"])
+    sinks.write_table(fx.field_long, path, ["field"])
+    sinks.write_table(fx.field_long.withColumn("field", F.concat("field", F.lit("_again"))), path, ["field"])
     stored = readers.read_field(fx.spark, path)
-    return stored.groupBy("field").agg(F.count("*").alias("n_rows")).withColumn("kept_first", F.col("field") == "s1")
+    return stored.groupBy("field").agg(F.count("*").alias("n_rows")).withColumn("kept_first", ~F.endswith("field", F.lit("_again")))
 
 
 @query("sink_csv_json", "kind:s n_rows:i rmse:f")
