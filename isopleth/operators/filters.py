@@ -1,17 +1,20 @@
 """Spatial filters on masked fields: absent rows are masked cells.
 
-A filter is a scatter: each cell sends its weighted value to the targets in
-reach and one aggregation (combined map-side) adds them up.  Edges are handled
-by giving a cell near the edge extra images outside the grid.
+A separable filter works line by line: the cells of a grid line meet in one
+row, whose length the grid side bounds, and batches of lines are multiplied by
+the filter's matrix.  Two passes shuffle the field twice.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isopleth.functions.stats import exact_median, exact_quantiles, ratio, scalar, spearman
 from isopleth.grid import Grid
@@ -25,37 +28,50 @@ def gaussian_taps(size: int = 13, sigma: float = 3.0) -> list[float]:
     return [r / total for r in raw]
 
 
-def _images(j: Column, n: int, reach: int, edge: str) -> Column:
-    """Positions at which cell ``j`` appears once the edge is extended."""
-    if edge == "nearest":
-        return (
-            F.when(j == 0, F.sequence(F.lit(-reach), F.lit(0)))
-            .when(j == n - 1, F.sequence(F.lit(n - 1), F.lit(n - 1 + reach)))
-            .otherwise(F.array(j))
-        )
-    if edge == "reflect":
-        low = F.when((j > 0) & (j <= reach), -j)
-        high = F.when((j < n - 1) & (j >= n - 1 - reach), 2 * (n - 1) - j)
-        return F.array_compact(F.array(j, low, high))
-    return F.array(j)
+def line_matrix(n: int, taps: Sequence[float], edge: str) -> np.ndarray:
+    """Matrix of a filter on lines of ``n`` cells; ``taps[k]`` is the weight at distance k.
+
+    Beyond the edge a line continues with its last cell (nearest), mirrored
+    about it (reflect), or empty.
+    """
+    out, reach = np.zeros((n, n)), len(taps) - 1
+    for i in range(n):
+        for d in range(-reach, reach + 1):
+            j = i + d
+            if edge == "nearest":
+                j = min(max(j, 0), n - 1)
+            elif edge == "reflect" and not 0 <= j < n:
+                j = -j if j < 0 else 2 * (n - 1) - j
+            if 0 <= j < n:
+                out[i, j] += taps[abs(d)]
+    return out
 
 
 def spread(df: DataFrame, keys: Sequence[str], axis: str, n: int, values: Sequence[str], taps: Sequence[float],
            edge: str) -> DataFrame:
-    """Sum of ``tap * value`` along one axis; ``taps[k]`` is the weight at distance k."""
-    reach = len(taps) - 1
-    sent = df.select(*keys, *values, F.explode(_images(F.col(axis), n, reach, edge)).alias("_p")).select(
-        *keys,
-        *values,
-        "_p",
-        F.explode(
-            F.filter(
-                F.sequence(F.col("_p") - reach, F.col("_p") + reach), lambda i: (i >= 0) & (i < n)
-            )
-        ).alias(axis),
-    )
-    tap = F.array(*[F.lit(w) for w in taps])[F.abs(F.col("_p") - F.col(axis))]
-    return sent.groupBy(*keys, axis).agg(*[F.sum(F.col(v) * tap).alias(v) for v in values])
+    """Sum of ``tap * value`` along one axis, for every cell of a line that has any data."""
+    matrix = line_matrix(n, taps, edge).T
+    names = [*keys, *values]
+    lines = df.groupBy(*keys).agg(F.collect_list(F.struct(axis, *values)).alias("_line"))
+    flat = lines.select(*keys, *[F.col(f"_line.{c}").alias(c) for c in (axis, *values)])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in values])
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, k = batch.column(axis), batch.num_rows
+            row = np.repeat(np.arange(k), np.diff(at.offsets.to_numpy()))
+            place = at.flatten().to_numpy()
+            out = [batch.column(key) for key in keys]
+            for v in values:
+                dense = np.zeros((k, n))
+                dense[row, place] = batch.column(v).flatten().to_numpy(zero_copy_only=False)
+                cells = pa.array((dense @ matrix).ravel())
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * n, n, dtype=np.int32)), cells))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    cells = flat.mapInArrow(filtered, schema).select(*keys, F.posexplode(F.arrays_zip(*values)).alias(axis, "_cell"))
+    return cells.select(*keys, axis, *[F.col(f"_cell.{v}").alias(v) for v in values])
 
 
 def blur(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid, taps: Sequence[float], edge: str,

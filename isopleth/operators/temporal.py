@@ -82,9 +82,9 @@ def month_positions(df: DataFrame) -> DataFrame:
     return df.select("t").distinct().withColumn("pos", F.row_number().over(Window.orderBy("t")) - 1)
 
 
-def trend_indexed(df: DataFrame, values: Sequence[str], cell: Sequence[str] = CELL) -> DataFrame:
-    """Slope against the position in the whole month list."""
-    return df.join(month_positions(df), "t").groupBy(*cell).agg(*[slope(v, "pos").alias(v) for v in values])
+def trend_indexed(df: DataFrame, values: Sequence[str], cell: Sequence[str] = CELL, calendar: DataFrame | None = None) -> DataFrame:
+    """Slope against the position in the whole month list, that of ``calendar`` if given."""
+    return df.join(month_positions(df if calendar is None else calendar), "t").groupBy(*cell).agg(*[slope(v, "pos").alias(v) for v in values])
 
 
 def trend_calendar(df: DataFrame, values: Sequence[str], cell: Sequence[str] = CELL) -> DataFrame:
@@ -95,15 +95,16 @@ def trend_calendar(df: DataFrame, values: Sequence[str], cell: Sequence[str] = C
 _TERMS = ("one", "t", "s1", "c1", "s2", "c2")
 
 
-def harmonics(df: DataFrame, keys: Sequence[str], value: str, min_months: int = 24) -> DataFrame:
+def harmonics(df: DataFrame, keys: Sequence[str], value: str, min_months: int = 24, origin: int = 2000) -> DataFrame:
     """Least squares on intercept, trend, annual and semi-annual waves of real months.
 
     The executors sum 27 products per series; only the 6x6 solves run in
     pandas batches.  Gives ``trend`` per year and the two amplitudes, NULL
     where there are too few months or the months do not determine the fit.
+    Time counts from the year ``origin``, which changes the intercept only;
+    one near the data keeps the sums well scaled.
     """
-    first = df.agg(F.min(month_number("t")).alias("m"))
-    year = (month_number("t") - scalar(first)) / 12.0
+    year = (month_number("t") - month_number(F.make_date(F.lit(origin), F.lit(1), F.lit(1)))) / 12.0
     wave = 2 * math.pi
     series = df.where(F.col(value).isNotNull()).withColumn("_t", year).select(
         *keys,

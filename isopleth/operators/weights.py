@@ -48,7 +48,7 @@ def alpha_diagnostics(df: DataFrame, cell: Sequence[str], a: str, b: str) -> Dat
         ratio(rmse(a, b), F.stddev_pop(b)).alias("nrmse"),
         F.count("*").alias("n_months"),
     ).where("n_months >= 3")
-    trend = trend_indexed(both, [a, b], cell).select(*cell, (F.col(a) - F.col(b)).alias("trend_difference"))
+    trend = trend_indexed(both, [a, b], cell, calendar=df).select(*cell, (F.col(a) - F.col(b)).alias("trend_difference"))
     season = season_amplitude(df, [a, b], cell).select(
         *cell, (F.col(a) - F.col(b)).alias("annual_amplitude_difference")
     )

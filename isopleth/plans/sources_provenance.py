@@ -181,7 +181,7 @@ def link_extract(fx: Fixtures):
     return found.withColumn("name", readers.file_name(F.col("link")))
 
 
-@query("prov_sha256_manifest", "path:s bytes:i sha256:s")
+@query("prov_sha256_manifest", "path:s bytes:i sha256:s status:s")
 def sha256_manifest(fx: Fixtures):
     return provenance.file_manifest(fx.spark, fx.dir, "*.parquet")
 

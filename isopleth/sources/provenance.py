@@ -11,16 +11,28 @@ from isopleth.functions.stats import scalar
 from isopleth.operators.guards import coordinate_mismatch
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Path, bytes and SHA-256 of every file below a folder.  A file may hold up to 2 GB."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    )
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("path"),
-        F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"),
+#: A file's content has to fit one row.
+LARGEST_FILE = (1 << 31) - 1024
+
+
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", largest: int = LARGEST_FILE) -> DataFrame:
+    """Path below the folder, bytes, SHA-256 and status of every file.
+
+    Files above ``largest`` bytes are listed with status ``too large`` and no
+    hash; their content is not read.
+    """
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    prefix = store.makeQualified(root).toString().rstrip("/") + "/"
+    files = reader.load(path)
+    below = F.when(F.startswith("path", F.lit(prefix)), F.substring("path", len(prefix) + 1, 1 << 20)).otherwise(F.col("path"))
+    named = lambda rows, sha, status: rows.select(
+        below.alias("path"), F.col("length").alias("bytes"), sha.alias("sha256"), F.lit(status).alias("status")
     )
+    small = named(files.where(F.col("length") <= largest), F.sha2("content", 256), "hashed")
+    return small.unionByName(named(files.where(F.col("length") > largest), F.lit(None).cast("string"), "too large"))
 
 
 def listing_hash(manifest: DataFrame) -> DataFrame:
