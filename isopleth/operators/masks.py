@@ -45,7 +45,7 @@ def external_evaluation(land: str = "land", glacier: str = "glacier", human: str
 
 def named_regions(land: str = "land", aridity: str = "aridity", glacier: str = "glacier",
                   human: str = "human") -> dict[str, Column]:
-    """Nine overlapping strata of land cells with fixed cut-offs."""
+    """Nine overlapping strata of land cells.  Fixed values: the names and cut-offs."""
     on, arid, ice, man = F.col(land).cast("boolean"), F.col(aridity), F.col(glacier), F.col(human)
     return {
         "global_land": on,

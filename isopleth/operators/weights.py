@@ -201,7 +201,7 @@ def regional_adjust(weight: Column, glacier: Column, aridity: Column, human: Col
 
 def aridity_penalty(layers: Sequence[Column], nodata: float = 65535.0, scale: float = 1e-4,
                     dryland: float = 0.65) -> tuple[Column, Column]:
-    """Mean of the monthly index layers, and how far it is below the dryland limit."""
+    """Mean of the monthly index layers, and how far it is below the dryland limit.  Fixed values: the defaults."""
     real = [F.when(x < nodata, x * scale) for x in layers]
     n = sum((x.isNotNull().cast("int") for x in real), F.lit(0))
     total = sum((F.coalesce(x, F.lit(0.0)) for x in real), F.lit(0.0))
@@ -211,7 +211,7 @@ def aridity_penalty(layers: Sequence[Column], nodata: float = 65535.0, scale: fl
 
 
 def human_composite(irrigated_percent: Column, reservoir: Column) -> Column:
-    """70 % irrigated share and 30 % reservoir presence, missing counts as 0."""
+    """70 % irrigated share and 30 % reservoir presence (fixed values), missing counts as 0."""
     a = F.coalesce(clip(irrigated_percent / 100.0, 0.0, 1.0), F.lit(0.0))
     b = F.coalesce(clip(reservoir, 0.0, 1.0), F.lit(0.0))
     return clip(0.7 * a + 0.3 * b, 0.0, 1.0)

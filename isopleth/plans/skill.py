@@ -41,6 +41,9 @@ def temporal_skill(fx: Fixtures):
     return _temporal(fx)
 
 
+#: Cell metrics whose medians the full table gives.
+MEDIANS = ("rmse", "mae", "bias", "pcc", "nse")
+
 MONTHLY = """SELECT model, variant, t, sqrt(avg((value-ref)**2)) AS rmse, avg(abs(value-ref)) AS mae, avg(value-ref) AS bias
  FROM fx_coarse_eval GROUP BY model, variant, t"""
 
@@ -52,38 +55,34 @@ def monthly_spatial(fx: Fixtures):
 
 @query(
     "met_coarse_full",
-    "model:s rmse:f mae:f bias:f median_pcc:f median_nse:f trend_mae:f annual_mae:f semiannual_mae:f",
-    f"""WITH {TEMPORAL_SQL},
-own AS (SELECT * FROM fx_coarse_eval WHERE variant='corrected'), rf AS (SELECT * FROM own WHERE model='M0'),
-{sql_harmonics("hv", "own", "model, cy, cx", "value")},
+    "variant:s model:s rmse:f mae:f bias:f " + " ".join(f"median_{c}:f" for c in MEDIANS) + " trend_mae:f annual_mae:f semiannual_mae:f",
+    f"""WITH tm AS (SELECT variant, model, cy, cx, sqrt(avg((value-ref)**2)) AS rmse, avg(abs(value-ref)) AS mae,
+ avg(value-ref) AS bias, {sql_corr("value", "ref", 1)} AS pcc, 1-avg((value-ref)**2)/var_pop(ref) AS nse
+ FROM fx_coarse_eval GROUP BY variant, model, cy, cx HAVING count(*)>=24),
+rf AS (SELECT * FROM fx_coarse_eval WHERE model='M0' AND variant='corrected'),
+{sql_harmonics("hv", "fx_coarse_eval", "variant, model, cy, cx", "value")},
 {sql_harmonics("hr", "rf", "cy, cx", "ref")},
-mo AS (SELECT model, avg(rmse) AS rmse, avg(mae) AS mae, avg(bias) AS bias FROM ({MONTHLY}) WHERE variant='corrected' GROUP BY model),
-ce AS (SELECT model, median(pcc) AS median_pcc, median(nse) AS median_nse FROM tm GROUP BY model),
-gp AS (SELECT v.model, avg(abs(v.trend-r.trend)) AS trend_mae, avg(abs(v.annual-r.annual)) AS annual_mae, avg(abs(v.semiannual-r.semiannual)) AS semiannual_mae
- FROM hv v JOIN hr r USING (cy, cx) GROUP BY v.model)
+mo AS (SELECT variant, model, avg(rmse) AS rmse, avg(mae) AS mae, avg(bias) AS bias FROM ({MONTHLY}) GROUP BY variant, model),
+ce AS (SELECT variant, model, {", ".join(f"median({c}) AS median_{c}" for c in MEDIANS)} FROM tm GROUP BY variant, model),
+gp AS (SELECT v.variant, v.model, avg(abs(v.trend-r.trend)) AS trend_mae, avg(abs(v.annual-r.annual)) AS annual_mae, avg(abs(v.semiannual-r.semiannual)) AS semiannual_mae
+ FROM hv v JOIN hr r USING (cy, cx) GROUP BY v.variant, v.model)
 --
-SELECT * FROM mo JOIN ce USING (model) JOIN gp USING (model)""",
+SELECT * FROM mo JOIN ce USING (variant, model) JOIN gp USING (variant, model)""",
 )
 def coarse_full(fx: Fixtures):
-    """Mean of monthly errors, medians of the cell skill, harmonic differences."""
-    rows = _corrected(fx)
-    months = skill.monthly_skill(rows, ["model"], "value", "ref").groupBy("model").agg(
+    """Per variant: mean of monthly errors, medians of the cell skill, harmonic differences."""
+    rows, by, keys = fx.coarse_eval, ["variant", "model"], ["cy", "cx"]
+    months = skill.monthly_skill(rows, by, "value", "ref").groupBy(*by).agg(
         *[F.avg(c).alias(c) for c in ("rmse", "mae", "bias")]
     )
-    cells = _cell_skill(fx)
+    cells = pinned(skill.temporal_skill(rows, [*by, *keys], "value", "ref", 24))
     terms = ["trend", "annual", "semiannual"]
-    keys = ["cy", "cx"]
-    own = temporal.harmonics(rows, ["model", *keys], "value", 24)
-    ref = temporal.harmonics(rows.where("model = 'M0'"), keys, "ref", 24)
+    own = temporal.harmonics(rows, [*by, *keys], "value", 24)
+    ref = temporal.harmonics(rows.where("model = 'M0' AND variant = 'corrected'"), keys, "ref", 24)
     gaps = own.join(ref.select(*keys, *[F.col(c).alias(f"r_{c}") for c in terms]), keys)
-    diffs = gaps.groupBy("model").agg(*[F.avg(F.abs(F.col(c) - F.col(f"r_{c}"))).alias(f"{c}_mae") for c in terms])
-    parts = [
-        months,
-        exact_median(cells, ["model"], "pcc", "median_pcc"),
-        exact_median(cells, ["model"], "nse", "median_nse"),
-        diffs,
-    ]
-    return reduce(lambda a, b: a.join(b, "model"), parts)
+    diffs = gaps.groupBy(*by).agg(*[F.avg(F.abs(F.col(c) - F.col(f"r_{c}"))).alias(f"{c}_mae") for c in terms])
+    medians = [exact_median(cells, by, c, f"median_{c}") for c in MEDIANS]
+    return reduce(lambda a, b: a.join(b, by), [months, *medians, diffs])
 
 
 @query(
@@ -147,13 +146,13 @@ def gradient_mae(fx: Fixtures):
     return neighbours.gradient_mae(diffs, ["model", "t"], "value", "prior")
 
 
-INTERNAL_SQL = f"""{_diff('model', 'fx_fine_eval').replace('FROM fx_fine_eval', 'FROM fx_fine_eval WHERE variant=\'corrected\'')},
-f AS (SELECT model, t, sqrt(avg((value-obs)**2)) AS fine_rmse, avg(abs(value-obs)) AS fine_mae, avg(value-obs) AS fine_bias,
+INTERNAL_SQL = f"""{_diff('variant model', 'fx_fine_eval')},
+f AS (SELECT variant, model, t, sqrt(avg((value-obs)**2)) AS fine_rmse, avg(abs(value-obs)) AS fine_mae, avg(value-obs) AS fine_bias,
  {sql_corr("value", "obs")} AS fine_corr, sqrt(avg((value-prior)**2)) AS prior_rmse, {sql_corr("value", "prior")} AS prior_corr,
- count(*)/288.0e0 AS valid_fraction FROM fx_fine_eval WHERE variant='corrected' GROUP BY model, t),
-c AS (SELECT model, t, sqrt(avg((value-ref)**2)) AS coarse_rmse, avg(abs(value-ref)) AS coarse_mae, avg(value-ref) AS coarse_bias,
- {sql_corr("value", "ref")} AS coarse_corr FROM fx_coarse_eval WHERE variant='corrected' GROUP BY model, t),
-im AS (SELECT * FROM f JOIN c USING (model, t) LEFT JOIN g USING (model, t))"""
+ count(*)/288.0e0 AS valid_fraction FROM fx_fine_eval GROUP BY variant, model, t),
+c AS (SELECT variant, model, t, sqrt(avg((value-ref)**2)) AS coarse_rmse, avg(abs(value-ref)) AS coarse_mae, avg(value-ref) AS coarse_bias,
+ {sql_corr("value", "ref")} AS coarse_corr FROM fx_coarse_eval GROUP BY variant, model, t),
+im AS (SELECT * FROM f JOIN c USING (variant, model, t) LEFT JOIN g USING (variant, model, t))"""
 INTERNAL = (
     "fine_rmse fine_mae fine_bias fine_corr prior_rmse prior_corr coarse_rmse coarse_mae coarse_bias coarse_corr "
     "gradient_mae valid_fraction"
@@ -161,53 +160,60 @@ INTERNAL = (
 
 
 def _internal(fx: Fixtures):
-    rows = fx.fine_eval.where("variant = 'corrected'")
-    keys = ["model", "t"]
-    fine = skill.monthly_skill(rows, ["model"], "value", "obs").select(
-        *keys, *[F.col(c).alias(f"fine_{c}") for c in ("rmse", "mae", "bias")]
-    )
-    other = rows.groupBy(*keys).agg(
+    """Before and after correction: every metric of the fine rows in one aggregation, the coarse ones in another."""
+    keys = ["variant", "model", "t"]
+    gap = F.col("value") - F.col("obs")
+    fine = fx.fine_eval.groupBy(*keys).agg(
+        rmse("value", "obs").alias("fine_rmse"),
+        F.avg(F.abs(gap)).alias("fine_mae"),
+        F.avg(gap).alias("fine_bias"),
         pearson("value", "obs").alias("fine_corr"),
         rmse("value", "prior").alias("prior_rmse"),
         pearson("value", "prior").alias("prior_corr"),
         (F.count("*") / F.lit(float(fx.grid.size))).alias("valid_fraction"),
     )
-    coarse = _corrected(fx).groupBy(*keys).agg(
+    coarse = fx.coarse_eval.groupBy(*keys).agg(
         rmse("value", "ref").alias("coarse_rmse"),
         F.avg(F.abs(F.col("value") - F.col("ref"))).alias("coarse_mae"),
         F.avg(F.col("value") - F.col("ref")).alias("coarse_bias"),
         pearson("value", "ref").alias("coarse_corr"),
     )
-    return fine.join(other, keys).join(coarse, keys).join(gradient_mae(fx), keys, "left")
+    diffs = neighbours.forward_difference(fx.fine_eval, keys, ["value", "prior"])
+    slopes = neighbours.gradient_mae(diffs, keys, "value", "prior")
+    return fine.join(coarse, keys).join(slopes, keys, "left")
 
 
-@query("met_internal_monthly", "model:s t:d " + " ".join(f"{c}:f" for c in INTERNAL), f"WITH {INTERNAL_SQL}\n--\nSELECT * FROM im")
+@query(
+    "met_internal_monthly",
+    "variant:s model:s t:d " + " ".join(f"{c}:f" for c in INTERNAL),
+    f"WITH {INTERNAL_SQL}\n--\nSELECT * FROM im",
+)
 def internal_monthly(fx: Fixtures):
     return _internal(fx)
 
 
 @query(
     "met_internal_summary",
-    "model:s n_months:i " + " ".join(f"{c}:f" for c in INTERNAL) + " trend_diff:f season_diff:f",
+    "variant:s model:s n_months:i " + " ".join(f"{c}:f" for c in INTERNAL) + " trend_diff:f season_diff:f",
     f"""WITH {INTERNAL_SQL},
-k AS (SELECT *, row_number() OVER (PARTITION BY model, cy, cx ORDER BY t) AS k FROM fx_coarse_eval WHERE variant='corrected'),
-td AS (SELECT model, avg(abs(a-b)) AS trend_diff FROM (SELECT model, cy, cx, regr_slope(value,k) AS a, regr_slope(ref,k) AS b FROM k
- GROUP BY model, cy, cx HAVING count(*)>=3) GROUP BY model),
-sd AS (SELECT model, avg(abs(a-b)) AS season_diff FROM (SELECT model, cy, cx, (max(v)-min(v))/2 AS a, (max(r)-min(r))/2 AS b FROM
- (SELECT model, cy, cx, month(t) AS m, avg(value) AS v, avg(ref) AS r FROM k GROUP BY ALL) GROUP BY model, cy, cx) GROUP BY model)
+k AS (SELECT *, row_number() OVER (PARTITION BY variant, model, cy, cx ORDER BY t) AS k FROM fx_coarse_eval),
+td AS (SELECT variant, model, avg(abs(a-b)) AS trend_diff FROM (SELECT variant, model, cy, cx, regr_slope(value,k) AS a, regr_slope(ref,k) AS b FROM k
+ GROUP BY variant, model, cy, cx HAVING count(*)>=3) GROUP BY variant, model),
+sd AS (SELECT variant, model, avg(abs(a-b)) AS season_diff FROM (SELECT variant, model, cy, cx, (max(v)-min(v))/2 AS a, (max(r)-min(r))/2 AS b FROM
+ (SELECT variant, model, cy, cx, month(t) AS m, avg(value) AS v, avg(ref) AS r FROM k GROUP BY ALL) GROUP BY variant, model, cy, cx) GROUP BY variant, model)
 --
-SELECT model, count(*) AS n_months, {", ".join(f"avg({c}) AS {c}" for c in INTERNAL)}, max(trend_diff) AS trend_diff, max(season_diff) AS season_diff
- FROM im JOIN td USING (model) JOIN sd USING (model) GROUP BY model""",
+SELECT variant, model, count(*) AS n_months, {", ".join(f"avg({c}) AS {c}" for c in INTERNAL)}, max(trend_diff) AS trend_diff, max(season_diff) AS season_diff
+ FROM im JOIN td USING (variant, model) JOIN sd USING (variant, model) GROUP BY variant, model""",
 )
 def internal_summary(fx: Fixtures):
-    months = _internal(fx).groupBy("model").agg(
-        F.count("*").alias("n_months"), *[F.avg(c).alias(c) for c in INTERNAL]
-    )
-    rows, cell = _corrected(fx), ["model", "cy", "cx"]
+    """Means over months before and after correction; the coarse columns show the closure."""
+    by = ["variant", "model"]
+    months = _internal(fx).groupBy(*by).agg(F.count("*").alias("n_months"), *[F.avg(c).alias(c) for c in INTERNAL])
+    rows, cell = fx.coarse_eval, [*by, "cy", "cx"]
     gap = F.avg(F.abs(F.col("value") - F.col("ref")))
-    trend = temporal.trend_compact(rows, ["value", "ref"], cell).groupBy("model").agg(gap.alias("trend_diff"))
-    season = temporal.season_amplitude(rows, ["value", "ref"], cell).groupBy("model").agg(gap.alias("season_diff"))
-    return months.join(trend, "model").join(season, "model")
+    trend = temporal.trend_compact(rows, ["value", "ref"], cell).groupBy(*by).agg(gap.alias("trend_diff"))
+    season = temporal.season_amplitude(rows, ["value", "ref"], cell).groupBy(*by).agg(gap.alias("season_diff"))
+    return months.join(trend, by).join(season, by)
 
 
 REGION_SRC = f"""(SELECT region, t, iy, ix, value, prior, obs FROM fx_pred JOIN {STRATA_SQL} WHERE valid)"""

@@ -124,6 +124,7 @@ def month_from_name(name: Column) -> Column:
     return F.concat_ws("-", F.substring(digits, 1, 4), F.nullif(F.substring(digits, 5, 2), F.lit(""))).try_cast("string")
 
 
+# Field names of the feature collections.
 FEATURE_TYPE = (
     "struct<features:array<struct<id:string,properties:struct<monitoring_location_id:string,parameter_code:string,"
     "approval_status:string,qualifier:array<string>,unit_of_measure:string,value:string,time:string>,"
