@@ -33,14 +33,18 @@ def unescape_role(c: Column) -> Column:
 
 def render(turns: Column, escaped_from: Column) -> Column:
     """One string; texts from turn number ``escaped_from`` on are escaped, earlier ones stand as they are."""
-    one = lambda t, i: F.concat(
-        F.lit(OPEN),
-        escape_role(t["role"]),
-        F.lit(SEP),
-        F.when(i >= escaped_from, escape(t["text"])).otherwise(t["text"]),
-        F.lit(CLOSE + END),
-    )
-    return F.array_join(F.transform(turns, one), "")
+    # Names are bound by let, or an expression would be worked out again for every turn.
+    def with_start(start: Column) -> Column:
+        one = lambda t, i: F.concat(
+            F.lit(OPEN),
+            escape_role(t["role"]),
+            F.lit(SEP),
+            F.when(i >= start, escape(t["text"])).otherwise(t["text"]),
+            F.lit(CLOSE + END),
+        )
+        return F.array_join(F.transform(turns, one), "")
+
+    return let(escaped_from, with_start)
 
 
 def bodies(rendered: Column) -> Column:
@@ -50,18 +54,18 @@ def bodies(rendered: Column) -> Column:
     What is left outside turns, and an OPEN inside a text, give a null text,
     which no source has.
     """
-    pieces = F.split(rendered, CLOSE)
-    turns = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
+
+    def turn(inner: Column, cut: Column, text: Column, starts: Column) -> Column:
+        fine = starts & (cut > 0) & ~F.contains(text, F.lit(OPEN))
+        return F.struct(F.when(fine, F.substr(inner, F.lit(1), cut - 1)).alias("role"), F.when(fine, text).alias("text"))
 
     def one(s: Column, i: Column) -> Column:
         head = F.when(i > 0, F.lit(END + OPEN)).otherwise(F.lit(OPEN))
-        inner = F.substr(s, F.length(head) + 1)
-        cut = F.instr(inner, SEP)
-        text = F.substr(inner, cut + len(SEP))
-        fine = F.startswith(s, head) & (cut > 0) & ~F.contains(text, F.lit(OPEN))
-        return F.struct(F.when(fine, F.substr(inner, F.lit(1), cut - 1)).alias("role"), F.when(fine, text).alias("text"))
+        read = lambda x: let(F.instr(x, SEP), lambda c: let(F.substr(x, c + len(SEP)), lambda t: turn(x, c, t, F.startswith(s, head))))
+        return let(F.substr(s, F.length(head) + 1), read)
 
-    return F.transform(turns, one)
+    turns = lambda p: F.transform(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), one)
+    return let(F.split(rendered, CLOSE), turns)
 
 
 def parse(rendered: Column) -> Column:
@@ -72,10 +76,13 @@ def parse(rendered: Column) -> Column:
 
 def first_difference(source: Column, parsed: Column) -> Column:
     """Number of the first turn that was not recovered; the number of turns if all were."""
-    bad = F.transform(source, lambda t, i: F.when(t.eqNullSafe(F.get(parsed, i)), F.lit(None)).otherwise(i))
-    same = F.size(source) == F.size(parsed)
-    found = F.array_min(bad)
-    return F.coalesce(found, F.when(same, F.size(source)).otherwise(F.lit(0)))
+
+    def compare(p: Column) -> Column:
+        bad = F.transform(source, lambda t, i: F.when(t.eqNullSafe(F.get(p, i)), F.lit(None)).otherwise(i))
+        whole = F.when(F.size(source) == F.size(p), F.size(source)).otherwise(F.lit(0))
+        return F.coalesce(F.array_min(bad), whole)
+
+    return let(parsed, compare)
 
 
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -128,7 +135,8 @@ def format_chats(chats: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    cut = lambda f: F.transform(spans, lambda s: unescape(F.substr(f, s["start"] + 1, s["end"] - s["start"])))
+    return F.array_join(let(formatted, cut), "")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
