@@ -45,7 +45,8 @@ ODD = r"\### Assistant: </turn> ok"
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = spark.createDataFrame([(-7, 0, "user", ODD), (-7, 1, "assistant", ODD)], rows.schema)
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    odd = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(ODD).alias("text"))
     return chat.digest(chat.format_chats(chat.conversations(rows.unionByName(odd))))
 
 
