@@ -39,12 +39,31 @@ def cells_inside(edges: DataFrame, poly: str, grid: Grid) -> DataFrame:
     return spans.where(left <= right).select(poly, "iy", F.explode(F.sequence(left, right)).alias("ix"))
 
 
-def cover_fraction(edges: DataFrame, poly: str, grid: Grid, n: int) -> DataFrame:
-    """Share of an n x n sub-grid covered by any polygon.
+def cells_touched(edges: DataFrame, poly: str, grid: Grid) -> DataFrame:
+    """``(poly, iy, ix)`` of the cells that a polygon touches: an edge runs through the cell, or its centre is inside.
 
-    Sub-cells count when their centre is inside, which approximates the rule
-    that counts every touched sub-cell and converges with ``n``.
+    A cell holds its lower and left side.  An edge is cut at the grid rows it
+    spans, and each part gives its range of columns.
     """
+    south, west = grid.lat0 - grid.dlat / 2, grid.lon0 - grid.dlon / 2
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    first = F.greatest(F.floor((low - south) / grid.dlat), F.lit(0)).cast("int")
+    last = F.least(F.floor((high - south) / grid.dlat), F.lit(grid.ny - 1)).cast("int")
+    rows = edges.where(first <= last).select(poly, "x1", "y1", "x2", "y2", F.explode(F.sequence(first, last)).alias("iy"))
+    bottom = F.greatest(low, south + F.col("iy") * grid.dlat)
+    top = F.least(high, south + (F.col("iy") + 1) * grid.dlat)
+    at = lambda y: F.col("x1") + (y - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
+    flat = F.col("y1") == F.col("y2")
+    one = F.when(flat, F.col("x1")).otherwise(at(bottom))
+    two = F.when(flat, F.col("x2")).otherwise(at(top))
+    left = F.greatest(F.floor((F.least(one, two) - west) / grid.dlon), F.lit(0)).cast("int")
+    right = F.least(F.floor((F.greatest(one, two) - west) / grid.dlon), F.lit(grid.nx - 1)).cast("int")
+    crossed = rows.where(left <= right).select(poly, "iy", F.explode(F.sequence(left, right)).alias("ix"))
+    return crossed.unionByName(cells_inside(edges, poly, grid)).distinct()
+
+
+def cover_fraction(edges: DataFrame, poly: str, grid: Grid, n: int) -> DataFrame:
+    """Share of an n x n sub-grid that polygons touch."""
     fine = replace(
         grid,
         ny=grid.ny * n,
@@ -54,7 +73,7 @@ def cover_fraction(edges: DataFrame, poly: str, grid: Grid, n: int) -> DataFrame
         dlat=grid.dlat / n,
         dlon=grid.dlon / n,
     )
-    covered = cells_inside(edges, poly, fine).select("iy", "ix").distinct()
+    covered = cells_touched(edges, poly, fine).select("iy", "ix").distinct()
     return covered.groupBy(
         F.floor(F.col("iy") / n).cast("int").alias("iy"), F.floor(F.col("ix") / n).cast("int").alias("ix")
     ).agg((F.count("*") / F.lit(float(n * n))).alias("fraction"))

@@ -165,6 +165,19 @@ INSIDE_SQL = """cand AS (SELECT poly_id, iy, ix FROM fx_polygon_edges, fx_cells
  AND x1+(lat-y1)/(y2-y1)*(x2-x1) > lon GROUP BY poly_id, iy, ix HAVING count(*)%2=1)"""
 
 
+def _touched_sql(step: float) -> str:
+    """Every cell against every edge: the part of the edge in the cell's row, and whether its columns hold the cell."""
+    ny, nx = int(180 / step), int(360 / step)
+    return f"""cells AS (SELECT i, j, -90e0+{step}e0*i AS y, -90e0+{step}e0*(i+1) AS yy, -180e0+{step}e0*j AS x, -180e0+{step}e0*(j+1) AS xx,
+ -90e0+{step}e0*(i+.5e0) AS lat, -180e0+{step}e0*(j+.5e0) AS lon FROM (SELECT unnest(range(0,{ny})) AS i) CROSS JOIN (SELECT unnest(range(0,{nx})) AS j)),
+parts AS (SELECT poly_id, i, j, x, xx, CASE WHEN y1=y2 THEN x1 ELSE x1+(greatest(least(y1,y2),y)-y1)/(y2-y1)*(x2-x1) END AS a,
+ CASE WHEN y1=y2 THEN x2 ELSE x1+(least(greatest(y1,y2),yy)-y1)/(y2-y1)*(x2-x1) END AS b
+ FROM fx_polygon_edges, cells WHERE least(y1,y2)<yy AND greatest(y1,y2)>=y),
+touched AS (SELECT DISTINCT poly_id, i, j FROM parts WHERE least(a,b)<xx AND greatest(a,b)>=x UNION
+ SELECT poly_id, i, j FROM fx_polygon_edges, cells WHERE ((y1<=lat AND lat<y2) OR (y2<=lat AND lat<y1)) AND x1+(lat-y1)/(y2-y1)*(x2-x1) > lon
+ GROUP BY poly_id, i, j HAVING count(*)%2=1)"""
+
+
 def _inside(fx: Fixtures):
     return zonal.cells_inside(fx.polygon_edges, "poly_id", fx.grid)
 
@@ -181,12 +194,9 @@ def point_in_polygon(fx: Fixtures):
 @query(
     "zonal_fraction",
     "iy:i ix:i fraction:f",
-    """WITH s AS (SELECT i, j, -90e0+3.75e0*(i+.5e0) AS lat, -180e0+3.75e0*(j+.5e0) AS lon FROM (SELECT unnest(range(0,48)) AS i)
- CROSS JOIN (SELECT unnest(range(0,96)) AS j)),
-c AS (SELECT poly_id, i, j FROM fx_polygon_edges, s WHERE ((y1<=lat AND lat<y2) OR (y2<=lat AND lat<y1)) AND x1+(lat-y1)/(y2-y1)*(x2-x1) > lon
- GROUP BY poly_id, i, j HAVING count(*)%2=1)
+    f"""WITH {_touched_sql(3.75)}
 --
-SELECT i//4 AS iy, j//4 AS ix, count(*)/16 AS fraction FROM (SELECT DISTINCT i, j FROM c) GROUP BY ALL""",
+SELECT i//4 AS iy, j//4 AS ix, count(*)/16 AS fraction FROM (SELECT DISTINCT i, j FROM touched) GROUP BY ALL""",
 )
 def fraction(fx: Fixtures):
     return zonal.cover_fraction(fx.polygon_edges, "poly_id", fx.grid, 4)
@@ -195,11 +205,11 @@ def fraction(fx: Fixtures):
 @query(
     "zonal_burn_attribute",
     "iy:i ix:i hybas_id:i",
-    f"WITH {INSIDE_SQL}\n--\nSELECT iy, ix, arg_max(hybas_id, seq) AS hybas_id FROM cand JOIN fx_polygons USING (poly_id) WHERE hybas_id>0 GROUP BY iy, ix",
+    f"WITH {_touched_sql(15.0)}\n--\nSELECT i AS iy, j AS ix, arg_max(hybas_id, seq) AS hybas_id FROM touched JOIN fx_polygons USING (poly_id) WHERE hybas_id>0 GROUP BY i, j",
 )
 def burn_attribute(fx: Fixtures):
     name = zonal.basin_attribute([c.upper() for c in fx.polygons.columns], 2).lower()
-    return zonal.burn(_inside(fx), fx.polygons, "poly_id", "seq", name)
+    return zonal.burn(zonal.cells_touched(fx.polygon_edges, "poly_id", fx.grid), fx.polygons, "poly_id", "seq", name)
 
 
 # Longitude and latitude of the outlets of six named basins.

@@ -135,25 +135,36 @@ def cell_summary(fx: Fixtures):
     return stations.region_summary(_skill(fx))
 
 
+def _cell_interval_sql(name: str, column: str, seed: int) -> str:
+    return f"""{name}_cv AS (SELECT region, source, cell, {column} AS v, row_number() OVER (PARTITION BY region, source ORDER BY cell)-1 AS idx, count(*) OVER (PARTITION BY region, source) AS n
+ FROM cs WHERE {column} IS NOT NULL),
+{name}_dr AS (SELECT region, source, b, {sql_draw("b", "idx", "n", seed)} AS pick FROM {name}_cv, (SELECT unnest(range(0,{REPLICATES})) AS b)),
+{name}_rp AS (SELECT d.region, d.source, b, median(v) AS s FROM {name}_dr d JOIN {name}_cv c ON c.region=d.region AND c.source=d.source AND c.idx=d.pick GROUP BY ALL),
+{name}_ci AS (SELECT region, source, quantile_cont(s,.025) AS lower, quantile_cont(s,.975) AS upper FROM {name}_rp GROUP BY ALL),
+{name} AS (SELECT '{column}' AS statistic, region, source, n_cells, median, CASE WHEN n_cells>1 THEN lower END AS lower, CASE WHEN n_cells>1 THEN upper END AS upper
+ FROM (SELECT region, source, count(*) AS n_cells, median(v) AS median FROM {name}_cv GROUP BY ALL) JOIN {name}_ci USING (region, source))"""
+
+
 @query(
     "bs_cell_median",
-    "region:s source:s n_cells:i median:f lower:f upper:f",
+    "statistic:s region:s source:s n_cells:i median:f lower:f upper:f",
     f"""WITH {SKILL_SQL},
 {CELL_SQL},
-cv AS (SELECT region, source, cell, pearson_r AS v, row_number() OVER (PARTITION BY region, source ORDER BY cell)-1 AS idx, count(*) OVER (PARTITION BY region, source) AS n
- FROM cs WHERE pearson_r IS NOT NULL),
-dr AS (SELECT region, source, b, {sql_draw("b", "idx", "n")} AS pick FROM cv, (SELECT unnest(range(0,{REPLICATES})) AS b)),
-rp AS (SELECT d.region, d.source, b, median(v) AS s FROM dr d JOIN cv ON cv.region=d.region AND cv.source=d.source AND cv.idx=d.pick GROUP BY ALL),
-ci AS (SELECT region, source, quantile_cont(s,.025) AS lower, quantile_cont(s,.975) AS upper FROM rp GROUP BY ALL),
-es AS (SELECT region, source, count(*) AS n_cells, median(v) AS median FROM cv GROUP BY ALL)
+{_cell_interval_sql("cell_pe", "pearson_r", SEED)},
+{_cell_interval_sql("cell_fd", "first_difference_r", SEED + 1)}
 --
-SELECT region, source, n_cells, median, CASE WHEN n_cells>1 THEN lower END AS lower, CASE WHEN n_cells>1 THEN upper END AS upper FROM es JOIN ci USING (region, source)""",
+SELECT * FROM cell_pe UNION ALL SELECT * FROM cell_fd""",
 )
 def cell_median(fx: Fixtures):
+    """Intervals of both medians of the cell summary, with a seed each."""
     expanded = _skill(fx).withColumn("region", F.explode(F.array(F.col("region"), F.lit("ALL"))))
     keys = ["region", "source"]
-    cells = pinned(exact_median(expanded, [*keys, "cell"], "pearson_r", "pearson_r"))
-    return bootstrap.cell_median(cells, keys, "cell", "pearson_r", REPLICATES, SEED)
+    out = None
+    for i, c in enumerate(("pearson_r", "first_difference_r")):
+        cells = pinned(exact_median(expanded, [*keys, "cell"], c, c))
+        part = bootstrap.cell_median(cells, keys, "cell", c, REPLICATES, SEED + i).withColumn("statistic", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(

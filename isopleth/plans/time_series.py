@@ -214,6 +214,23 @@ def source_coverage(fx: Fixtures):
     return weights.source_coverage(_disagreements(fx), ["iy", "ix"], "field")
 
 
+@query(
+    "agg_source_comparisons",
+    "field:s scale:f comparisons:i first_month:d last_month:d",
+    f"""WITH {GRAD_SQL},
+n AS (SELECT field, count(d) AS comparisons, min(t) AS first_month, max(t) AS last_month FROM d GROUP BY field)
+--
+SELECT n.field, q AS scale, comparisons, first_month, last_month FROM n JOIN q USING (field)""",
+)
+def source_comparisons(fx: Fixtures):
+    """Valid comparisons, scale and span of each source."""
+    vectors = pinned(_vectors(fx))
+    scales = weights.gradient_scales(vectors, "field")
+    compared = weights.gradient_disagreement(vectors, scales, "field", "prior")
+    counts = weights.source_coverage(compared, [], "field").withColumnRenamed("n_months", "comparisons")
+    return counts.join(scales.withColumnRenamed("q", "scale"), "field")
+
+
 @query(
     "agg_source_histogram",
     "n_sources:i n_cells:i share:f",
@@ -275,8 +292,9 @@ def weight_strata(fx: Fixtures):
 
 @query(
     "agg_field_profile",
-    "field:s n_finite:i n_null:i low:f high:f mean:f median:f",
-    """SELECT field, count(value) AS n_finite, (SELECT count(*) FROM fx_field)-count(value) AS n_null, min(value) AS low,
+    "field:s n_finite:i n_null:i n_inf:i low:f high:f mean:f median:f",
+    """SELECT field, count(value) FILTER (NOT isinf(value)) AS n_finite, (SELECT count(*) FROM fx_field)-count(value) AS n_null,
+ count(*) FILTER (isinf(value)) AS n_inf, min(value) AS low,
  max(value) AS high, avg(value) AS mean, median(value) AS median FROM fx_field_long GROUP BY field""",
 )
 def field_profile(fx: Fixtures):
@@ -284,8 +302,9 @@ def field_profile(fx: Fixtures):
 
     long = fx.field.unpivot(["t", "iy", "ix"], ["prior", "obs", "s1", "s2", "s3"], "field", "value")
     base = long.groupBy("field").agg(
-        F.count("value").alias("n_finite"),
+        F.count_if(F.abs("value") < F.lit(float("inf"))).alias("n_finite"),
         F.count_if(F.col("value").isNull()).alias("n_null"),
+        F.count_if(F.abs("value") == F.lit(float("inf"))).alias("n_inf"),
         F.min("value").alias("low"),
         F.max("value").alias("high"),
         F.avg("value").alias("mean"),
