@@ -59,6 +59,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A result written to the shared folder and read back, which also cuts the lineage of loops."""
+    path = scratch(df.sparkSession, "pinned")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """A result that several later plans read, computed once.
 
@@ -70,9 +77,7 @@ def pinned(df: DataFrame) -> DataFrame:
     if configured_folder(spark) is None:
         _CACHED.append(kept := df.persist(StorageLevel.MEMORY_AND_DISK))
         return kept
-    path = scratch(spark, "pinned")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def release(spark: SparkSession) -> None:
