@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as markup
 import re
 from collections.abc import Iterator, Sequence
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from isopleth.session import pinned
 
 _LETTER = re.compile(r"[^\W\d_]")
+_UNSEEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
+_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _BLOCK = 1 << 20
 
 
@@ -23,6 +26,13 @@ def markup_language(html: Column) -> Column:
     return F.nullif(F.lower(tag), F.lit(""))
 
 
+@F.pandas_udf(T.StringType())
+def visible_text(html: pd.Series) -> pd.Series:
+    """Text of a page: no scripts, styles, comments or tags, entities decoded; null stays null."""
+    plain = lambda h: markup.unescape(_TAG.sub(" ", _UNSEEN.sub(" ", h)))
+    return html.map(plain, na_action="ignore")
+
+
 def host_parts(host: Column) -> tuple[Column, Column]:
     """Domain (last two labels) and suffix (last label) of a host; null where it has no dot."""
     labels = F.split(F.lower(host), r"\.")
@@ -150,6 +160,7 @@ def identify(
     text_col: str = "text",
     declared: Column | None = None,
     host: Column | None = None,
+    label: Column | None = None,
     wanted: Sequence[str] | None = None,
     min_posterior: float = 0.6,
     prior_strength: float = 20.0,
@@ -161,7 +172,8 @@ def identify(
     P(l | host).  The last is smoothed host -> domain -> all; all counts come
     from one grouped aggregation of the languages that the texts alone point
     to, over every row.  Evidence that is missing (null, or a text without
-    letters) is left out.  ``lang_kept``: the text has letters, the best
+    letters) is left out.  The text model is fitted on the rows with a
+    ``label`` (by default the declared language).  ``lang_kept``: the text has letters, the best
     language reaches ``min_posterior`` and is among ``wanted`` (null: any
     learned).  Without any learnable language nothing can be said: null
     language, posterior 0, not kept.
@@ -173,7 +185,7 @@ def identify(
     docs = docs.drop(*own)
     declared = F.lit(None).cast("string") if declared is None else declared
     host = F.lit(None).cast("string") if host is None else host
-    model = fit_text_model(docs, F.col(text_col), declared, sample_rows)
+    model = fit_text_model(docs, F.col(text_col), declared if label is None else label, sample_rows)
     n = len(model.languages)
     if not n:
         empty = {"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_kept": F.lit(False)}

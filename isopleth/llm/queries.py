@@ -23,15 +23,31 @@ def domain_of(source: str = "source"):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document; the declared language is its ``lang``, the host its ``source``."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = language.identify(docs, declared=F.lower("lang"), host=F.col("source"))
+    """Every document and every page; one of ``doc_id`` and ``page_id`` is null.
+
+    A page declares its language in its markup and has its URL's host; a
+    document declares ``lang`` and has no address, so its ``source`` stands for
+    the host.  The two are not joined: ``page_id`` numbers pages, and page and
+    document of one number have different texts.  Only documents are labels.
+    """
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    id_type, page_type = docs.schema["doc_id"].dataType, pages.schema["page_id"].dataType
+    rows = docs.select(
+        "doc_id", F.lit(None).cast(page_type).alias("page_id"), "text", F.lower("lang").alias("declared"),
+        F.col("source").alias("host"), F.lower("lang").alias("label"),
+    ).unionByName(pages.select(
+        F.lit(None).cast(id_type).alias("doc_id"), "page_id", language.visible_text("html").alias("text"),
+        language.markup_language(F.col("html")).alias("declared"),
+        F.nullif(urls.host_of(F.col("url")), F.lit("")).alias("host"), F.lit(None).cast("string").alias("label"),
+    ))
+    found = language.identify(rows, declared=F.col("declared"), host=F.col("host"), label=F.col("label"))
     return found.select(
         "doc_id",
-        F.col("lang").alias("declared"),
+        "declared",
         F.col("lang_id").alias("lang"),
         F.col("lang_posterior").alias("posterior"),
         F.col("lang_kept").alias("kept"),
+        "page_id",
     )
 
 

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from isopleth.llm import chat, language, quality, secrets
+from isopleth.llm import chat, language, quality, queries, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -288,3 +288,25 @@ def test_markup_and_host_parts(spark):
     domain, suffix = language.host_parts(F.col("host"))
     got = [tuple(r) for r in df.select(language.markup_language(F.col("h")), domain, suffix).collect()]
     assert got == [("pt", "example.com", "com"), (None, None, None), (None, None, None)]
+
+
+def test_language_of_pages_uses_markup_suffix_and_host(spark, tmp_path):
+    """Every page is a row; declared, domain and suffix decide for a page whose text says little."""
+    rows, df = corpus(spark)
+    df.select("doc_id", "text", "lang", F.lit("src0").alias("source")).write.parquet(f"{tmp_path}/documents.parquet")
+    page = '<html lang="{}-XX"><script>abcde abcde</script><!-- abcde --><p>{}</p></html>'
+    pages = [(i, f"https://h{i}.{r[2]}site.{r[2]}/p", page.format(r[2].upper(), r[1])) for i, r in enumerate(rows[:60])]
+    pages += [(500 + j, f"https://new.{x}site.{x}/", page.format(x, "k")) for j, x in enumerate(sorted(LETTERS))]
+    pages += [(600, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op1_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out if r.page_id is None) == [r[0] for r in rows]
+    got = {r.page_id: r for r in out if r.doc_id is None}
+    assert set(got) == {p[0] for p in pages} and not got[600].kept
+    for i, r in enumerate(rows[:60]):
+        assert (got[i].declared, got[i].lang, got[i].kept) == (r[2], r[2], True)
+    for j, x in enumerate(sorted(LETTERS)):
+        assert (got[500 + j].declared, got[500 + j].lang) == (x, x)
+    text = spark.createDataFrame([(pages[0][2],), ("a < b &eacute;<br>c",), ("<style>x",)], "h string")
+    seen = [" ".join(r[0].split()) for r in text.select(language.visible_text("h")).collect()]
+    assert seen == [rows[0][1], "a < b é c", ""]
