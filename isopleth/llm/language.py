@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import html as markup
 import re
 from collections.abc import Iterator, Sequence
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,9 @@ def markup_language(html: Column) -> Column:
     return F.nullif(F.lower(tag), F.lit(""))
 
 
-@F.pandas_udf(T.StringType())
-def visible_text(html: pd.Series) -> pd.Series:
-    """Text of a page: no scripts, styles, comments or tags, entities decoded; null stays null."""
-    plain = lambda h: markup.unescape(_TAG.sub(" ", _UNSEEN.sub(" ", h)))
-    return html.map(plain, na_action="ignore")
+def visible_text(html: str) -> str:
+    """Text of a page: no scripts, styles, comments or tags, entities decoded."""
+    return unescape(_TAG.sub(" ", _UNSEEN.sub(" ", html)))
 
 
 def host_parts(host: Column) -> tuple[Column, Column]:
@@ -66,6 +64,44 @@ class TextModel:
         return total / max(n, 1), n
 
 
+def sample_quotas(available: dict[str, int], sample_rows: int, least: int) -> dict[str, int]:
+    """Texts to take per language: equal shares, what small languages leave going to larger ones; ``least`` at least."""
+    quotas, room = {}, sample_rows
+    for at, (lang, n) in enumerate(sorted(available.items(), key=lambda x: (x[1], x[0]))):
+        quotas[lang] = min(n, max(least, room // (len(available) - at)))
+        room = max(0, room - quotas[lang])
+    return quotas
+
+
+def fitting_sample(known: DataFrame, sample_rows: int, min_rows: int) -> DataFrame:
+    """Rows (l, t): for each language of ``min_rows`` rows its first distinct texts in hash order.
+
+    At most ``sample_rows`` texts in all, or ``min_rows`` per language if that
+    is more.  Only the hashes near a language's quota come to the driver:
+    about twice the sample.
+    """
+    known = known.withColumn("h", F.xxhash64("t"))
+    texts = pinned(known.groupBy("l", "h").agg(F.count("*").alias("n")))
+    per_lang = texts.groupBy("l").agg(F.sum("n").alias("rows"), F.count("*").alias("texts"))
+    available = {r["l"]: r["texts"] for r in per_lang.where(F.col("rows") >= min_rows).collect()}
+    spark = known.sparkSession
+    if not available:
+        return known.select("l", "t").limit(0)
+    quotas = sample_quotas(available, sample_rows, min_rows)
+    # Hashes are even over the longs: a share with slack holds the quota's first hashes all but surely.
+    low, span = -(1 << 63), (1 << 64) - 1
+    edge = {x: low + min(span, span * (2 * q + 50) // available[x]) for x, q in quotas.items()}
+    edges = spark.createDataFrame(list(edge.items()), "l string, edge long")
+    near = texts.join(F.broadcast(edges), "l").where(F.col("h") <= F.col("edge")).select("l", "h")
+    hashes: dict[str, list[int]] = {x: [] for x in quotas}
+    for r in near.collect():
+        hashes[r["l"]].append(r["h"])
+    cuts = [(x, sorted(hs)[: quotas[x]][-1]) for x, hs in hashes.items()]
+    cut = spark.createDataFrame(cuts, "l string, cut long")
+    taken = known.join(F.broadcast(cut), "l").where(F.col("h") <= F.col("cut"))
+    return taken.dropDuplicates(["l", "h"]).select("l", "t")
+
+
 def fit_text_model(
     docs: DataFrame,
     text: Column,
@@ -75,37 +111,33 @@ def fit_text_model(
     smoothing: float = 0.5,
     most_pairs: int = 2000,
 ) -> TextModel:
-    """Fit on about ``sample_rows`` rows, the declared language as label.
-
-    The sample is a hash share of the rows with a declared language and a
-    text, so recomputed tasks take the same rows.  A text counts as a whole but
-    weighs no more than ``most_pairs`` pairs, so one long text does not make a
-    language.  Languages with fewer than ``min_rows`` sampled rows are not
-    learned.  Sums come back as one row per language.  No rows give a model
-    without languages.
+    """Fit on at most ``sample_rows`` distinct texts, the declared language as label.
+
+    The sample is drawn per language in hash order, copies once, so recomputed
+    tasks take the same texts and every language with ``min_rows`` rows or more
+    is learned, however many rows the others have (:func:`fitting_sample`).  A
+    text counts as a whole but weighs no more than ``most_pairs`` pairs, so one
+    long text does not make a language.  Sums come back as one row per
+    language.  No rows give a model without languages.
     """
     known = docs.select(declared.alias("l"), text.alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
-    n = known.count()
-    share = 1.0 if n <= sample_rows else sample_rows / n
-    picked = known.where(F.pmod(F.xxhash64("t", "l"), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    picked = fitting_sample(known, sample_rows, min_rows)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for frame in frames:
             for lang, t in zip(frame["l"], frame["t"]):
                 held = sums.setdefault(lang, np.zeros(1 << 16))
-                rows[lang] = rows.get(lang, 0) + 1
                 own = sum((np.bincount(codes, minlength=1 << 16) for codes in pairs_of(t)), np.zeros(1 << 16))
                 held += own * min(1.0, most_pairs / max(own.sum(), 1))
         for lang, held in sums.items():
             seen = np.flatnonzero(held)
-            yield pd.DataFrame({"l": lang, "code": seen, "n": held[seen], "rows": rows[lang]})
+            yield pd.DataFrame({"l": lang, "code": seen, "n": held[seen]})
 
-    counted = picked.mapInPandas(count, "l string, code int, n double, rows long")
-    per_code = counted.groupBy("l", "code").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    per_lang = per_code.groupBy("l").agg(F.max("rows").alias("rows"), F.collect_list(F.struct("code", "n")).alias("c"))
-    rows = sorted(per_lang.where(F.col("rows") >= min_rows).collect(), key=lambda r: r["l"])
+    counted = picked.mapInPandas(count, "l string, code int, n double")
+    per_code = counted.groupBy("l", "code").agg(F.sum("n").alias("n"))
+    per_lang = per_code.groupBy("l").agg(F.collect_list(F.struct("code", "n")).alias("c"))
+    rows = sorted(per_lang.collect(), key=lambda r: r["l"])
     table = np.full((1 << 16, len(rows)), smoothing)
     for j, row in enumerate(rows):
         for code, k in row["c"]:
@@ -113,16 +145,18 @@ def fit_text_model(
     return TextModel([r["l"] for r in rows], np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
-def text_evidence(text: Column, model: TextModel, most_pairs: int = 120) -> Column:
+def text_evidence(text: Column, page: Column, model: TextModel, most_pairs: int = 120) -> Column:
     """Log likelihood per language, as of at most ``most_pairs`` pairs since pairs of a text are not independent.
 
-    Null for a text without a letter: it says nothing.
+    Where ``page`` holds, the text is HTML and its visible part counts.  Null
+    for a text without a letter: it says nothing.
     """
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(texts: pd.Series) -> pd.Series:
+    def score(texts: pd.Series, pages: pd.Series) -> pd.Series:
         out = []
-        for t in texts:
+        for t, is_page in zip(texts, pages):
+            t = visible_text(t) if is_page and t is not None else t
             if t is None or not _LETTER.search(t):
                 out.append(None)
                 continue
@@ -130,7 +164,7 @@ def text_evidence(text: Column, model: TextModel, most_pairs: int = 120) -> Colu
             out.append((mean * min(n, most_pairs)).tolist())
         return pd.Series(out, dtype=object)
 
-    return score(text)
+    return score(text, page)
 
 
 def _best(logs: Column) -> Column:
@@ -160,7 +194,7 @@ def identify(
     text_col: str = "text",
     declared: Column | None = None,
     host: Column | None = None,
-    label: Column | None = None,
+    page: Column | None = None,
     wanted: Sequence[str] | None = None,
     min_posterior: float = 0.6,
     prior_strength: float = 20.0,
@@ -172,8 +206,9 @@ def identify(
     P(l | host).  The last is smoothed host -> domain -> all; all counts come
     from one grouped aggregation of the languages that the texts alone point
     to, over every row.  Evidence that is missing (null, or a text without
-    letters) is left out.  The text model is fitted on the rows with a
-    ``label`` (by default the declared language).  ``lang_kept``: the text has letters, the best
+    letters) is left out.  Where ``page`` holds, the text
+    is HTML: its visible part is scored, and the text model is not fitted on
+    it.  ``lang_kept``: the text has letters, the best
     language reaches ``min_posterior`` and is among ``wanted`` (null: any
     learned).  Without any learnable language nothing can be said: null
     language, posterior 0, not kept.
@@ -185,7 +220,8 @@ def identify(
     docs = docs.drop(*own)
     declared = F.lit(None).cast("string") if declared is None else declared
     host = F.lit(None).cast("string") if host is None else host
-    model = fit_text_model(docs, F.col(text_col), declared if label is None else label, sample_rows)
+    page = F.lit(False) if page is None else F.coalesce(page, F.lit(False))
+    model = fit_text_model(docs, F.col(text_col), F.when(~page, declared), sample_rows)
     n = len(model.languages)
     if not n:
         empty = {"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_kept": F.lit(False)}
@@ -194,7 +230,7 @@ def identify(
     # Struct fields cannot clash with the caller's columns.
     row = docs.select(
         F.struct("*").alias("_row"),
-        text_evidence(F.col(text_col), model).alias("_ll"),
+        text_evidence(F.col(text_col), page, model).alias("_ll"),
         declared.alias("_declared"),
         host.alias("_host"),
         domain.alias("_domain"),

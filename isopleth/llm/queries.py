@@ -34,13 +34,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     id_type, page_type = docs.schema["doc_id"].dataType, pages.schema["page_id"].dataType
     rows = docs.select(
         "doc_id", F.lit(None).cast(page_type).alias("page_id"), "text", F.lower("lang").alias("declared"),
-        F.col("source").alias("host"), F.lower("lang").alias("label"),
+        F.col("source").alias("host"), F.lit(False).alias("page"),
     ).unionByName(pages.select(
-        F.lit(None).cast(id_type).alias("doc_id"), "page_id", language.visible_text("html").alias("text"),
+        F.lit(None).cast(id_type).alias("doc_id"), "page_id", F.col("html").alias("text"),
         language.markup_language(F.col("html")).alias("declared"),
-        F.nullif(urls.host_of(F.col("url")), F.lit("")).alias("host"), F.lit(None).cast("string").alias("label"),
+        F.nullif(urls.host_of(F.col("url")), F.lit("")).alias("host"), F.lit(True).alias("page"),
     ))
-    found = language.identify(rows, declared=F.col("declared"), host=F.col("host"), label=F.col("label"))
+    found = language.identify(rows, declared=F.col("declared"), host=F.col("host"), page=F.col("page"))
     return found.select(
         "doc_id",
         "declared",

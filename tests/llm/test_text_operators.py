@@ -307,6 +307,23 @@ def test_language_of_pages_uses_markup_suffix_and_host(spark, tmp_path):
         assert (got[i].declared, got[i].lang, got[i].kept) == (r[2], r[2], True)
     for j, x in enumerate(sorted(LETTERS)):
         assert (got[500 + j].declared, got[500 + j].lang) == (x, x)
-    text = spark.createDataFrame([(pages[0][2],), ("a < b &eacute;<br>c",), ("<style>x",)], "h string")
-    seen = [" ".join(r[0].split()) for r in text.select(language.visible_text("h")).collect()]
+    seen = [" ".join(language.visible_text(h).split()) for h in (pages[0][2], "a < b &eacute;<br>c", "<style>x")]
     assert seen == [rows[0][1], "a < b é c", ""]
+
+
+def test_fitting_sample_keeps_rare_languages_and_takes_copies_once(spark):
+    text = lambda i, a: f"{a}{i} " * 3
+    rows = [(text(i, "abc"), "xx") for i in range(3000)] + [(text(0, "cab"), "yy")] * 2000
+    rows += [(text(i, "bca"), "yy") for i in range(400)] + [(text(i, "mno"), "zz") for i in range(5)] + [("few", "ww")] * 4 + [(None, "zz")]
+    df = spark.createDataFrame(rows, "t string, l string")
+    known = df.where("l IS NOT NULL AND t IS NOT NULL")
+    got = [tuple(r) for r in language.fitting_sample(known, 120, 5).collect()]
+    assert len(got) == len(set(got)) <= 120
+    count = {x: sum(lang == x for lang, _ in got) for x in ("ww", "xx", "yy", "zz")}
+    assert count == {"ww": 0, "xx": 58, "yy": 57, "zz": 5}
+    order = {t: h for t, h in known.select("t", F.xxhash64("t")).distinct().collect()}
+    for x, n in count.items():
+        assert {t for lang, t in got if lang == x} == set(sorted({t for t, lang in rows if lang == x and t}, key=order.get)[:n])
+    model = language.fit_text_model(df, F.col("t"), F.col("l"), sample_rows=120)
+    assert model.languages == ["xx", "yy", "zz"]
+    assert language.sample_quotas({"a": 3, "b": 900, "c": 2}, 25, 5) == {"c": 2, "a": 3, "b": 20}
