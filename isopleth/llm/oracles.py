@@ -131,3 +131,71 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {chars} AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM m"""
+
+
+def sharding(shards: int, slack: str) -> str:
+    steps = ", ".join(str(i) for i in range(256))
+    half = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    table = f"[{steps}]"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda c: {half})"
+    hashed = lambda c: f"CAST('0x' || substr(md5({c}), 1, 15) AS BIGINT)"
+    return f"""
+WITH crc AS (SELECT list_transform({table}, lambda c: CAST(c AS BIGINT)) AS t),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h,
+    {hashed("md5(coalesce(text, ''))")} AS k, {hashed("coalesce(CAST(doc_id AS VARCHAR), '')")} AS s FROM documents),
+z AS (SELECT doc_id, size, k, s, xor(list_reduce(list_prepend(4294967295,
+    [CAST('0x' || h[2*i-1:2*i] AS BIGINT) FOR i IN range(1, size - 7)]),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+a AS (SELECT *, coalesce(sum(size) OVER (ORDER BY k, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+    row_number() OVER (ORDER BY k, s) AS i, sum(size) OVER () AS total FROM z),
+g AS (SELECT *, 2 * min(a) OVER w + sum(size) OVER w AS mid, count(*) OVER w > 1 AND sum(size) OVER w * {shards} <= {slack} * total AS whole
+  FROM a WINDOW w AS (PARTITION BY k)),
+p AS (SELECT *, CAST(least({shards - 1}, CASE WHEN whole THEN mid ELSE 2 * a + size END * {shards} // (2 * total)) AS INTEGER) AS shard FROM g)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+  CAST(row_number() OVER (PARTITION BY shard ORDER BY i) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+
+def periodic_runs(times: int = 4, least: int = 6) -> str:
+    """Every period of every text tried: equal stretches between a text and itself moved by the period."""
+    bits = "flatten([[(ascii(x) >> b) & 1 FOR b IN range(8)] FOR x IN string_split(CAST(doc_id AS VARCHAR), '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {bits}), lambda c, b: CASE WHEN c & 1 <> b THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)"
+    short = (times - 1) * -(-least // times)  # words that a run shares with itself, moved by its period, at least
+    short = min(short, least - 1)
+    same = " AND ".join(f"x.w{k} = y.w{k}" for k in range(short))
+    return f"""
+WITH c AS (SELECT doc_id, CAST({crc} AS BIGINT) AS h, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+b AS (SELECT *, h // 10 AS g, len(w) AS n FROM c),
+v AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM b WHERE n > 0),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN [w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] FOR i IN range(n)] ELSE w END AS w FROM v),
+x AS (SELECT doc_id, n, unnest(range(n - {short - 1})) AS i, {", ".join(f"unnest(w[{k + 1}:n-{short - 1 - k}]) AS w{k}" for k in range(short))} FROM t WHERE n >= {least}),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x AS y ON x.doc_id = y.doc_id AND {same} AND y.i > x.i AND {times} * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + {short - 1} + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS block FROM e) GROUP BY doc_id, q, block),
+r AS (SELECT doc_id, start, length, CAST(min(q) AS BIGINT) AS period FROM s
+  WHERE length >= {times} * q AND length >= {least} GROUP BY doc_id, start, length),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM r GROUP BY doc_id),
+top AS (SELECT * FROM r AS o WHERE NOT EXISTS (SELECT 1 FROM r AS z WHERE z.doc_id = o.doc_id AND (z.length * o.period > o.length * z.period
+  OR (z.length * o.period = o.length * z.period AND (z.start < o.start OR (z.start = o.start AND z.period < o.period)))))),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+left_ AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS w, unnest(range(n)) AS i FROM t)
+  ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM c LEFT JOIN best USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN left_ USING (doc_id)"""
+
+
+def lexical_search(k: int = 20) -> str:
+    term = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    terms = f"unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{term}')) AS t"
+    return f"""
+WITH x AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, {terms} FROM documents) GROUP BY doc_id, t),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM x GROUP BY doc_id),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM d),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM x, c GROUP BY t),
+m AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // tokens AS m FROM d, c),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, {terms} FROM benchmark) GROUP BY item_id, t),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN x USING (t) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= {k}"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth import session
-from isopleth.llm import ann, chat, jaccard, language, mixture, oracles, packing, quality, secrets, urls, warc
+from isopleth.llm import ann, chat, jaccard, language, lexical, mixture, oracles, packing, periodic, quality, secrets, sharding, urls, warc
 
 #: Target shares of the mixture; names not listed weigh 1.  The hot source is a domain of its own.
 WEIGHTS = {"domain": {"crawl": 0.3, "curated": 0.7}, "lang": {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}, "source": {}}
@@ -114,6 +114,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a query, every document a candidate."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.collapse(periodic.planted(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [
         op1_language_id,
@@ -126,6 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_nearest_neighbours,
         op9_warc,
         op10_best_fit_packing,
+        op11_lexical_search,
+        op12_sharding,
+        op13_periodic_runs,
     ]
     return {f.__name__: f for f in named}
 
@@ -138,4 +156,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_source_mixing": oracles.source_mixing(WEIGHTS, max_epochs=4, seed=7),
         "op7_ngram_jaccard": oracles.ngram_jaccard(3, 90),
         "op9_warc": oracles.warc_records(),
+        "op11_lexical_search": oracles.lexical_search(20),
+        "op12_sharding": oracles.sharding(24, "1.0 / 32"),
+        "op13_periodic_runs": oracles.periodic_runs(),
     }
