@@ -32,18 +32,27 @@ def calendar_array(calendar: DataFrame) -> Column:
 
 
 def month_lookup(wanted: DataFrame, released: DataFrame, order: str, policy: str = "drop") -> DataFrame:
-    """Wanted months with the latest release of the same month; ``error`` fails on a missing one."""
+    """Wanted months with the latest release of the same month.
+
+    Months without one are left out (``drop``), fail the query (``error``), or
+    stay with null values (``keep``); :func:`months_without_release` lists them.
+    """
+    if policy not in ("drop", "error", "keep"):
+        raise ValueError(f"no policy {policy}")
     rest = [c for c in released.columns if c not in ("month", order)]
     last = released.groupBy("month").agg(F.max(F.struct(order, *rest)).alias("_r"))
+    joined = wanted.join(last, "month", "inner" if policy == "drop" else "left")
     if policy == "error":
-        joined = wanted.join(last, "month", "left")
         broken = F.raise_error(F.concat(F.lit("no release for "), F.col("month").cast("string")))
         joined = joined.withColumn("_r", F.when(F.col("_r").isNull(), broken.cast(last.schema["_r"].dataType)).otherwise(F.col("_r")))
-    else:
-        joined = wanted.join(last, "month")
     return joined.select("month", F.col(f"_r.{order}").alias(order), *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def months_without_release(wanted: DataFrame, released: DataFrame) -> DataFrame:
+    """Wanted months that no release covers."""
+    return wanted.select("month").distinct().join(released.select("month"), "month", "left_anti")
+
+
 def nearest_series(sites: DataFrame, field: DataFrame, grid: Grid, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Field series of the cell nearest to each site, by an equi-join on the cell."""
     placed = sites.withColumns({"iy": grid.nearest_iy(lat), "ix": grid.nearest_ix(lon)})

@@ -24,21 +24,50 @@ FIT_KEYS = (
 )
 
 
-def coordinate_mismatch(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct coordinates in both, only left and only right; equal grids give 0, 0."""
-    sides = left.select(*keys, F.lit(1).alias("s")).unionByName(right.select(*keys, F.lit(2).alias("s")))
-    seen = sides.groupBy(*keys).agg(F.bit_or("s").alias("s"))
-    return seen.agg(
-        F.count_if(F.col("s") == 3).alias("common"),
-        F.count_if(F.col("s") == 1).alias("only_left"),
-        F.count_if(F.col("s") == 2).alias("only_right"),
+def axis_mismatch(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """``axis, common, only_left, only_right``: distinct coordinates of each axis, equal within ``tolerance``.
+
+    A coordinate lies in a bucket as wide as the tolerance, so its equals lie
+    there or next to it: one equi-join on (axis, bucket), whatever the number
+    of coordinates.  Null coordinates are none.
+    """
+
+    def points(df: DataFrame) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).cast("double").alias("x")) for a in axes]))
+        return df.select(each.alias("p")).select("p.*").where("x IS NOT NULL").distinct()
+
+    bucket = F.floor(F.col("x") / F.lit(tolerance)).cast("long")
+    a = points(left).withColumn("b", bucket)
+    b = points(right).select("axis", F.col("x").alias("y"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("b"))
+    # In the neighbouring bucket within the tolerance, give or take the rounding of the difference.
+    near = a.join(b, ["axis", "b"]).where(F.abs(F.col("x") - F.col("y")) <= F.lit(tolerance))
+    hits = near.select("axis", F.explode(F.array(F.struct(F.lit(1).alias("s"), "x"), F.struct(F.lit(2).alias("s"), F.col("y").alias("x")))).alias("p"))
+    matched = hits.select("axis", "p.*").distinct().select("axis", "s", F.lit(1).alias("hit"), F.lit(0).alias("n"))
+    every = a.select("axis", F.lit(1).alias("s"), F.lit(0).alias("hit"), F.lit(1).alias("n")).unionByName(
+        points(right).select("axis", F.lit(2).alias("s"), F.lit(0).alias("hit"), F.lit(1).alias("n"))
+    )
+    only = lambda s: F.sum(F.when(F.col("s") == s, F.col("n") - F.col("hit")).otherwise(0))
+    return every.unionByName(matched).groupBy("axis").agg(
+        F.sum(F.when(F.col("s") == 1, F.col("hit")).otherwise(0)).alias("common"),
+        only(1).alias("only_left"),
+        only(2).alias("only_right"),
+    )
+
+
+def raster_faults(df: DataFrame, cell: Sequence[str], zone: str) -> DataFrame:
+    """``cells, ambiguous, empty``: a zone raster has one zone per cell, at all times."""
+    per = df.groupBy(*cell).agg(F.min(zone).alias("a"), F.max(zone).alias("b"))
+    return per.agg(
+        F.count("*").alias("cells"), F.count_if(F.col("a") != F.col("b")).alias("ambiguous"), F.count_if(F.col("a").isNull()).alias("empty")
     )
 
 
-def require_none(df: DataFrame, count: str, message: str) -> DataFrame:
-    """Fail the query if a one-row violation count is not zero."""
-    broken = F.when(F.col(count) > 0, F.raise_error(F.lit(message)).cast("long")).otherwise(F.col(count))
-    return df.withColumn(count, broken)
+def require_same_grid(left: DataFrame, right: DataFrame, axes: Sequence[str], tolerance: float = 1e-8) -> DataFrame:
+    """:func:`axis_mismatch`, failing the query where an axis differs."""
+    found = axis_mismatch(left, right, axes, tolerance)
+    broken = F.raise_error(F.concat(F.lit("grids differ along "), F.col("axis"))).cast("long")
+    differs = (F.col("only_left") > 0) | (F.col("only_right") > 0)
+    return found.withColumn("common", F.when(differs, broken).otherwise(F.col("common")))
 
 
 def missing_months(spark: SparkSession, df: DataFrame, t: str, first: str, last: str) -> DataFrame:
@@ -61,14 +90,6 @@ def train_leakage(times: DataFrame, t: str, cutoff: str, expected: int | None =
     return checks.withColumn("ok", ok)
 
 
-def missing_attributes(attributes: DataFrame, required: Sequence[str] = FIT_KEYS) -> DataFrame:
-    """Required keys each artefact lacks.  ``attributes``: artefact, key, value."""
-    wanted = attributes.select("artefact").distinct().withColumn(
-        "key", F.explode(F.array(*[F.lit(k) for k in required]))
-    )
-    return wanted.join(attributes.select("artefact", "key"), ["artefact", "key"], "left_anti")
-
-
 def provenance_report(attributes: DataFrame, cutoff: str, required: Sequence[str] = FIT_KEYS) -> DataFrame:
     """Per artefact: missing keys, whether the fit ends in time, and whether all share one source."""
     value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))

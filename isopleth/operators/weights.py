@@ -18,6 +18,8 @@ from isopleth.functions.stats import (
     scalar,
     spearman,
 )
+from isopleth.grid import Grid
+from isopleth.operators.regrid import nearest
 from isopleth.operators.neighbours import forward_difference
 from isopleth.operators.temporal import season_amplitude, trend_indexed
 from isopleth.session import pinned
@@ -156,6 +158,31 @@ def min_max_score(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     return out.drop("_s", *[f"_{n}" for n in values])
 
 
+def on_cells(cells: DataFrame, layer: DataFrame | None, value: Column, source: Grid, target: Grid, name: str) -> DataFrame:
+    """Cells with ``name``: a layer's aggregated value at the nearest source cell; null outside its hull or without a layer.
+
+    ``value`` aggregates a source cell's rows, before anything is resampled.
+    """
+    if layer is None:
+        return cells.withColumn(name, F.lit(None).cast("double"))
+    reduced = layer.groupBy("iy", "ix").agg(value.cast("double").alias(name))
+    return cells.drop(name).join(nearest(reduced, [], [name], source, target), ["iy", "ix"], "left")
+
+
+def optional_penalty(cells: DataFrame, layer: DataFrame | None, value: str, source: Grid, target: Grid, name: str) -> DataFrame:
+    """Cells with ``name``: the layer's mean over time, resampled, scaled to [0, 1]; 0 where it says nothing."""
+    return min_max_score(on_cells(cells, layer, F.avg(value), source, target, f"{name}_raw"), {name: F.col(f"{name}_raw")}).drop(f"{name}_raw")
+
+
+def land_mask(cells: DataFrame, layer: DataFrame | None, value: str, t: str, source: Grid, target: Grid, name: str = "land") -> DataFrame:
+    """Cells with ``name``: 1 where the layer's first month is at least one half, 0 elsewhere; without a layer 1 everywhere."""
+    if layer is None:
+        return cells.withColumn(name, F.lit(1.0))
+    first = layer.where(F.col(t) == scalar(layer.agg(F.min(t).alias("t"))))
+    share = on_cells(cells, first, F.max(value), source, target, name)
+    return share.withColumn(name, F.when(F.col(name) >= 0.5, 1.0).otherwise(0.0))
+
+
 # Base, span and penalty coefficients of the two adaptive weights.
 ADAPTIVE = {
     "alpha": (0.05, 0.95, {"trend": 0.60, "season": 0.40, "nrmse": 0.40, "arid": 0.35, "glacier": 0.75, "human": 0.50}),

@@ -100,16 +100,32 @@ def bin_id(fx: Fixtures):
 
 @query(
     "geo_grid_guard",
-    "common:i only_left:i only_right:i",
-    """WITH a AS (SELECT DISTINCT t, iy, ix FROM fx_field WHERE obs IS NOT NULL), b AS (SELECT DISTINCT t, iy, ix FROM fx_field WHERE s3 IS NOT NULL)
+    "axis:s common:i only_left:i only_right:i cells:i ambiguous:i empty:i",
+    """WITH a AS (SELECT DISTINCT u.axis, u.x FROM fx_field, LATERAL (VALUES ('lat', -82.5e0+15*iy), ('lon', -172.5e0+15*ix)) u(axis, x) WHERE obs IS NOT NULL),
+b AS (SELECT DISTINCT u.axis, u.x FROM fx_field, LATERAL (VALUES ('lat', -82.5e0+15*iy+5e-9), ('lon', -172.5e0+15*ix+(CASE WHEN ix%3=0 THEN 5e-8 ELSE 0e0 END))) u(axis, x) WHERE s3 IS NOT NULL),
+z AS (SELECT iy, ix, count(DISTINCT zone_id+(CASE WHEN iy=5 AND month(t)=2 THEN 1 ELSE 0 END)) FILTER (zone_id%7<>3) AS n FROM fx_field JOIN fx_cells USING (iy, ix) GROUP BY iy, ix)
 --
-SELECT (SELECT count(*) FROM a SEMI JOIN b USING (t,iy,ix)) AS common, (SELECT count(*) FROM a ANTI JOIN b USING (t,iy,ix)) AS only_left,
- (SELECT count(*) FROM b ANTI JOIN a USING (t,iy,ix)) AS only_right""",
+SELECT axis, (SELECT count(*) FROM a WHERE a.axis=g.axis AND EXISTS (SELECT 1 FROM b WHERE b.axis=a.axis AND abs(a.x-b.x)<=1e-8)) AS common,
+ (SELECT count(*) FROM a WHERE a.axis=g.axis AND NOT EXISTS (SELECT 1 FROM b WHERE b.axis=a.axis AND abs(a.x-b.x)<=1e-8)) AS only_left,
+ (SELECT count(*) FROM b WHERE b.axis=g.axis AND NOT EXISTS (SELECT 1 FROM a WHERE b.axis=a.axis AND abs(a.x-b.x)<=1e-8)) AS only_right,
+ (SELECT count(*) FROM z) AS cells, (SELECT count(*) FROM z WHERE n>1) AS ambiguous, (SELECT count(*) FROM z WHERE n=0) AS empty FROM (SELECT DISTINCT axis FROM a) g""",
 )
 def grid_guard(fx: Fixtures):
-    """Coordinates of two variables of the cube, of which one ends early."""
-    of = lambda c: fx.field.where(F.col(c).isNotNull()).select("t", "iy", "ix")
-    return guards.coordinate_mismatch(of("obs"), of("s3"), ["t", "iy", "ix"])
+    """Two variables of the cube: one axis is off by less than the tolerance, one by more in every third place.
+
+    The zone raster changes in one row of the grid in February and has no zone here and there.
+    """
+    g = fx.grid
+    left = fx.field.where("obs IS NOT NULL").select(g.lat().alias("lat"), g.lon().alias("lon"))
+    off = F.when(F.col("ix") % 3 == 0, 5e-8).otherwise(0.0)
+    right = fx.field.where("s3 IS NOT NULL").select((g.lat() + 5e-9).alias("lat"), (g.lon() + off).alias("lon"))
+    moved = F.when((F.col("iy") == 5) & (F.month("t") == 2), F.col("zone_id") + 1).otherwise(F.col("zone_id"))
+    zones = g.attach(fx.field.select("t", "iy", "ix"), fx.cells.select("iy", "ix", "zone_id"))
+    zones = zones.select("iy", "ix", F.when(F.col("zone_id") % 7 != 3, moved).alias("zone"))
+    faults = guards.raster_faults(zones, ["iy", "ix"], "zone")
+    axes = guards.axis_mismatch(left, right, ["lat", "lon"])
+    one = faults.select(F.struct("cells", "ambiguous", "empty").alias("s"))
+    return axes.withColumn("s", scalar(one)).select("axis", "common", "only_left", "only_right", "s.*")
 
 
 @query(

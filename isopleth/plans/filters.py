@@ -173,10 +173,10 @@ def tile_enumerate(fx: Fixtures):
 
 
 def _admitted(fx: Fixtures):
-    return tiles.admit(fx.valid, fx.grid, SIZE, STRIDE, "valid", "land", 0.45)
+    return tiles.admit(fx.valid, fx.grid, SIZE, STRIDE, "valid", "land")
 
 
-ADMIT = "WHERE valid_fraction>=.45e0 AND land_fraction>=.45e0"
+ADMIT = "WHERE valid_fraction>=.05e0 AND land_fraction>=.05e0"
 
 
 @query(

@@ -13,6 +13,7 @@ from isopleth.plans.registry import query
 from isopleth.plans.skill import MONTHLY, PIXEL_SQL, _pixels, monthly_spatial
 from isopleth.plans.time_series import BETA_SQL, COVER, _disagreements
 from isopleth.session import pinned
+from isopleth.sources import readers
 
 
 @query(
@@ -37,19 +38,34 @@ def reindex_left(fx: Fixtures):
 
 @query(
     "join_month_policy",
-    "month:d ts:d price:f",
+    "policy:s month:d ts:d price:f",
     """WITH r AS (SELECT date_trunc('month', o_orderdate) AS month, arg_max(CAST(o_orderdate AS DATE), ROW(o_orderdate, o_totalprice)) AS ts,
- arg_max(o_totalprice, ROW(o_orderdate, o_totalprice)) AS price FROM orders GROUP BY 1)
+ arg_max(o_totalprice, ROW(o_orderdate, o_totalprice)) AS price FROM orders GROUP BY 1),
+w AS (SELECT DISTINCT t AS month FROM fx_lines UNION SELECT DISTINCT t + INTERVAL 11 YEAR FROM fx_lines)
 --
-SELECT r.* FROM r SEMI JOIN (SELECT DISTINCT t AS month FROM fx_lines) w ON w.month=r.month""",
+SELECT 'drop' AS policy, r.* FROM r SEMI JOIN w ON w.month=r.month UNION ALL SELECT 'keep', w.month, r.ts, r.price FROM w LEFT JOIN r ON w.month=r.month
+ UNION ALL SELECT 'error', r.* FROM r SEMI JOIN (SELECT t FROM fx_lines) l ON l.t=r.month
+ UNION ALL SELECT 'missing', w.month, NULL, NULL FROM w ANTI JOIN r ON w.month=r.month""",
 )
 def month_policy(fx: Fixtures):
+    """Every policy over the months of the cube and the same eleven years on; ``error`` where it cannot fail.
+
+    The months that no release covers are a list of their own.
+    """
     released = fx.table("orders").select(
         time.month_start("o_orderdate").alias("month"),
         F.col("o_orderdate").alias("ts"),
         F.col("o_totalprice").alias("price"),
     )
-    return align.month_lookup(fx.split.select(F.col("t").alias("month")), released, "ts", "drop")
+    own = fx.split.select(F.col("t").alias("month"))
+    wanted = own.unionByName(own.select(F.add_months("month", 132).alias("month"))).distinct()
+    covered = own.join(released.select("month").distinct(), "month", "left_semi")
+    looked_up = [
+        align.month_lookup(months, released, "ts", policy).withColumn("policy", F.lit(policy))
+        for policy, months in (("drop", wanted), ("keep", wanted), ("error", covered))
+    ]
+    missing = align.months_without_release(wanted, released).withColumn("policy", F.lit("missing"))
+    return readers.union_files([*looked_up, missing])
 
 
 @query(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from isopleth.functions import time
 from isopleth.operators import conserve, guards, masks, stations, weights
-from isopleth.plans.fixtures import TRAIN_END, Fixtures
+from isopleth.plans.fixtures import DIVISOR, GRID, TRAIN_END, Fixtures, dyadic
 from isopleth.plans.registry import query
 from isopleth.plans.time_series import ALPHA_SQL, STRATA_SQL, _alpha
 
@@ -133,20 +135,36 @@ def adaptive_weight(fx: Fixtures):
     return scored.withColumns({k: weights.adaptive_weight(k, "corr", PENALTIES, "land") for k in ("alpha", "beta")})
 
 
+COARSE = replace(GRID, ny=10, nx=18, lat0=-90.0, lon0=-170.0, dlat=20.0, dlon=20.0)
+
+
 @query(
     "score_optional_penalty",
-    "iy:i ix:i temporal:f absent:f land:f",
-    """WITH m AS (SELECT iy, ix, avg(s3) AS v FROM fx_field GROUP BY iy, ix)
+    "iy:i ix:i temporal:f land:f",
+    f"""WITH l AS (SELECT date_trunc('month', l_shipdate) AS t, l_partkey%10 AS y, l_orderkey%18 AS x, floor(avg(l_discount)*100000/{DIVISOR}e0*1048576e0)/1048576e0 AS v,
+ floor(avg(l_quantity)/50*1048576e0)/1048576e0 AS share FROM lineitem GROUP BY ALL),
+m AS (SELECT y, x, avg(v) AS v FROM l GROUP BY y, x), f AS (SELECT y, x, max(share) AS share FROM l WHERE t=(SELECT min(t) FROM l) GROUP BY y, x),
+c AS (SELECT iy, ix, (-82.5e0+15*iy+90)/20 AS fy, (-172.5e0+15*ix+170)/20 AS fx FROM fx_cells),
+n AS (SELECT iy, ix, CASE WHEN fx BETWEEN 0 AND 17 AND fy BETWEEN 0 AND 9 THEN CAST(ceil(fy-.5) AS INT) END AS y, CAST(ceil(fx-.5) AS INT) AS x FROM c),
+r AS (SELECT iy, ix, v, share FROM n LEFT JOIN m USING (y, x) LEFT JOIN f USING (y, x))
 --
-SELECT iy, ix, coalesce((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()),0) AS temporal, 0 AS absent, 1 AS land
- FROM fx_cells LEFT JOIN m USING (iy, ix)""",
+SELECT iy, ix, coalesce((v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()),0) AS temporal, CASE WHEN share>=.5e0 THEN 1 ELSE 0 END AS land FROM r""",
 )
 def optional_penalty(fx: Fixtures):
-    mean = fx.field.groupBy("iy", "ix").agg(F.avg("s3").alias("v"))
-    joined = fx.cells.drop("land").join(mean, ["iy", "ix"], "left")
-    none = F.lit(None).cast("double")
-    scored = weights.min_max_score(joined, {"temporal": F.col("v"), "absent": none})
-    return scored.withColumn("land", F.coalesce(none, F.lit(1.0)))
+    """Two layers on a coarser grid that does not reach as far: a penalty over all months, land from the first one."""
+    lines = fx.table("lineitem").select(
+        time.month_start("l_shipdate").alias("t"),
+        (F.col("l_partkey") % 10).cast("int").alias("iy"),
+        (F.col("l_orderkey") % 18).cast("int").alias("ix"),
+        "l_discount",
+        "l_quantity",
+    )
+    layer = lines.groupBy("t", "iy", "ix").agg(
+        dyadic(F.avg("l_discount") * 100000 / F.lit(DIVISOR)).alias("v"), dyadic(F.avg("l_quantity") / 50).alias("share")
+    )
+    cells = fx.cells.select("iy", "ix")
+    scored = weights.optional_penalty(cells, layer, "v", COARSE, fx.grid, "temporal")
+    return weights.land_mask(scored, layer, "share", "t", COARSE, fx.grid)
 
 
 @query(

@@ -10,7 +10,7 @@ from isopleth.plans.fixtures import Fixtures
 from isopleth.plans.registry import query
 from isopleth.plans.skill import TEMPORAL_SQL, _temporal
 from isopleth.session import scratch
-from isopleth.sources import provenance, readers, sinks
+from isopleth.sources import provenance, readers, sinks, stores
 
 
 def _folder(fx: Fixtures, name: str) -> str:
@@ -149,21 +149,25 @@ def month_from_filename(fx: Fixtures):
     return months.where(F.col("month").between("1996-01", "1998-12")).groupBy("month").agg(F.count("*").alias("n"))
 
 
-@query("src_skip_unreadable", "status:s n_files:i n_rows:i")
+@query(
+    "src_skip_unreadable",
+    "day:i kind:s n_files:i n_rows:i n_reasons:i",
+    """SELECT d AS day, CASE WHEN d<=20 THEN 'daily' ELSE 'broken' END AS kind, 1 AS n_files, CASE WHEN d<=20 THEN n END AS n_rows,
+ CASE WHEN d<=20 THEN 0 ELSE 1 END AS n_reasons FROM (SELECT day(ts) AS d, count(*) AS n FROM events GROUP BY 1)
+ UNION ALL SELECT DISTINCT 0, 'empty', 1, 0, 0 FROM events""",
+)
 def skip_unreadable(fx: Fixtures):
-    """Folder of daily files in which some are not what they claim to be."""
-    good, bad = _folder(fx, "daily"), _folder(fx, "broken")
+    """A file per day, of which the later ones are not what they claim to be, and one without rows."""
+    root = _folder(fx, "daily")
     days = fx.table("events").select("event_id", "value", F.dayofmonth("ts").alias("d"))
-    sinks.write_table(days.where("d <= 20").repartition(4, "d"), good)
-    days.where("d > 20").select(F.col("value").cast("string")).write.text(bad)
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.DoubleType())])
-    listed = fx.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load([good, bad]).select("path")
-    reader = fx.spark.read.schema(schema).option("ignoreCorruptFiles", True).option("pathGlobFilter", "part-*")
-    rows = reader.parquet(good, bad).select(F.col("_metadata.file_path").alias("path"))
-    skipped = readers.skipped_files(listed, rows)
-    ok = rows.agg(F.lit("read").alias("status"), F.count_distinct("path").alias("n_files"), F.count("*").alias("n_rows"))
-    return ok.unionByName(
-        skipped.agg(F.lit("skipped").alias("status"), F.count("*").alias("n_files"), F.lit(0).cast("long").alias("n_rows"))
+    sinks.write_table(days.where("d <= 20").repartition("d"), f"{root}/kind=daily", ["d"])
+    days.limit(0).drop("d").coalesce(1).write.parquet(f"{root}/kind=empty/d=0")
+    text = days.where("d > 20").select("d", F.col("value").cast("string"))
+    sinks.write_table(text.repartition("d"), f"{root}/kind=broken", ["d"], fmt="text")
+    read = readers.file_report(fx.spark, root, "parquet", ["event_id", "value"], "part-*")
+    kind, day = (F.regexp_extract("path", pattern, 1) for pattern in (r"kind=(\w+)/", r"/d=(\d+)/"))
+    return read.groupBy(day.cast("int").alias("day"), kind.alias("kind")).agg(
+        F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"), F.count("reason").alias("n_reasons")
     )
 
 
@@ -181,11 +185,18 @@ def link_extract(fx: Fixtures):
     return found.withColumn("name", readers.file_name(F.col("link")))
 
 
-@query("prov_sha256_manifest", "path:s bytes:i sha256:s status:s")
+@query("prov_sha256_manifest", "path:s bytes:i sha256:s")
 def sha256_manifest(fx: Fixtures):
     return provenance.file_manifest(fx.spark, fx.dir, "*.parquet")
 
 
+@query("prov_folder_hash", "sha256:s n_files:i")
+def folder_hash(fx: Fixtures):
+    """The folder of all tables as one hash of names and sizes."""
+    files = stores.listed(fx.spark, fx.dir)
+    return provenance.folder_digest(files.select(stores.below(fx.spark, fx.dir).alias("path"), "bytes"))
+
+
 @query(
     "prov_inventory_verify",
     "path:s fault:s",
@@ -282,17 +293,31 @@ def table_equal(fx: Fixtures):
     return provenance.tables_equal(first, second, keys, ["obs"], 1e-13, 1e-13)
 
 
-@query("sink_table", "field:s n_rows:i kept_first:b", "SELECT field, count(*) AS n_rows, true AS kept_first FROM fx_field_long GROUP BY field")
+@query(
+    "sink_table",
+    "turn:s field:s n_rows:i total:f",
+    """SELECT 'kept' AS turn, field, count(*) AS n_rows, sum(value) AS total FROM fx_field_long GROUP BY field
+ UNION ALL SELECT 'replaced', field, count(*), sum(value+value*iy) FROM fx_field_long WHERE iy>3 GROUP BY field""",
+)
 def sink_table(fx: Fixtures):
-    """Write, try to write again without overwrite, read what is there."""
-    path = _folder(fx, "sink")
-    sinks.write_table(fx.field_long, path, ["field"])
-    sinks.write_table(fx.field_long.withColumn("field", F.concat("field", F.lit("_again"))), path, ["field"])
-    stored = readers.read_field(fx.spark, path)
-    return stored.groupBy("field").agg(F.count("*").alias("n_rows")).withColumn("kept_first", ~F.endswith("field", F.lit("_again")))
+    """A second write without overwrite does nothing; one with it replaces the table that it reads."""
+    path, other = _folder(fx, "sink"), _folder(fx, "sink")
+    for place in (path, other):
+        sinks.write_table(fx.field_long, place, ["field"])
+        sinks.write_table(fx.field_long.where("iy = 0"), place, ["field"])
+    stored = readers.read_field(fx.spark, other)
+    sinks.write_table(stored.where("iy > 3").withColumn("value", F.col("value") * (1 + F.col("iy"))), other, ["field"], overwrite=True)
+    turns = [readers.read_field(fx.spark, p).withColumn("turn", F.lit(t)) for p, t in ((path, "kept"), (other, "replaced"))]
+    return turns[0].unionByName(turns[1]).groupBy("turn", "field").agg(F.count("*").alias("n_rows"), F.sum("value").alias("total"))
 
 
-@query("sink_csv_json", "kind:s n_rows:i rmse:f")
+@query(
+    "sink_csv_json",
+    "kind:s n_rows:i rmse:f",
+    """WITH m AS (SELECT t, sqrt(avg((prior-obs)**2)) AS rmse FROM fx_field GROUP BY t)
+--
+SELECT kind, count(*) AS n_rows, avg(rmse) AS rmse FROM m, (VALUES ('csv'), ('json')) k(kind) GROUP BY kind""",
+)
 def sink_csv_json(fx: Fixtures):
     """Metrics as CSV and the summary as JSON, both read back."""
     table = skill.monthly_skill(fx.field, [], "prior", "obs")

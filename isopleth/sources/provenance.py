@@ -7,38 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isopleth.functions.stats import scalar
-from isopleth.operators.guards import coordinate_mismatch
+from isopleth.sources import stores
 
+def file_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk: int = stores.CHUNK) -> DataFrame:
+    """Path below the folder, bytes and SHA-256 of every file, of whatever size.
 
-#: A file's content has to fit one row.
-LARGEST_FILE = (1 << 31) - 1024
+    Files are dealt to tasks and read there chunk by chunk; a file is never
+    held as a whole.
+    """
+    made = stores.digests(stores.listed(spark, path, pattern), chunk)
+    return made.select(stores.below(spark, path).alias("path"), "bytes", "sha256")
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*", largest: int = LARGEST_FILE) -> DataFrame:
-    """Path below the folder, bytes, SHA-256 and status of every file.
+def folder_digest(files: DataFrame) -> DataFrame:
+    """``sha256, n_files``: one hash of all names and sizes, in the order of the path's parts.
 
-    Files above ``largest`` bytes are listed with status ``too large`` and no
-    hash; their content is not read.
+    ``files``: path below the folder, bytes; no content is needed.  The names
+    of each sub-folder are merged on their own first; the sub-folders then
+    follow each other as their names do, which is the order of all paths.  An
+    empty folder has the hash of nothing.
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    prefix = store.makeQualified(root).toString().rstrip("/") + "/"
-    files = reader.load(path)
-    below = F.when(F.startswith("path", F.lit(prefix)), F.substring("path", len(prefix) + 1, 1 << 20)).otherwise(F.col("path"))
-    named = lambda rows, sha, status: rows.select(
-        below.alias("path"), F.col("length").alias("bytes"), sha.alias("sha256"), F.lit(status).alias("status")
-    )
-    small = named(files.where(F.col("length") <= largest), F.sha2("content", 256), "hashed")
-    return small.unionByName(named(files.where(F.col("length") > largest), F.lit(None).cast("string"), "too large"))
-
-
-def listing_hash(manifest: DataFrame) -> DataFrame:
-    """Hash of a folder from its sorted file names and sizes."""
-    entries = F.array_sort(F.collect_list(F.concat("path", F.col("bytes").cast("string"))))
-    return manifest.agg(F.sha2(F.array_join(entries, ""), 256).alias("sha256"), F.count("*").alias("n_files"))
+    parts = F.split("path", "/")
+    entry = F.struct(parts.alias("parts"), F.concat("path", F.col("bytes").cast("string")).alias("said"))
+    merged = files.groupBy(parts[0].alias("top")).agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.count("*").alias("n"))
+    said = merged.select("top", F.array_join("entries.said", "").alias("said"), "n")
+    all_said = F.array_sort(F.collect_list(F.struct("top", "said")))
+    return said.agg(F.sha2(F.array_join(all_said["said"], ""), 256).alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"))
 
 
 def inventory_faults(inventory: DataFrame, present: DataFrame) -> DataFrame:
@@ -130,9 +124,3 @@ def tables_equal(first: DataFrame, second: DataFrame, keys: Sequence[str], value
         F.count_if(F.col("_a").isNull()).alias("only_second"),
         F.count_if(both & far).alias("differing"),
     )
-
-
-def files_as_expected(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """Whether two sets of file names are the same; downloads must be marked complete."""
-    incomplete = expected.agg(F.count_if(~F.col("complete")).alias("n"))
-    return coordinate_mismatch(expected, present, ["path"]).withColumn("incomplete", scalar(incomplete))

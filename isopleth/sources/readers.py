@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from isopleth.sources import stores
+
 FIELD_SCHEMA = T.StructType(
     [
         T.StructField("field", T.StringType()),
@@ -151,11 +153,6 @@ def features(df: DataFrame, text: str) -> DataFrame:
     return nan_free(rows).dropna(subset=["value", "ts", "lon", "lat"])
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of every JSON file below a path."""
-    return features(spark.read.option("wholetext", True).text(path), "value")
-
-
 def whitespace_fields(df: DataFrame, text: str, names: Sequence[str]) -> DataFrame:
     """Columns from blank-separated lines; lines with another number of fields are kept apart by ``complete``."""
     parts = F.split(F.trim(F.col(text)), r"\s+")
@@ -167,21 +164,20 @@ def whitespace_fields(df: DataFrame, text: str, names: Sequence[str]) -> DataFra
     )
 
 
-def require_columns(columns: Sequence[str], needed: Sequence[str]) -> None:
-    missing = sorted(set(needed) - set(columns))
-    if missing:
-        raise KeyError(f"missing columns {missing}")
-
+def file_report(spark: SparkSession, folders: str | Sequence[str], fmt: str, columns: Sequence[str], pattern: str = "*") -> DataFrame:
+    """``path, name, status, reason, n_rows`` of every file below the folders; nothing is passed over in silence.
 
-def read_tolerant(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> DataFrame:
-    """Rows of the readable files below a path, with their file; corrupt files are passed over."""
-    reader = spark.read.schema(schema).option("ignoreCorruptFiles", True)
-    return reader.format(fmt).load(path).select("*", F.col("_metadata.file_path").alias("path"))
-
-
-def skipped_files(listed: DataFrame, read: DataFrame) -> DataFrame:
-    """Listed files that gave no rows."""
-    return listed.join(read.select("path").distinct(), "path", "left_anti").withColumn("reason", F.lit("unreadable"))
+    Each file is read to its end once (:func:`isopleth.sources.stores.read_attempts`):
+    ``read`` with its rows, also if it has none, or ``skipped`` with the reason.
+    """
+    tried = stores.read_attempts(stores.listed(spark, folders, pattern), fmt, columns)
+    return tried.select(
+        "path",
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"),
+        F.when(F.col("reason").isNull(), "read").otherwise("skipped").alias("status"),
+        "reason",
+        "n_rows",
+    )
 
 
 def links(pages: DataFrame, url: str, html: str, contains: Sequence[str] = (), suffixes: Sequence[str] = ()) -> DataFrame:

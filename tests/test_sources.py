@@ -1,5 +1,6 @@
 """Readers, sinks, units, links and provenance."""
 
+import hashlib
 from datetime import date
 
 import pytest
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 
 from isopleth.functions import geo, time, units
 from isopleth.grid import Grid
-from isopleth.operators import align, stations, tiles, zonal
-from isopleth.sources import provenance, readers, sinks
+from isopleth.operators import align, guards, stations, tiles, zonal
+from isopleth.sources import provenance, readers, sinks, stores
 
 
 def test_alias_resolution():
@@ -76,18 +77,97 @@ def test_exact_merge_fails_on_a_gap(spark):
 
 def test_sink_keeps_what_exists(spark, tmp_path):
     path = str(tmp_path / "out")
-    sinks.write_table(spark.range(3), path)
-    sinks.write_table(spark.range(9), path)
+    assert sinks.write_table(spark.range(3), path)
+    assert not sinks.write_table(spark.range(9), path)
     assert spark.read.parquet(path).count() == 3
-    sinks.write_table(spark.range(9), path, overwrite=True)
+    assert sinks.write_table(spark.range(9), path, overwrite=True)
     assert spark.read.parquet(path).count() == 9
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_table(spark.range(3), path)
+    broken = spark.range(9).select(F.when(F.col("id") == 7, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id"))
+    for write in (sinks.write_table, sinks.write_report):
+        with pytest.raises(Exception, match="stop"):
+            write(broken, path, overwrite=True)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+        assert [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception, match="stop"):
+        sinks.write_table(broken, str(tmp_path / "never"))
+    assert not (tmp_path / "never").exists()
+
+
+def test_a_folder_without_marker_is_rewritten(spark, tmp_path):
+    path = tmp_path / "out"
+    spark.range(3).write.parquet(str(path))
+    (path / sinks.MARKER).unlink()
+    assert not sinks.exists(spark, str(path))
+    assert sinks.write_table(spark.range(5), str(path))
+    assert spark.read.parquet(str(path)).count() == 5
+
+
+def test_a_table_may_replace_what_it_reads(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.write_table(spark.range(6).withColumn("p", F.col("id") % 2), path, ["p"])
+    sinks.write_table(spark.read.parquet(path).where("id > 2"), path, ["p"], overwrite=True)
+    assert sorted((r.id, r.p) for r in spark.read.parquet(path).collect()) == [(3, 1), (4, 0), (5, 1)]
+
+
+def _tree(root):
+    """A few files in nested folders, of which one name sorts between a folder and its files."""
+    for name, size in (("a/b/x y.bin", 5), ("a/c.bin", 0), ("a.bin", 3_000_000), ("a/b.bin", 7), ("z/1.bin", 11), ("é.bin", 2), (".hidden", 3)):
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(bytes(i * 31 % 251 for i in range(size)))
+    return sorted(p for p in root.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 4096])
+def test_manifest_hashes_files_of_any_size(spark, tmp_path, chunk):
+    files = _tree(tmp_path)
+    got = {(r.path, r.bytes, r.sha256) for r in provenance.file_manifest(spark, str(tmp_path), chunk=chunk).collect()}
+    assert got == {(str(p.relative_to(tmp_path)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in files}
+
+
+def test_folder_digest_follows_the_paths(spark, tmp_path):
+    want = hashlib.sha256()
+    for p in _tree(tmp_path):
+        want.update(str(p.relative_to(tmp_path)).encode() + str(p.stat().st_size).encode())
+    files = stores.listed(spark, str(tmp_path)).select(stores.below(spark, str(tmp_path)).alias("path"), "bytes")
+    assert tuple(provenance.folder_digest(files).first()) == (want.hexdigest(), 7)
+    assert tuple(provenance.folder_digest(files.limit(0)).first()) == (hashlib.sha256().hexdigest(), 0)
+
+
+def test_every_file_is_accounted_for(spark, tmp_path):
+    good, root = tmp_path / "d" / "good.parquet", tmp_path / "d"
+    spark.range(40).withColumnRenamed("id", "k").coalesce(1).write.parquet(str(tmp_path / "made"))
+    root.mkdir()
+    good.write_bytes(next((tmp_path / "made").glob("part-*")).read_bytes())
+    (root / "cut off.parquet").write_bytes(good.read_bytes()[:-20])
+    (root / "text.parquet").write_text("no columns here")
+    (root / "nothing.parquet").write_bytes(b"")
+    body = bytearray(good.read_bytes())
+    body[10:200] = bytes(190)
+    (root / "damaged.parquet").write_bytes(bytes(body))
+    spark.range(0).withColumnRenamed("id", "k").coalesce(1).write.parquet(str(tmp_path / "none"))
+    (root / "empty.parquet").write_bytes(next((tmp_path / "none").glob("part-*")).read_bytes())
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "other"))
+    (root / "other.parquet").write_bytes(next((tmp_path / "other").glob("part-*")).read_bytes())
+    got = {r.name: (r.status, r.n_rows, bool(r.reason)) for r in readers.file_report(spark, str(root), "parquet", ["k"]).collect()}
+    skipped = ("skipped", None, True)
+    assert got == {
+        "good.parquet": ("read", 40, False),
+        "empty.parquet": ("read", 0, False),
+        **{n: skipped for n in ("cut off.parquet", "text.parquet", "nothing.parquet", "damaged.parquet", "other.parquet")},
+    }
 
 
 def test_inventory_and_equality(spark, small):
     manifest = provenance.file_manifest(spark, small, "*.parquet")
     assert manifest.count() == 14
     assert provenance.inventory_faults(manifest, manifest.where("path <> 'part.parquet'")).first().fault == "missing"
-    assert provenance.listing_hash(manifest).first().n_files == 14
     a = spark.createDataFrame([(1, 1.0), (2, None)], "k int, v double")
     row = provenance.tables_equal(a, a.withColumn("v", F.lit(1.0)), ["k"], ["v"], 0.0, 1e-9).first()
     assert (row.matched, row.differing) == (2, 1)
@@ -95,10 +175,20 @@ def test_inventory_and_equality(spark, small):
     assert [(r.k, r.v, r.note) for r in added] == [(1, 1.0, None), (2, 5.0, "n")]
 
 
-def test_expected_files(spark):
-    want = spark.createDataFrame([("a", True), ("b", False)], "path string, complete boolean")
-    row = provenance.files_as_expected(want, spark.createDataFrame([("a",), ("c",)], "path string")).first()
-    assert (row.common, row.only_left, row.only_right, row.incomplete) == (1, 1, 1, 1)
+def test_axes_equal_within_a_tolerance(spark):
+    left = spark.createDataFrame([(0.0, 1.0), (15.0, 2.0), (30.0, 2.0), (None, 2.0)], "lat double, lon double")
+    right = spark.createDataFrame([(5e-9, 1.0), (15.0 - 9e-9, 2.0 + 5e-8), (30.0 + 2e-8, 2.0)], "lat double, lon double")
+    got = {r.axis: (r.common, r.only_left, r.only_right) for r in guards.axis_mismatch(left, right, ["lat", "lon"]).collect()}
+    assert got == {"lat": (2, 1, 1), "lon": (2, 0, 1)}
+    with pytest.raises(Exception, match="differ along lat"):
+        guards.require_same_grid(left, right, ["lat"]).collect()
+    assert guards.require_same_grid(left, left, ["lat", "lon"]).count() == 2
+    assert guards.axis_mismatch(left, right.limit(0), ["lat"]).first().only_left == 3
+
+
+def test_zone_raster(spark):
+    rows = spark.createDataFrame([(0, 1, 5), (0, 1, 5), (0, 2, 5), (0, 2, 6), (1, 1, None), (1, 2, None), (1, 2, 7)], "y int, x int, z int")
+    assert tuple(guards.raster_faults(rows, ["y", "x"], "z").first()) == (4, 1, 1)
 
 
 def test_month_lookup_policy(spark):
@@ -107,6 +197,10 @@ def test_month_lookup_policy(spark):
     assert [r.v for r in align.month_lookup(wanted, released, "o").collect()] == [6.0]
     with pytest.raises(Exception, match="2020-02-01"):
         align.month_lookup(wanted, released, "o", "error").collect()
+    assert sorted((r.month.month, r.v) for r in align.month_lookup(wanted, released, "o", "keep").collect()) == [(1, 6.0), (2, None)]
+    assert [r.month for r in align.months_without_release(wanted, released).collect()] == [date(2020, 2, 1)]
+    with pytest.raises(ValueError, match="policy"):
+        align.month_lookup(wanted, released, "o", "skip")
 
 
 def test_tiles_and_attribute_choice():

@@ -5,6 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from isopleth.grid import Grid
 from isopleth.operators import guards, weights
 
 
@@ -96,4 +97,19 @@ def test_banned_tokens_and_missing_keys(spark):
     df = spark.createDataFrame([("era5", "reanalysis"), ("x", "JPL mascon")], "a string, b string")
     assert [r[0] for r in df.select(guards.is_banned(F.col("a"), F.col("b"))).collect()] == [False, True]
     attrs = spark.createDataFrame([("alpha", "fit_n_months", "3")], "artefact string, key string, value string")
-    assert guards.missing_attributes(attrs).count() == 5
+    assert guards.provenance_report(attrs, "1998-12-31").first().n_missing == 5
+
+
+def test_optional_layers(spark):
+    fine, coarse = Grid(4, 4, 0.0, 0.0, 1.0, 1.0), Grid(2, 2, 0.4, 0.4, 2.0, 2.0)
+    rows = [(1, 0, 0, 0.5), (2, 0, 0, 0.1), (1, 0, 1, 0.4), (1, 1, 0, None), (2, 1, 1, 0.9), (1, 1, 1, 0.7)]
+    layer = spark.createDataFrame(rows, "t int, iy int, ix int, v double")
+    cells = spark.createDataFrame([(y, x) for y in range(4) for x in range(4)], "iy int, ix int")
+    both = weights.land_mask(weights.optional_penalty(cells, layer, "v", coarse, fine, "p"), layer, "v", "t", coarse, fine)
+    got = {(r.iy, r.ix): (r.p, r.land) for r in both.collect()}
+    # Means .3, .4 and .8 of three cells; cells 0 and 3 lie outside the hull of 0.4 and 2.4.
+    near = {(1, 1): (0.0, 1.0), (1, 2): (0.2, 0.0), (2, 1): (0.0, 0.0), (2, 2): (1.0, 1.0)}
+    assert got.keys() == {(y, x) for y in range(4) for x in range(4)}
+    assert all(got[k] == pytest.approx(near.get(k, (0.0, 0.0))) for k in got)
+    none = weights.land_mask(weights.optional_penalty(cells, None, "v", coarse, fine, "p"), None, "v", "t", coarse, fine)
+    assert {(r.p, r.land) for r in none.collect()} == {(0.0, 1.0)}
