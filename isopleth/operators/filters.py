@@ -8,16 +8,15 @@ the filter's matrix.  Two passes shuffle the field twice.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from isopleth.functions.stats import exact_median, exact_quantiles, ratio, scalar, spearman
 from isopleth.grid import Grid
+from isopleth.operators.lines import along_lines, cells_of
 
 
 def gaussian_taps(size: int = 13, sigma: float = 3.0) -> list[float]:
@@ -51,27 +50,8 @@ def spread(df: DataFrame, keys: Sequence[str], axis: str, n: int, values: Sequen
            edge: str) -> DataFrame:
     """Sum of ``tap * value`` along one axis, for every cell of a line that has any data."""
     matrix = line_matrix(n, taps, edge).T
-    names = [*keys, *values]
-    lines = df.groupBy(*keys).agg(F.collect_list(F.struct(axis, *values)).alias("_line"))
-    flat = lines.select(*keys, *[F.col(f"_line.{c}").alias(c) for c in (axis, *values)])
-    types = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField(v, T.ArrayType(T.DoubleType())) for v in values])
-
-    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, k = batch.column(axis), batch.num_rows
-            row = np.repeat(np.arange(k), np.diff(at.offsets.to_numpy()))
-            place = at.flatten().to_numpy()
-            out = [batch.column(key) for key in keys]
-            for v in values:
-                dense = np.zeros((k, n))
-                dense[row, place] = batch.column(v).flatten().to_numpy(zero_copy_only=False)
-                cells = pa.array((dense @ matrix).ravel())
-                out.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * n, n, dtype=np.int32)), cells))
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    cells = flat.mapInArrow(filtered, schema).select(*keys, F.posexplode(F.arrays_zip(*values)).alias(axis, "_cell"))
-    return cells.select(*keys, axis, *[F.col(f"_cell.{v}").alias(v) for v in values])
+    lines = along_lines(df, keys, axis, n, values, lambda stacks, _: [stacks[v] @ matrix for v in values], values)
+    return cells_of(lines, keys, axis, values)
 
 
 def blur(df: DataFrame, keys: Sequence[str], values: Sequence[str], grid: Grid, taps: Sequence[float], edge: str,

@@ -14,7 +14,7 @@ PAIR = ["block", "iy_i", "ix_i", "iy_j", "ix_j"]
 
 
 def contrasts(obs: DataFrame, models: DataFrame, models_n: int) -> DataFrame:
-    """Observed and modelled differences per pair, period and member on the common periods.
+    """Per pair and common period the observed difference and, in one array, that of every member.
 
     A period counts for a cell only if every model and variant has a value
     there.  Pairs form inside one block and period, so at most ``factor**2``
@@ -33,7 +33,7 @@ def contrasts(obs: DataFrame, models: DataFrame, models_n: int) -> DataFrame:
         "a.members",
         "b.members",
         lambda x, y: F.struct(
-            x["model"].alias("model"), x["variant"].alias("variant"), (x["value"] - y["value"]).alias("d")
+            x["model"].alias("model"), x["variant"].alias("variant"), (x["value"] - y["value"]).alias("model_d")
         ),
     )
     return met.select(
@@ -44,8 +44,8 @@ def contrasts(obs: DataFrame, models: DataFrame, models_n: int) -> DataFrame:
         F.col("b.ix").alias("ix_j"),
         F.col("a.t").alias("t"),
         (F.col("a.obs") - F.col("b.obs")).alias("obs_d"),
-        F.explode(both).alias("m"),
-    ).select(*PAIR, "t", "obs_d", "m.model", "m.variant", F.col("m.d").alias("model_d"))
+        both.alias("members"),
+    )
 
 
 def _ranked(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
@@ -55,12 +55,18 @@ def _ranked(df: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     return df.withColumn(out, F.rank().over(order) + (F.count("*").over(ties) - 1) / 2.0)
 
 
-def pair_table(diffs: DataFrame) -> DataFrame:
-    """Correlation, rank correlation and sign agreement per pair and member, with spreads."""
+def pair_table(series: DataFrame) -> DataFrame:
+    """Correlation, rank correlation and sign agreement per pair and member, with spreads.
+
+    ``series`` as of :func:`contrasts`.  The observation is ranked, and the
+    periods are listed, once per pair; only then the members part.  All that
+    follows groups by the pair and more, so the series travel once.
+    """
+    observed = _ranked(series, PAIR, "obs_d", "_ro")
     group = [*PAIR, "model", "variant"]
-    ranked = _ranked(_ranked(diffs, group, "obs_d", "_ro"), group, "model_d", "_rm")
+    members = observed.select(*PAIR, "t", "obs_d", "_ro", F.explode("members").alias("m")).select(*PAIR, "t", "obs_d", "_ro", "m.*")
     same = F.signum("obs_d") == F.signum("model_d")
-    return ranked.groupBy(*group).agg(
+    table = _ranked(members, group, "model_d", "_rm").groupBy(*group).agg(
         F.count("*").alias("n_common"),
         pearson("model_d", "obs_d", 1).alias("pearson_r"),
         pearson("_rm", "_ro", 1).alias("spearman_rho"),
@@ -68,8 +74,10 @@ def pair_table(diffs: DataFrame) -> DataFrame:
         F.count_if(F.col("obs_d") == 0).alias("obs_zero"),
         F.stddev_pop("obs_d").alias("_so"),
         F.stddev_pop("model_d").alias("_sm"),
-        F.array_join(F.array_sort(F.collect_list(F.date_format("t", "yyyy-MM-dd"))), ";").alias("common_periods"),
     )
+    days = F.array_sort(F.collect_list(F.date_format("t", "yyyy-MM-dd")))
+    periods = series.groupBy(*PAIR).agg(F.array_join(days, ";").alias("common_periods"))
+    return table.join(periods, PAIR)
 
 
 def judged(table: DataFrame, minimum: int) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isopleth.grid import BROADCAST_CELLS, Grid
+from isopleth.operators.lines import along_lines, cells_of
+
+
+#: Most entries of a weight matrix that goes to every executor (some 30 MB); a half-degree globe has a million.
+BROADCAST_WEIGHTS = 4 * BROADCAST_CELLS
 
 
 def _hinted(mapping: DataFrame, rows: int) -> DataFrame:
@@ -37,7 +42,12 @@ def nearest(df: DataFrame, keys: Sequence[str], values: Sequence[str], source: G
 
 
 def bilinear(df: DataFrame, keys: Sequence[str], value: str, source: Grid, target: Grid) -> DataFrame:
-    """Linear in both directions; missing if any of the four corners is."""
+    """Linear in both directions; missing if any of the four corners is.
+
+    The weights are a sparse matrix, one row per source cell: of up to
+    ``BROADCAST_WEIGHTS`` entries it goes to all tasks, so that the field of a
+    half-degree globe is not shuffled before its shares are summed.
+    """
     base = _targets(df.sparkSession, source, target).withColumns(
         {
             "y0": F.least(F.floor("fy"), F.lit(source.ny - 2)).cast("int"),
@@ -51,11 +61,13 @@ def bilinear(df: DataFrame, keys: Sequence[str], value: str, source: Grid, targe
         return F.struct((F.col("y0") + j).alias("iy"), (F.col("x0") + i).alias("ix"), (wy * wx).alias("w"))
 
     corners = F.array(*[corner(j, i) for j in (0, 1) for i in (0, 1)])
-    mapping = base.select("ty", "tx", F.explode(corners).alias("c")).select("ty", "tx", "c.*")
-    joined = df.where(F.col(value).isNotNull()).join(_hinted(mapping, 4 * target.size), ["iy", "ix"])
-    summed = joined.groupBy(*keys, "ty", "tx").agg(
-        F.sum(F.col(value) * F.col("w")).alias(value), F.count("*").alias("_n")
-    )
+    to = F.struct("ty", "tx", F.col("c.w").alias("w"))
+    mapping = base.select("ty", "tx", F.explode(corners).alias("c")).groupBy("c.iy", "c.ix").agg(F.collect_list(to).alias("_to"))
+    small = 4 * target.size <= BROADCAST_WEIGHTS
+    joined = df.where(F.col(value).isNotNull()).join(F.broadcast(mapping) if small else mapping, ["iy", "ix"])
+    # Each cell is read once and sends a weighted share to every target; shares are summed before they travel.
+    shares = joined.select(*keys, F.col(value).alias("_v"), F.explode("_to").alias("_to"))
+    summed = shares.groupBy(*keys, "_to.ty", "_to.tx").agg(F.sum(F.col("_v") * F.col("_to.w")).alias(value), F.count("*").alias("_n"))
     return summed.where("_n = 4").select(*keys, F.col("ty").alias("iy"), F.col("tx").alias("ix"), value)
 
 
@@ -81,31 +93,37 @@ def spline_matrix(source: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _spline_pass(df: DataFrame, keys: list[str], along: str, value: str, n: int, matrix: np.ndarray,
                  inside: np.ndarray) -> DataFrame:
-    """Interpolate each complete line of cells; a line has at most one grid side of cells."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], f"`{along}` int", f"`{value}` double"])
+    """Interpolate every line; one with a gap gives nothing.  A batch of lines is one product with the matrix."""
+    across = matrix.T
 
-    def line(pdf: pd.DataFrame) -> pd.DataFrame:
-        vector = np.full(n, np.nan)
-        vector[pdf[along].to_numpy()] = pdf[value].to_numpy(dtype=float)
-        made = matrix @ vector if np.isfinite(vector).all() else np.empty(0)
-        out = pd.DataFrame({along: inside[: len(made)].astype("int32"), value: made})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, along, value]]
+    def product(stacks: Mapping[str, np.ndarray], _: pa.RecordBatch) -> list[np.ndarray]:
+        whole = np.isfinite(stacks[value]).all(axis=1)
+        out = np.full((len(whole), across.shape[1]), np.nan)
+        out[whole] = stacks[value][whole] @ across
+        return [out]
 
-    return df.select(*keys, along, value).groupBy(*keys).applyInPandas(line, schema)
+    lines = along_lines(df, keys, along, n, [value], product, [value], absent=np.nan)
+    places = F.array(*[F.lit(int(i)) for i in inside])
+    cells = cells_of(lines, keys, "_at", [value]).where(~F.isnan(value))
+    return cells.select(*keys, F.get(places, F.col("_at")).alias(along), value)
 
 
-def cubic(df: DataFrame, keys: Sequence[str], value: str, source: Grid, target: Grid) -> DataFrame:
-    """Separable cubic spline; a row or column with a gap gives nothing, as does the outside of the hull."""
+def spline_weights(source: Grid, target: Grid) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Per axis, y then x: the spline's matrix and the target indices inside the hull."""
 
-    def weights(first: float, step: float, n: int, t_first: float, t_step: float, t_n: int):
+    def axis(first: float, step: float, n: int, t_first: float, t_step: float, t_n: int) -> tuple[np.ndarray, np.ndarray]:
         points, wanted = first + step * np.arange(n), t_first + t_step * np.arange(t_n)
         inside = np.flatnonzero((wanted >= points[0]) & (wanted <= points[-1]))
         return spline_matrix(points, wanted[inside]), inside
 
-    mx, ix = weights(source.lon0, source.dlon, source.nx, target.lon0, target.dlon, target.nx)
-    my, iy = weights(source.lat0, source.dlat, source.ny, target.lat0, target.dlat, target.ny)
+    return (
+        axis(source.lat0, source.dlat, source.ny, target.lat0, target.dlat, target.ny),
+        axis(source.lon0, source.dlon, source.nx, target.lon0, target.dlon, target.nx),
+    )
+
+
+def cubic(df: DataFrame, keys: Sequence[str], value: str, source: Grid, target: Grid) -> DataFrame:
+    """Separable cubic spline; a row or column with a gap gives nothing, as does the outside of the hull."""
+    (my, iy), (mx, ix) = spline_weights(source, target)
     rows = _spline_pass(df, [*keys, "iy"], "ix", value, source.nx, mx, ix)
     return _spline_pass(rows, [*keys, "ix"], "iy", value, source.ny, my, iy)

@@ -1,75 +1,73 @@
-"""Radial power spectra of masked maps."""
+"""Radial power spectra of masked maps, transformed line by line, then wavenumber by wavenumber."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isopleth.operators.lines import along_lines, cells_of
 
-def radial_power(fields: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Wavenumbers (cycles per cell) and mean power of a stack of maps; NaN marks masked cells.
 
-    Each map is demeaned on its support and zero outside; power is divided by
-    map size times support.  A map with fewer than four cells has NaN power
-    at the wavenumbers ``1..half`` over its shorter side.
+def ring_members(ny: int, nx: int, k: int, rings: int) -> np.ndarray:
+    """Which ring each wavenumber along y lies in, for wavenumber ``k`` along x, as an (ny, rings) matrix.
+
+    Rings are equal steps of the radius from 0 to half a cycle per cell, their
+    upper edge excluded.  A real map has the same power at ``-k``, so every
+    ``k`` that stands for two counts twice.
     """
-    _, ny, nx = fields.shape
-    half = min(ny, nx) // 2
-    good = np.isfinite(fields)
-    count = good.sum(axis=(1, 2))
-    mean = np.where(good, fields, 0.0).sum(axis=(1, 2)) / np.maximum(count, 1)
-    centred = np.where(good, fields - mean[:, None, None], 0.0)
-    scale = (ny * nx * np.maximum(count, 1))[:, None]
-    power = (np.abs(np.fft.fft2(centred)) ** 2).reshape(len(fields), -1) / scale
-    radius = np.hypot(np.fft.fftfreq(ny)[:, None], np.fft.fftfreq(nx)[None, :]).ravel()
-    edges = np.linspace(0.0, 0.5, half + 1)
-    member = (radius[:, None] >= edges[:-1]) & (radius[:, None] < edges[1:])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        values = power @ member / member.sum(axis=0)
-    values[count < 4] = np.nan
-    waves = np.tile((edges[:-1] + edges[1:]) / 2, (len(fields), 1))
-    waves[count < 4] = np.arange(1, half + 1) / min(ny, nx)
-    return waves, values
+    radius = np.hypot(np.fft.fftfreq(ny), k / nx)
+    edges = np.linspace(0.0, 0.5, rings + 1)
+    inside = (radius[:, None] >= edges[:-1]) & (radius[:, None] < edges[1:])
+    return inside * (1.0 if k == 0 or 2 * k == nx else 2.0)
 
 
 def spectrum(df: DataFrame, keys: Sequence[str], value: str, ny: int, nx: int, y0: str | None = None,
              x0: str | None = None) -> DataFrame:
-    """``wavenumber, power`` per map.
+    """``wavenumber, power`` per map: mean power on rings of equal wavenumber, in cycles per cell.
 
-    A map becomes one row of at most ``ny * nx`` cells; the transforms run on
-    Arrow batches of maps.
-    """
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "wavenumber array<double>", "power array<double>"])
-    chunk = max(1, 4_000_000 // (ny * nx))
-
-    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, chunk):
-                part = batch.slice(start, chunk)
-                cell, level = part.column("_cell"), part.column("_value")
-                which = np.repeat(np.arange(part.num_rows), np.diff(cell.offsets.to_numpy()))
-                fields = np.full((part.num_rows, ny * nx), np.nan)
-                fields[which, cell.flatten().to_numpy()] = level.flatten().to_numpy()
-                k, p = radial_power(fields.reshape(-1, ny, nx))
-                step = np.arange(part.num_rows + 1, dtype="int32") * k.shape[1]
-                columns = [part.column(name) for name in keys]
-                columns += [pa.ListArray.from_arrays(step, pa.array(a.ravel())) for a in (k, p)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "wavenumber", "power"])
+    A map is taken without its mean where it has values and as zero elsewhere;
+    power is divided by map size times number of values.  With fewer than four
+    values it is null, at the wavenumbers 1, 2 ... over the shorter side.
 
+    First every line along x is transformed, then for each wavenumber along x
+    the line of its coefficients along y; what is left are sums per ring.  No
+    row is larger than a grid line, so maps may be of any size.
+    """
+    keys, rings = list(keys), min(ny, nx) // 2
     y = F.col("iy") if y0 is None else F.col("iy") - F.col(y0)
     x = F.col("ix") if x0 is None else F.col("ix") - F.col(x0)
-    cells = df.where(F.col(value).isNotNull()).select(*keys, F.struct((y * nx + x).cast("int").alias("c"), F.col(value).alias("v")).alias("s"))
-    maps = cells.groupBy(*keys).agg(F.collect_list("s").alias("s")).select(
-        *keys, F.col("s.c").alias("_cell"), F.col("s.v").alias("_value")
-    )
-    both = maps.mapInArrow(transform, schema).select(*keys, F.explode(F.arrays_zip("wavenumber", "power")).alias("z"))
-    return both.select(*keys, "z.wavenumber", F.nanvl("z.power", F.lit(None).cast("double")).alias("power"))
+    cells = df.where(F.col(value).isNotNull()).select(*keys, y.cast("int").alias("_y"), x.cast("int").alias("_x"), F.col(value).alias("_v"))
+    # A row per map, small next to its cells; Spark sends it to all tasks where it can.
+    level = cells.groupBy(*keys).agg(F.avg("_v").alias("_mean"), F.count("*").alias("_n"))
+    centred = cells.join(level, keys).select(*keys, "_n", "_y", "_x", (F.col("_v") - F.col("_mean")).alias("_v"))
+
+    def rows(stacks: Mapping[str, np.ndarray], _: pa.RecordBatch) -> list[np.ndarray]:
+        made = np.fft.rfft(stacks["_v"], axis=1)
+        return [made.real, made.imag]
+
+    along_x = along_lines(centred, [*keys, "_n", "_y"], "_x", nx, ["_v"], rows, ["_re", "_im"])
+    waves = cells_of(along_x, [*keys, "_n", "_y"], "_k", ["_re", "_im"])
+
+    def columns(stacks: Mapping[str, np.ndarray], batch: pa.RecordBatch) -> list[np.ndarray]:
+        power = np.abs(np.fft.fft(stacks["_re"] + 1j * stacks["_im"], axis=1)) ** 2
+        own = batch.column("_k").to_numpy()
+        sums, counts = np.zeros((len(own), rings)), np.zeros((len(own), rings))
+        for k in np.unique(own):
+            member = ring_members(ny, nx, int(k), rings)
+            sums[own == k] = power[own == k] @ member
+            counts[own == k] = member.sum(axis=0)
+        return [sums, counts]
+
+    along_y = along_lines(waves, [*keys, "_n", "_k"], "_y", ny, ["_re", "_im"], columns, ["_s", "_c"])
+    each = cells_of(along_y, [*keys, "_n"], "_ring", ["_s", "_c"])
+    mean = each.groupBy(*keys, "_n", "_ring").agg((F.sum("_s") / F.sum("_c")).alias("_p"))
+    few = F.col("_n") < 4
+    wave = F.when(few, (F.col("_ring") + 1) / F.lit(min(ny, nx))).otherwise((F.col("_ring") + 0.5) * F.lit(0.5 / rings))
+    return mean.select(*keys, wave.alias("wavenumber"), F.when(~few, F.col("_p") / (F.lit(ny * nx) * F.col("_n"))).alias("power"))
 
 
 def summary(spectra: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -150,7 +150,22 @@ def _box_shares(fx: Fixtures):
     return filters.share_with_floor(wide, F.col("m"), F.col("j"), F.col("w"), scalar(middle), "hfi")
 
 
-@query("spc_box_hfi", "by:i bx:i hfi:f aridity:f rho:f")
+BOX_SQL = f"""{LONG_SQL},
+bz AS (SELECT model, iy//4 AS box_y, ix//4 AS box_x, t, iy%4 AS y, ix%4 AS x, v-avg(v) OVER g AS z, count(*) OVER g AS n FROM sf WINDOW g AS (PARTITION BY model, iy//4, ix//4, t)),
+bw AS (SELECT model, box_y, box_x, t, u, k, max(n) AS n, sum(z*cos(pi()*(k*x+u*y)/2)) AS re, sum(z*sin(pi()*(k*x+u*y)/2)) AS im
+ FROM bz, (SELECT unnest(range(4)) AS u), (SELECT unnest(range(4)) AS k) WHERE u<>2 AND k<>2 AND u+k>0 GROUP BY ALL),
+be AS (SELECT model, box_y, box_x, t, CASE WHEN max(n)>=4 THEN avg((re*re+im*im)/(16*n)) END AS energy FROM bw GROUP BY model, box_y, box_x, t),
+bm AS (SELECT box_y, box_x, t, max(energy) FILTER (model='M4') AS m, max(energy) FILTER (model='obs') AS j, max(energy) FILTER (model='prior') AS w FROM be GROUP BY box_y, box_x, t),
+bh AS (SELECT box_y, box_x, median(CASE WHEN abs(w-j)>1e-6*(SELECT median(w) FROM bm WHERE w>0) THEN (m-j)/(w-j) END) AS hfi FROM bm GROUP BY box_y, box_x),
+ba AS (SELECT box_y, box_x, hfi, aridity FROM bh JOIN (SELECT iy//4 AS box_y, ix//4 AS box_x, median(aridity) AS aridity FROM fx_cells GROUP BY ALL) USING (box_y, box_x)),
+br AS (SELECT {sql_rank("hfi")} AS a, {sql_rank("aridity")} AS b FROM ba WHERE hfi IS NOT NULL AND aridity IS NOT NULL)"""
+
+
+@query(
+    "spc_box_hfi",
+    "box_y:i box_x:i hfi:f aridity:f rho:f",
+    f"WITH {BOX_SQL}\n--\nSELECT box_y, box_x, hfi, aridity, (SELECT {sql_corr('a', 'b')} FROM br) AS rho FROM ba",
+)
 def box_hfi(fx: Fixtures):
     boxes = _box_shares(fx).groupBy("by", "bx").agg(F.percentile("hfi", F.lit(0.5)).alias("hfi"))
     dry = fx.cells.groupBy(
@@ -158,7 +173,7 @@ def box_hfi(fx: Fixtures):
     ).agg(F.percentile("aridity", F.lit(0.5)).alias("aridity"))
     joined = pinned(boxes.join(dry, ["by", "bx"]))
     rho = spearman(joined, [], "hfi", "aridity").select("rho")
-    return joined.withColumn("rho", scalar(rho))
+    return joined.withColumn("rho", scalar(rho)).withColumnsRenamed({"by": "box_y", "bx": "box_x"})
 
 
 SIZE, STRIDE = 6, 4

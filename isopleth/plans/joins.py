@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from isopleth.functions import time
 from isopleth.operators import align, conserve, neighbours, regrid, zonal
-from isopleth.plans.fixtures import Fixtures
+from isopleth.plans.fixtures import GRID, Fixtures
 from isopleth.plans.registry import query
 from isopleth.plans.skill import MONTHLY, PIXEL_SQL, _pixels, monthly_spatial
 from isopleth.plans.time_series import BETA_SQL, COVER, _disagreements
@@ -113,9 +113,10 @@ def nearest_point(fx: Fixtures):
 
 
 def _target(fx: Fixtures):
-    return replace(fx.grid, ny=10, nx=18, lat0=-90.0, lon0=-170.0, dlat=20.0, dlon=20.0)
+    return TARGET
 
 
+TARGET = replace(GRID, ny=10, nx=18, lat0=-90.0, lon0=-170.0, dlat=20.0, dlon=20.0)
 TARGET_SQL = """tg AS (SELECT ty, tx, (-90e0+20*ty+82.5e0)/15 AS fy, (-170e0+20*tx+172.5e0)/15 AS fx FROM (SELECT unnest(range(0,10)) AS ty)
  CROSS JOIN (SELECT unnest(range(0,18)) AS tx)), ti AS (SELECT * FROM tg WHERE fy BETWEEN 0 AND 11 AND fx BETWEEN 0 AND 23)"""
 
@@ -145,7 +146,24 @@ def regrid_bilinear(fx: Fixtures):
     return regrid.bilinear(fx.field, ["t"], "obs", fx.grid, _target(fx))
 
 
-@query("regrid_cubic", "month:i iy:i ix:i obs:f")
+def _spline_sql() -> str:
+    """The rule's weights as tables: sy (ty, y, w) and sx (tx, x, w)."""
+    items = []
+    for name, (matrix, inside) in zip(("y", "x"), regrid.spline_weights(GRID, TARGET)):
+        rows = ", ".join(f"({int(t)},{i},{float(w)!r}e0)" if "e" not in repr(float(w)) else f"({int(t)},{i},{float(w)!r})" for t, line in zip(inside, matrix) for i, w in enumerate(line))
+        items.append(f"s{name}(t{name}, {name}, w) AS (VALUES {rows})")
+    return ",\n".join(items)
+
+
+@query(
+    "regrid_cubic",
+    "month:i iy:i ix:i obs:f",
+    f"""WITH {_spline_sql()},
+cm AS (SELECT month(t) AS month, iy, ix, avg(obs) AS v FROM fx_field GROUP BY ALL),
+cx AS (SELECT month, iy, tx, sum(v*w) AS v FROM cm JOIN sx ON x=ix GROUP BY month, iy, tx HAVING count(v)=24)
+--
+SELECT month, ty AS iy, tx AS ix, sum(v*w) AS obs FROM cx JOIN sy ON y=iy GROUP BY month, ty, tx HAVING count(v)=12""",
+)
 def regrid_cubic(fx: Fixtures):
     """The calendar-month means have no gaps, which the spline needs."""
     means = fx.field.groupBy(F.month("t").alias("month"), "iy", "ix").agg(F.avg("obs").alias("obs"))

@@ -403,8 +403,34 @@ def spearman_fields(fx: Fixtures):
     return spearman(long, ["field"], "value", "obs")
 
 
-@query("met_alpha_spearman", "period:s diagnostic:s rho:f n:i p_value:f")
-def alpha_spearman(fx: Fixtures):
+ALPHA_RHO_SQL = f"""{ALPHA_SQL},
+pd AS (SELECT c.*, CASE WHEN split=0 THEN 'train' ELSE 'test' END AS period FROM fx_coarse c JOIN fx_split USING (t) WHERE split<>1),
+{sql_harmonics("ha", "pd", "period, cy, cx", "prior", 20)},
+{sql_harmonics("hb", "pd", "period, cy, cx", "obs", 20)},
+bs AS (SELECT period, cy, cx, {sql_corr("prior", "obs")} AS pcc, sqrt(avg((prior-obs)*(prior-obs)))/stddev_pop(obs) AS nrmse FROM pd GROUP BY period, cy, cx HAVING count(*)>=20),
+dg AS (SELECT period, cy, cx, pcc, nrmse, abs(ha.trend-hb.trend) AS abs_trend_difference, abs(ha.annual-hb.annual) AS abs_annual_difference
+ FROM bs JOIN ha USING (period, cy, cx) JOIN hb USING (period, cy, cx)),
+dl AS (SELECT * FROM (UNPIVOT dg ON pcc, nrmse, abs_trend_difference, abs_annual_difference INTO NAME diagnostic VALUE value)),
+da AS (SELECT period, diagnostic, 1-disagreement AS alpha, value FROM dl JOIN alpha USING (cy, cx) WHERE value IS NOT NULL),
+dr AS (SELECT period, diagnostic, {sql_rank("alpha", "period, diagnostic")} AS a, {sql_rank("value", "period, diagnostic")} AS b FROM da)"""
+
+
+@query(
+    "met_alpha_spearman",
+    "period:s diagnostic:s rho:f n:i",
+    f"WITH {ALPHA_RHO_SQL}\n--\nSELECT period, diagnostic, {sql_corr('a', 'b')} AS rho, count(*) AS n FROM dr GROUP BY period, diagnostic",
+)
+def alpha_spearman_ranks(fx: Fixtures):
+    return _alpha_spearman(fx)
+
+
+@query("met_alpha_spearman_test", "period:s diagnostic:s rho:f n:i p_value:f")
+def alpha_spearman_test(fx: Fixtures):
+    """The same with its p-value, which SQL has no function for."""
+    return _alpha_spearman(fx)
+
+
+def _alpha_spearman(fx: Fixtures):
     """Rank correlation of alpha with block diagnostics in the training and test months."""
     cell = ["cy", "cx"]
     coarse = fx.coarse.join(fx.split, "t").where("split <> 1").withColumn(
