@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -59,6 +60,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Batches to Python workers of at most ``most`` bytes, so that long rows do not fill a worker.
+
+    A setting of the session's own stays; Spark's default is 64 MB.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "67108864", "64m"):
+        spark.conf.set(name, most)
+
+
 def written(df: DataFrame) -> DataFrame:
     """A result written to the shared folder and read back, which also cuts the lineage of loops."""
     path = scratch(df.sparkSession, "pinned")
@@ -80,11 +91,21 @@ def pinned(df: DataFrame) -> DataFrame:
     return written(df)
 
 
-def release(spark: SparkSession) -> None:
-    """Forget cached results and delete the folders made so far; nothing built on them works afterwards."""
+def made() -> int:
+    """How many folders there are so far, for :func:`release` to begin from."""
+    return len(_FOLDERS)
+
+
+def release(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> None:
+    """Forget cached results and delete the folders made ``since`` but for those to ``keep``.
+
+    Nothing built on them works afterwards.
+    """
     while _CACHED:
         _CACHED.pop().unpersist()
     jvm = spark.sparkContext._jvm
-    while _FOLDERS:
-        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+    stay, gone = [f for f in _FOLDERS[since:] if f in keep], [f for f in _FOLDERS[since:] if f not in keep]
+    _FOLDERS[since:] = stay
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
