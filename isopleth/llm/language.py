@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isopleth.session import pinned
+from isopleth.session import pinned, small_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 _UNSEEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
@@ -73,9 +73,12 @@ def sample_quotas(available: dict[str, int], sample_rows: int, least: int) -> di
     return quotas
 
 
-def fitting_sample(known: DataFrame, sample_rows: int, min_rows: int) -> DataFrame:
+def fitting_sample(known: DataFrame, sample_rows: int, min_rows: int, most_languages: int = 256) -> DataFrame:
     """Rows (l, t): for each language of ``min_rows`` rows its first distinct texts in hash order.
 
+    Of more than ``most_languages`` languages those with the most rows are
+    learned, by name where equal: every one is a column of the model.
+
     At most ``sample_rows`` texts in all, or ``min_rows`` per language if that
     is more.  Only the hashes near a language's quota come to the driver:
     about twice the sample.
@@ -83,7 +86,8 @@ def fitting_sample(known: DataFrame, sample_rows: int, min_rows: int) -> DataFra
     known = known.withColumn("h", F.xxhash64("t"))
     texts = pinned(known.groupBy("l", "h").agg(F.count("*").alias("n")))
     per_lang = texts.groupBy("l").agg(F.sum("n").alias("rows"), F.count("*").alias("texts"))
-    available = {r["l"]: r["texts"] for r in per_lang.where(F.col("rows") >= min_rows).collect()}
+    common = per_lang.where(F.col("rows") >= min_rows).orderBy(F.desc("rows"), "l").limit(most_languages)
+    available = {r["l"]: r["texts"] for r in common.collect()}
     spark = known.sparkSession
     if not available:
         return known.select("l", "t").limit(0)
@@ -110,18 +114,20 @@ def fit_text_model(
     min_rows: int = 5,
     smoothing: float = 0.5,
     most_pairs: int = 2000,
+    most_languages: int = 256,
 ) -> TextModel:
     """Fit on at most ``sample_rows`` distinct texts, the declared language as label.
 
     The sample is drawn per language in hash order, copies once, so recomputed
     tasks take the same texts and every language with ``min_rows`` rows or more
-    is learned, however many rows the others have (:func:`fitting_sample`).  A
+    is learned, however many rows the others have, up to ``most_languages``
+    (:func:`fitting_sample`).  A
     text counts as a whole but weighs no more than ``most_pairs`` pairs, so one
     long text does not make a language.  Sums come back as one row per
     language.  No rows give a model without languages.
     """
     known = docs.select(declared.alias("l"), text.alias("t")).where("l IS NOT NULL AND t IS NOT NULL")
-    picked = fitting_sample(known, sample_rows, min_rows)
+    picked = fitting_sample(known, sample_rows, min_rows, most_languages)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -199,8 +205,10 @@ def identify(
     min_posterior: float = 0.6,
     prior_strength: float = 20.0,
     sample_rows: int = 12_000,
+    most_languages: int = 256,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The input with ``lang_id``, ``lang_posterior`` and ``lang_kept``.
+    """The input, or its columns ``keep``, with ``lang_id``, ``lang_posterior`` and ``lang_kept``.
 
     Posterior of a language l: P(text | l) P(declared | l) P(suffix | l)
     P(l | host).  The last is smoothed host -> domain -> all; all counts come
@@ -211,31 +219,40 @@ def identify(
     it.  ``lang_kept``: the text has letters, the best
     language reaches ``min_posterior`` and is among ``wanted`` (null: any
     learned).  Without any learnable language nothing can be said: null
-    language, posterior 0, not kept.
+    language, posterior 0, not kept.  At most ``most_languages`` languages are
+    learned, those with the most rows; a text in another one gets the likeliest
+    of the learned ones or stays uncertain.
+
+    Each text is scored once: what passes through is written with its scores,
+    so columns that are not needed, such as a text, are better left out by
+    ``keep``.
 
     Rows, also repeated ones, and other columns pass through; columns of those
     three names are replaced.
     """
     own = ["lang_id", "lang_posterior", "lang_kept"]
     docs = docs.drop(*own)
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    small_batches(docs.sparkSession)
     declared = F.lit(None).cast("string") if declared is None else declared
     host = F.lit(None).cast("string") if host is None else host
     page = F.lit(False) if page is None else F.coalesce(page, F.lit(False))
-    model = fit_text_model(docs, F.col(text_col), F.when(~page, declared), sample_rows)
+    model = fit_text_model(docs, F.col(text_col), F.when(~page, declared), sample_rows, most_languages=most_languages)
     n = len(model.languages)
     if not n:
         empty = {"lang_id": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_kept": F.lit(False)}
-        return docs.withColumns(empty)
+        return docs.select(*kept).withColumns(empty)
     domain, suffix = host_parts(host)
     # Struct fields cannot clash with the caller's columns.
     row = docs.select(
-        F.struct("*").alias("_row"),
+        (F.struct(*kept) if kept else F.struct(F.lit(None).alias("_none"))).alias("_row"),
         text_evidence(F.col(text_col), page, model).alias("_ll"),
         declared.alias("_declared"),
         host.alias("_host"),
         domain.alias("_domain"),
         suffix.alias("_suffix"),
     )
+    row = pinned(row)
     seen = pinned(
         row.where("_ll IS NOT NULL")
         .select("_host", "_domain", "_suffix", "_declared", _best(F.col("_ll")).alias("_l"))
@@ -283,4 +300,4 @@ def identify(
     good = F.col("_letters") & (F.col("lang_posterior") >= F.lit(min_posterior))
     if wanted is not None:
         good = good & F.col("lang_id").isin(list(wanted))
-    return out.select(*docs.columns, "lang_id", "lang_posterior", good.alias("lang_kept"))
+    return out.select(*kept, "lang_id", "lang_posterior", good.alias("lang_kept"))

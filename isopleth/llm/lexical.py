@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isopleth.session import written
+from isopleth.session import small_batches, written
 
 #: A block of the grid ends with the document that reaches one of these; a longer document is a block of its own.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 20, 4096
@@ -162,6 +162,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     A task holds one block at a time.  Rows with the same id are documents of
     their own.
     """
+    small_batches(docs.sparkSession)
     n_docs, n_tokens = corpus_size(docs, text_col)
     key = docs.schema[id_col].dataType
     schema = T.StructType(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isopleth.session import pinned
+from isopleth.session import pinned, small_batches
 
 #: Splitting pattern of the byte-level vocabulary.  Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -158,6 +158,7 @@ def pack(
     first, which costs at most a few part-filled sequences per group.  Rows
     hold numbers only unless ``keep_ids``.  An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     cut = pinned(pieces(docs, tokenizer or public_tokenizer(), id_col, text_col, length, keep_ids))
     groups = max(1, math.ceil(cut.count() / group_rows))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isopleth.llm.text import let, words
+from isopleth.session import small_batches
 
 #: Texts are sorted together up to so many words; a longer text is sorted alone, as a whole.
 BATCH_WORDS = 1 << 18
@@ -239,6 +240,7 @@ def collapse(docs: DataFrame, text_col: str = "text", times: int = 4, least: int
     rows of their own; other columns pass through, columns of those two names
     are replaced.
     """
+    small_batches(docs.sparkSession)
     rows = docs.drop(*[c for c in ("runs", "collapsed") if c != text_col])
     fields = [f for f in rows.schema.fields if f.name not in ("runs", "collapsed")]
     run = T.StructType([T.StructField(x, T.LongType()) for x in ("start", "length", "period")])

@@ -40,7 +40,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         language.markup_language(F.col("html")).alias("declared"),
         F.nullif(urls.host_of(F.col("url")), F.lit("")).alias("host"), F.lit(True).alias("page"),
     ))
-    found = language.identify(rows, declared=F.col("declared"), host=F.col("host"), page=F.col("page"))
+    found = language.identify(
+        rows, declared=F.col("declared"), host=F.col("host"), page=F.col("page"), keep=("doc_id", "page_id", "declared")
+    )
     return found.select(
         "doc_id",
         "declared",
