@@ -429,3 +429,28 @@ def test_sum_of_squares_choices_equal_brute_force():
         else:
             assert not any(g >= s for g in count) and o == 0
         gaps[w] = 20 - o - s
+
+
+def test_jaccard_groups_of_near_copies(spark):
+    """Copies 82 to 95 percent like a base that is or is not there, two chained bases, and texts that share a passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(25)]
+    rows = []
+    for at, (n, with_base) in enumerate(((120, True), (100, False))):
+        base = [word() for _ in range(n)]
+        middle = [w if i >= 6 else word() for i, w in enumerate(base)]
+        members = [base, middle] if with_base else []
+        for source in (base, middle, [*middle[:-5], *(word() for _ in range(5))]):
+            for _ in range(45):
+                copy = list(source)
+                for i in rng.sample(range(n), rng.choice([1, 1, 2, 3, 4, 6, 8])):
+                    copy[i] = rng.choice([word(), copy[i] + "x", passage[i % 25]])
+                members.append(copy)
+        rows += [(1000 * at + i, " ".join(m)) for i, m in enumerate(members)]
+    rows += [(5000 + i, " ".join([*passage, *(word() for _ in range(rng.choice([0, 1, 2, 3, 40])))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for width, percent, hot_df in ((3, 90, 3), (5, 80, 24)):
+        want = {i: g for i, (_, g) in brute_groups(dict(rows), width, percent).items()}
+        got = jaccard.near_duplicates(docs, width=width, percent=percent, hot_df=hot_df).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
