@@ -156,30 +156,38 @@ def mix(
         .where("_before < _part AND _before + _m >= _part")
         .select(*LEVELS, "_b", "_before")
     )
+    # Rows alike in id and text share a key: they are counted first, however many they are.
+    alike = keyed.join(if_small(pinned(ends)), [*LEVELS, "_b"]).groupBy(*LEVELS, "_order", "_n", "_part", "_before").agg(F.count("*").alias("_times"))
     inside = Window.partitionBy(*LEVELS).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_part") - F.col("_start")
     last = (
-        keyed.join(if_small(pinned(ends)), [*LEVELS, "_b"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .where("_start < _part AND _start + _n >= _part")
+        alike.withColumn("_start", F.col("_before") + F.coalesce(F.sum(F.col("_n") * F.col("_times")).over(inside), F.lit(0)))
+        .where("_start < _part AND _start + _n * _times >= _part")
         .groupBy(*LEVELS)
-        .agg(F.min(F.struct("_order", (F.col("_part") - F.col("_start")).alias("used"))).alias("_last"))
+        .agg(F.min(F.struct("_order", F.call_function("div", left, F.col("_n")).alias("copies"), (left % F.col("_n")).alias("used"))).alias("_last"))
     )
     plan = pinned(plan.join(last, [*LEVELS], "left").select(*LEVELS, "_whole", "_last"))
-    epochs = F.when(F.col("_last").isNull(), F.sequence(F.lit(1).cast("long"), F.col("_whole"))).otherwise(
-        F.sequence(F.lit(1).cast("long"), F.col("_whole") + 1)
-    )
-    none = F.col("_last").isNull() & (F.col("_whole") < 1)
-    taken = (
-        row.join(if_small(plan), [*LEVELS])
-        .withColumn("_o", epoch_key(seed, F.col("_whole"), F.col("_key")))
-        .withColumn("_epoch", F.explode(F.when(~none, epochs)))
-        .where((F.col("_epoch") <= F.col("_whole")) | (F.col("_o") <= F.col("_last._order")))
-    )
-    ends_here = (F.col("_epoch") > F.col("_whole")) & (F.col("_o") == F.col("_last._order"))
+    placed = row.join(if_small(plan), [*LEVELS]).withColumn("_o", epoch_key(seed, F.col("_whole"), F.col("_key")))
+    # Whole epochs, and of the partial one the rows before the key in which the budget ends.
+    before_end = F.col("_last").isNotNull() & (F.col("_o") < F.col("_last._order"))
+    epochs = F.when((F.col("_whole") > 0) | before_end, F.sequence(F.lit(1).cast("long"), F.col("_whole") + before_end.cast("long")))
+    taken = placed.withColumn("_epoch", F.explode(epochs)).withColumn("_used", F.col("_n"))
+    # Rows of that key are numbered, each input partition on its own: whole copies, the rest of one, no more.
+    tied = pinned(placed.where(F.col("_o") == F.col("_last._order")).withColumn("_mid", F.monotonically_increasing_id()))
+    split = F.shiftright("_mid", 33)
+    earlier = Window.partitionBy(*LEVELS).orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    parts = tied.groupBy(*LEVELS, split.alias("_split")).agg(F.count("*").alias("_c"))
+    parts = parts.select(*LEVELS, "_split", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_skip"))
+    own_order = Window.partitionBy(*LEVELS, "_split").orderBy("_mid")
+    numbered = tied.withColumn("_split", split).withColumn("_i", F.row_number().over(own_order) - 1).join(parts, [*LEVELS, "_split"])
+    number = F.col("_skip") + F.col("_i")
+    used = F.when(number < F.col("_last.copies"), F.col("_n")).when((number == F.col("_last.copies")) & (F.col("_last.used") > 0), F.col("_last.used"))
+    ending = numbered.withColumns({"_used": used, "_epoch": F.col("_whole") + 1}).where("_used IS NOT NULL")
+    taken = taken.select("_row", "_domain", "_n", "_epoch", "_used").unionByName(ending.select("_row", "_domain", "_n", "_epoch", "_used"))
     return taken.select(
         "_row.*",
         F.col("_domain").alias("mix_domain"),
         F.col("_n").alias("mix_tokens"),
         (F.col("_epoch") - 1).alias("mix_epoch"),
-        F.when(ends_here, F.least(F.col("_last.used"), F.col("_n"))).otherwise(F.col("_n")).alias("mix_used"),
+        F.col("_used").alias("mix_used"),
     )

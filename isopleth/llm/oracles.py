@@ -96,7 +96,7 @@ plan AS (SELECT *, given // tokens AS whole, given % tokens AS part FROM leaves
     items.append(f"""
 o AS (SELECT *, md5(concat_ws('|', '{seed}', whole, k)) AS ord FROM d JOIN plan USING (domain, lang, source))""")
     items.append("""
-r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS before FROM o)""")
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)""")
     items.append("""
 taken AS (
   SELECT *, unnest(range(0, whole)) AS epoch, n AS used FROM r

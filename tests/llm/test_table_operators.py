@@ -454,3 +454,16 @@ def test_jaccard_groups_of_near_copies(spark):
         want = {i: g for i, (_, g) in brute_groups(dict(rows), width, percent).items()}
         got = jaccard.near_duplicates(docs, width=width, percent=percent, hot_df=hot_df).collect()
         assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_mixture_spends_exactly_on_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(10))
+    same = [(1, text, "en", "a")] * 50
+    some = [(i, " ".join(["x"] * (i % 7 + 1)), "en", "a") for i in range(2, 80)]
+    for rows, budget in ((same, 100), (same, 95), (same, 500), (same, 1234), (same + some, 333)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+        weights = {"domain": {}, "lang": {}, "source": {}}
+        taken = mixture.mix(docs, weights, F.lit("d"), budget=budget, max_epochs=4, seed=3).collect()
+        assert sum(r["mix_used"] for r in taken) == budget
+        assert all(0 < r["mix_used"] <= r["mix_tokens"] for r in taken)
+        assert sum(r["mix_used"] < r["mix_tokens"] for r in taken) <= 1
