@@ -69,6 +69,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry the label of their own number: an assumption, since ``labels`` names documents."""
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
@@ -106,7 +107,7 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     manifest = warc.write_archives(warc.with_revisits(pages), session.scratch(spark, "warc"))
-    return warc.resolved(warc.read_archives(manifest))
+    return warc.resolved(warc.read_archives(manifest), files=manifest)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from isopleth.llm.text import lower_ascii
 from isopleth.session import pinned
 
-BLOCK = "label=block"
+#: Kinds of tokens, the most telling first.
+KINDS = ("host", "domain", "path", "key", "ext", "scheme", "depth")
 
 
 @dataclass(frozen=True)
@@ -73,54 +74,106 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(every, lambda x: ~F.endswith(x, F.lit("="))))
 
 
+def _held(urls: DataFrame, known: DataFrame) -> DataFrame:
+    """``url`` and ``own``: its tokens that ``known`` (token, item, ...) lists, as their items, sorted."""
+    each = urls.select("url", F.explode(tokens(F.col("url"))).alias("token"))
+    return each.join(known.select("token", "item"), "token").groupBy("url").agg(F.array_sort(F.collect_set("item")).alias("own"))
+
+
+def _keyed(antecedents: DataFrame, counts: DataFrame) -> DataFrame:
+    """``antecedents`` with ``key``, the token that the fewest labelled URLs hold: the index lists them under it."""
+    each = antecedents.select("antecedent", F.explode("antecedent").alias("item")).join(counts.select("item", "n").distinct(), "item")
+    return each.groupBy("antecedent").agg(F.min(F.struct("n", "item"))["item"].alias("key"))
+
+
+def _lookup(own: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows of ``own`` with each rule that they fit: found by key in the index, verified on all tokens."""
+    found = own.withColumn("key", F.explode("own")).join(rules, "key")
+    return found.where(F.size(F.array_except("antecedent", "own")) == 0)
+
+
+def _baskets(own: str) -> Column:
+    """Itemsets of at most 12 tokens that hold every three tokens of ``own`` together."""
+    few = f"array({own})"
+    blocks = f"transform(sequence(0, cast(ceil(size({own}) / 4) as int) - 1), i -> slice({own}, i * 4 + 1, 4))"
+    many = """flatten(transform(sequence(0, size(b) - 3), i -> flatten(transform(sequence(i + 1, size(b) - 2),
+        j -> transform(sequence(j + 1, size(b) - 1), k -> concat(b[i], b[j], b[k]))))))"""
+    return F.expr(f"CASE WHEN size({own}) <= 12 THEN {few} ELSE transform(array({blocks}), b -> {many})[0] END")
+
+
 def mine(
     labelled: DataFrame,
     url: Column,
     bad: Column,
-    min_support: float = 0.01,
+    min_bad: int = 5,
     min_confidence: float = 0.8,
+    z: float = 3.0,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Rules ``antecedent => block`` by FP-growth: rule_id, antecedent, key, confidence, support.
-
-    All labelled URLs are mined.  Rules below either limit are pruned; ``key``
-    is the antecedent's rarest token, under which the index lists the rule.
-    The share ``min_support`` bounds how many rules there can be, not the rows.
-    No labelled rows give no rules.
+    """Rules ``antecedent => block``: rule_id, antecedent, key, n, n_bad, confidence.
+
+    A rule has one to three tokens, at least ``min_bad`` bad labelled URLs, a
+    share of bad ones among the labelled URLs that it fits of ``min_confidence``
+    or more, and the lower bound of that share (Wilson, ``z`` deviations) above
+    the share among all.  The limits are counts and shares of the rows that a
+    rule fits, so a rule needs the same evidence in a table of any size.
+
+    FP-growth runs over the bad URLs and proposes token sets; these are then
+    counted over all labelled URLs by their rarest token.  Tokens that occur in
+    the very same labelled URLs are one item, named after its most telling
+    token.  A URL with more than twelve items enters as several baskets that
+    hold all its triples, so its cost grows with the third power of its items
+    and not with two to their number.  Rules that another rule implies go.
+    The driver holds the items with ``min_bad`` bad URLs, as FP-growth does.
+    Repeated labels count each; rows without URL or label, and tables without
+    bad URLs, give no rules.
     """
-    rows = labelled.where(url.isNotNull() & bad.isNotNull()).select(
-        F.concat(tokens(url), F.when(bad, F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")
+    rows = labelled.where(url.isNotNull() & bad.isNotNull()).groupBy(url.alias("url"))
+    rows = pinned(rows.agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("long")).alias("n_bad")))
+    total = rows.agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")).first()
+    telling = F.array_position(F.array(*map(F.lit, KINDS)), F.substring_index("token", "=", 1))
+    same = ["n", "n_bad", "mark", "mark2"]
+    counts = (
+        rows.select("n", "n_bad", F.xxhash64("url").alias("h"), F.xxhash64("url", F.lit(1)).alias("h2"), F.explode(tokens(F.col("url"))).alias("token"))
+        .groupBy("token")
+        .agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"), F.bit_xor("h").alias("mark"), F.bit_xor("h2").alias("mark2"))
+        .where(F.col("n_bad") >= min_bad)
     )
-    rows = pinned(rows)
-    mined = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
+    items = counts.groupBy(*same).agg(F.min(F.struct(telling.alias("kind"), "token"))["token"].alias("item"))
+    counts = pinned(counts.join(items, same).select("token", "item", "n"))
+    own = _held(rows, counts).join(rows, "url")
+    own = pinned(own.groupBy("own").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad")))
+
+    # A set needs min_bad bad URLs, so more copies of one basket say nothing more.
+    copies = F.explode(F.sequence(F.lit(1), F.least("n_bad", F.lit(min_bad)).cast("int")))
+    baskets = own.where("n_bad > 0").select(F.explode(_baskets("own")).alias("items"), "n_bad").select("items", copies.alias("copy"))
+    baskets = pinned(baskets.select("items"))
+    # Half a row below the limit, so that rounding the share up gives the limit itself.
+    share = (min_bad - 0.5) / max(baskets.count(), min_bad)
+    growth = FPGrowth(itemsCol="items", minSupport=share, minConfidence=1.0)
     if partitions:
-        mined = mined.setNumPartitions(partitions)
-    model = mined.fit(rows)
-    rules = (
-        model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
-        .where((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
-        .select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-        .withColumn("rule_id", F.array_join("antecedent", " "))
-    )
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    keys = (
-        rules.select("rule_id", F.explode("antecedent").alias("token"))
-        .join(single, "token")
-        .groupBy("rule_id")
-        .agg(F.min(F.struct("freq", "token"))["token"].alias("key"))
-    )
-    return pinned(rules.join(keys, "rule_id"))
+        growth = growth.setNumPartitions(partitions)
+    proposed = growth.fit(baskets).freqItemsets.where(F.size("items") <= 3).select(F.sort_array("items").alias("antecedent"))
+    fits = _lookup(own, _keyed(pinned(proposed), counts))
+    counted = fits.groupBy("antecedent", "key").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+
+    p, n = F.col("n_bad") / F.col("n"), F.col("n")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    base = (total.n_bad or 0) / (total.n or 1)
+    rules = pinned(counted.where((F.col("n_bad") >= min_bad) & (p >= min_confidence) & (low > base)).withColumn("confidence", p))
+    parts = F.expr("""transform(sequence(1, cast(shiftleft(1, size(antecedent)) as int) - 2),
+        m -> filter(antecedent, (x, i) -> (shiftright(m, i) & 1) = 1))""")
+    implied = rules.where(F.size("antecedent") > 1).select("antecedent", F.explode(parts).alias("part"))
+    implied = implied.join(rules.select(F.col("antecedent").alias("part")), "part").select("antecedent")
+    kept = rules.join(implied, "antecedent", "left_anti").withColumn("rule_id", F.array_join("antecedent", " "))
+    return pinned(kept.select("rule_id", "antecedent", "key", "n", "n_bad", "confidence"))
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct ``url`` with its best mined rule: looked up by key, verified on all tokens."""
-    entries = rules.groupBy(F.col("key").alias("_token")).agg(
-        F.collect_list(F.struct("confidence", "support", "rule_id", "antecedent")).alias("_rules")
-    )
-    own = urls.select("url", tokens(F.col("url")).alias("_own")).select("url", "_own", F.explode("_own").alias("_token"))
-    fits = F.filter("_rules", lambda r: F.size(F.array_except(r["antecedent"], F.col("_own"))) == 0)
-    found = own.join(entries, "_token").select("url", F.array_max(fits).alias("_best")).where("_best IS NOT NULL")
-    return found.groupBy("url").agg(F.max("_best").alias("_best"))
+    """Distinct ``url`` with its best mined rule; only tokens that some rule holds are carried along."""
+    used = rules.select(F.explode("antecedent").alias("token")).distinct().withColumn("item", F.col("token"))
+    best = F.max(F.struct("confidence", "n_bad", "rule_id")).alias("_best")
+    return _lookup(_held(urls, used), rules.select("antecedent", "key", "confidence", "n_bad", "rule_id")).groupBy("url").agg(best)
 
 
 def judge(
@@ -139,7 +192,9 @@ def judge(
     everything else is allowed.  Null URLs and URLs without ``://`` have empty
     host and path and no tokens that rules could hold.  A verdict depends on
     the URL alone, so mined rules are matched once per distinct URL; repeated
-    rows and null ids are kept, other columns are not read.
+    rows and null ids are kept, other columns are not read.  A URL of any
+    length is matched on all its tokens.  Of several rules that fit, ``mined``
+    is that of the highest confidence, then of the most bad URLs, then by name.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1) if bad is None else bad

@@ -28,7 +28,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 16
 
 MANIFEST = "file string, bytes long, records long"
-RECORDS = "id string, url string, record_type string, refers_to string, payload_digest string, payload binary"
+RECORDS = """id string, url string, record_type string, refers_to string, payload_digest string, payload binary,
+    file string, offset long, length long, number int, problem string"""
 
 
 def base32_of_hex(digest: str) -> str:
@@ -40,8 +41,12 @@ def _uri(key: str | None) -> str:
     return "<urn:row:null>" if key is None else f"<urn:row:key:{quote(key, safe='')}>"
 
 
-def _key(uri: str) -> str | None:
-    return None if uri == "<urn:row:null>" else unquote(uri[len("<urn:row:key:") : -1])
+def _key(uri: str | None) -> str | None:
+    """The key in a record id made by :func:`_uri`; ids of other writers stay as they are."""
+    own = "<urn:row:key:"
+    if uri is None or uri == "<urn:row:null>":
+        return None
+    return unquote(uri[len(own) : -1]) if uri.startswith(own) else uri
 
 
 def record(key: str | None, url: str | None, refers_to: str | None, revisit: bool, digest: str, payload: bytes) -> bytes:
@@ -167,8 +172,8 @@ def _member(w: _Window, pos: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(unpack.unused_data)
 
 
-def _next_record(w: _Window, pos: int, end: int) -> tuple[bytes, int] | None:
-    """The first record that starts in [pos, end), by its magic."""
+def _next_record(w: _Window, pos: int, end: int) -> tuple[bytes, int, int] | None:
+    """Content, start and end of the first member that starts in [pos, end), by its magic."""
     while pos < end:
         data = w.read(pos, CHUNK)
         found = data.find(MAGIC)
@@ -179,61 +184,115 @@ def _next_record(w: _Window, pos: int, end: int) -> tuple[bytes, int] | None:
             continue
         pos += found
         if _starts_record(w, pos) and (whole := _member(w, pos)):
-            return whole
+            return whole[0], pos, whole[1]
         pos += 1
     return None
 
 
-def records_in_range(f, size: int, start: int, end: int) -> Iterator[bytes]:
-    """Every record that starts in [start, end) of an open file."""
+def members_in_range(f, size: int, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Content, start and end of every member of records that starts in [start, end) of an open file."""
     w, pos = _Window(f, size), start
     while pos < end:
         whole = _member(w, pos) if _starts_record(w, pos) else None
-        whole = whole or _next_record(w, pos, end)
-        if whole is None:
+        found = (whole[0], pos, whole[1]) if whole else _next_record(w, pos, end)
+        if found is None:
             return
-        yield whole[0]
-        pos = whole[1]
+        yield found
+        pos = found[2]
+
+
+def records_in_range(f, size: int, start: int, end: int) -> Iterator[bytes]:
+    """Content of every member that starts in [start, end) of an open file."""
+    return (raw for raw, _, _ in members_in_range(f, size, start, end))
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; folded lines belong to the one before, lines without a colon are passed over."""
+    fields, name = {}, None
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
+    return fields
+
+
+def _digest_problem(stated: str | None, payload: bytes, digest: str) -> str | None:
+    """What is wrong with a stated digest; those of an unknown algorithm or spelling are not judged."""
+    name, _, value = (stated or "").partition(":")
+    if name.lower() == "sha1":
+        same = value.upper() == digest or value.lower() == hashlib.sha1(payload).hexdigest()
+    elif name.lower() in ("md5", "sha256", "sha512") and value.isalnum():
+        raw = hashlib.new(name.lower(), payload)
+        same = value.lower() == raw.hexdigest() or value.upper().rstrip("=") == base64.b32encode(raw.digest()).decode().rstrip("=")
+    else:
+        return None
+    return None if same else f"payload digest is {digest}, header says {stated}"
+
 
+def parse(raw: bytes) -> tuple[tuple, bytes]:
+    """A record's id, url, type, refers_to, payload digest, payload and problem, and the bytes behind it.
 
-def parse(raw: bytes) -> tuple[str | None, str | None, str, str | None, str, bytes | None]:
-    """id, url, type, refers_to, payload digest and payload (none in a revisit) of a record."""
+    Any type is a row.  The payload is the block, behind the HTTP header where
+    the block has one; a revisit has none.  A missing digest, or one of another
+    algorithm, becomes the SHA-1 of the payload; a revisit keeps its own.  A
+    header without a right length, and a digest that differs, are problems.
+    """
     head, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    block = rest[: int(fields["Content-Length"])]
-    kind = fields["WARC-Type"]
-    url = fields.get("WARC-Target-URI")
-    stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    payload = None
-    if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        seen = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        if seen != stated:
-            raise ValueError(f"{fields['WARC-Record-ID']}: payload {seen}, header {stated}")
-    refers = fields.get("WARC-Refers-To")
-    return _key(fields["WARC-Record-ID"]), url and unquote(url), kind, refers and _key(refers), stated, payload
+    fields = _fields(head)
+    kind, stated, length = fields.get("warc-type"), fields.get("warc-payload-digest"), fields.get("content-length", "")
+    own = fields.get("warc-record-id")
+    url = fields.get("warc-target-uri")
+    named = _key(own), url and unquote(url.removeprefix("<").removesuffix(">")), kind, _key(fields.get("warc-refers-to"))
+    if not (length.isascii() and length.isdigit()) or int(length) > len(rest):
+        return (*named, None, None, f"content length {length or 'missing'}, {len(rest)} bytes follow"), b""
+    size = int(length)
+    block, behind = rest[:size], rest[size:].removeprefix(b"\r\n\r\n")
+    if kind == "revisit":
+        return (*named, stated and stated.partition(":")[2], None, None), behind
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    problem = _digest_problem(stated, payload, digest) if kind is not None else "no record type"
+    return (*named, digest, payload, problem), behind
+
+
+def _rows(file: str, members: Iterator[tuple[bytes, int, int]]) -> Iterator[tuple]:
+    """The rows of members of ``file``; the first record of a member carries its length, the others 0."""
+    for raw, start, end in members:
+        number = 0
+        while raw or not number:
+            (*row, problem), behind = parse(raw)
+            if not problem and behind and not behind.startswith(VERSION):
+                problem, behind = f"{len(behind)} bytes behind the record", b""
+            yield (*row, file, start, 0 if number else end - start, number, problem)
+            raw, number = behind, number + 1
 
 
 def read_archives(files: DataFrame, split_bytes: int = 8 << 20, most_tasks: int = 50_000) -> DataFrame:
-    """Records of the archives in ``file, bytes``: id, url, record_type, refers_to, payload_digest, payload.
+    """Records of the gzip archives in ``file, bytes``, of any writer and type.
 
-    Ranges are dealt to tasks by a shuffle of their numbers only, one task for
-    each up to ``most_tasks``.  A revisit's payload is null.  A digest that
-    differs from its header is an error.
+    Besides id, url, record_type, refers_to, payload_digest and payload a row
+    has its member's place (file, offset, length), its number in the member and
+    its problem, if any.  Ranges are dealt to tasks by a shuffle of their
+    numbers only, one task for each up to ``most_tasks``.  Bytes that are no
+    record are passed over here; :func:`losses` finds them.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        names = ["id", "url", "record_type", "refers_to", "payload_digest", "payload"]
+        names = [part.split()[0] for part in RECORDS.split(",")]
         for frame in frames:
             for file, size, start, end in frame.itertuples(index=False, name=None):
                 store, path = fs.FileSystem.from_uri(file)
                 rows, held = [], 0
                 with store.open_input_file(path) as f:
-                    for raw in records_in_range(f, size, start, end):
-                        rows.append(parse(raw))
-                        held += len(raw)
+                    for row in _rows(file, members_in_range(f, size, start, end)):
+                        rows.append(row)
+                        held += len(row[5] or b"") + 500
                         if held > 16 << 20:
                             yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
@@ -245,9 +304,26 @@ def read_archives(files: DataFrame, split_bytes: int = 8 << 20, most_tasks: int
     return ranges.repartition(tasks, F.col("file"), F.col("start")).mapInPandas(read, RECORDS)
 
 
-def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit's size is its target's.
+def losses(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Files not read whole: file, bytes, read_bytes, records, problems.
+
+    The members that were read must tile the file from its first byte to its
+    last, hold no problem and, where ``files`` has ``records``, be that many.
+    """
+    seen = records.groupBy("file").agg(
+        F.sum("length").alias("read_bytes"), F.count(F.lit(1)).alias("_records"), F.count("problem").alias("problems")
+    )
+    expected = F.col("records") if "records" in files.columns else F.lit(None).cast("long")
+    rows = files.select("file", "bytes", expected.alias("_expected")).join(seen, "file", "left")
+    rows = rows.fillna(0, ["read_bytes", "_records", "problems"])
+    wrong = (F.col("read_bytes") != F.col("bytes")) | (F.col("problems") > 0) | F.coalesce(F.col("_expected") != F.col("_records"), F.lit(False))
+    return rows.where(wrong).select("file", "bytes", "read_bytes", F.col("_records").alias("records"), "problems")
+
+
+def resolved(records: DataFrame, id_type: str = "bigint", files: DataFrame | None = None) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of responses and revisits; a revisit's size is its target's.
 
+    With ``files``, archives that were not read whole are an error that names some of them.
     Sizes of targets are aggregated first, so repeated records do not multiply
     revisits and a target of very many revisits is one row of the smaller side.
     """
@@ -258,7 +334,13 @@ def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
         "payload_digest",
         "record_type",
         F.col("refers_to").cast(id_type).alias("refers_to"),
+        "file",
+        "length",
+        "problem",
     ))
+    if files is not None and (lost := losses(files, rows).limit(5).collect()):
+        raise ValueError(f"archives not read whole: {', '.join(map(str, lost))}")
+    rows = rows.where("record_type IN ('response', 'revisit')")
     targets = (
         rows.where("record_type = 'response' AND page_id IS NOT NULL")
         .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -78,21 +79,77 @@ def test_mined_rules_equal_exhaustive_search(spark):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     items = {r[0]: frozenset(r[1]) for r in pages.select("page_id", urls.tokens(F.col("url"))).collect()}
     bad = {i: q == 0 for i, q, _ in labels if i is not None and q is not None}
-    rules = urls.mine(pages.join(known.withColumnRenamed("doc_id", "page_id"), "page_id"), F.col("url"), F.col("quality") == 0, 0.05, 0.9)
-    held = rules.collect()
+    joined = pages.join(known.withColumnRenamed("doc_id", "page_id"), "page_id")
+    held = urls.mine(joined, F.col("url"), F.col("quality") == 0, min_bad=10, min_confidence=0.9).collect()
     assert held
     for r in held:
-        a = set(r.antecedent)
-        covered = [i for i in bad if a <= items[i]]
-        assert r.confidence == pytest.approx(sum(bad[i] for i in covered) / len(covered)) and r.confidence >= 0.9
-        assert sum(bad[i] for i in covered) / len(bad) >= 0.05 and r.key in a
-    judged = {r.page_id: r for r in urls.judge(pages, known, min_support=0.05, min_confidence=0.9).collect()}
+        covered = [i for i in bad if set(r.antecedent) <= items[i]]
+        assert (r.n, r.n_bad) == (len(covered), sum(bad[i] for i in covered)) and r.confidence == pytest.approx(r.n_bad / r.n)
+        assert r.confidence >= 0.9 and r.n_bad >= 10 and r.key in r.antecedent
+    # Every set of up to three tokens that meets the limits is a rule or fits wherever a rule does.
+    base, every = sum(bad.values()) / len(bad), sorted(set().union(*(items[i] for i in bad)))
+    for size in (1, 2, 3):
+        for a in combinations(every, size):
+            covered = [i for i in bad if set(a) <= items[i]]
+            n, k = len(covered), sum(bad[i] for i in covered)
+            if k >= 10 and k / n >= 0.9 and wilson(k, n, 3.0) > base:
+                assert any(set(r.antecedent) <= items[i] for r in held for i in covered[:1])
+                assert all(any(set(r.antecedent) <= items[i] for r in held) for i in covered)
+    judged = {r.page_id: r for r in urls.judge(pages, known, min_bad=10, min_confidence=0.9).collect()}
     for i, own in items.items():
         blocked = any(set(r.antecedent) <= own for r in held)
         assert (judged[i].verdict == "block") == blocked == (judged[i].mined is not None)
     assert all((judged[i].verdict == "block") == ("spam" in u and "promo" in u) for i, u in rows)
 
 
+def wilson(k, n, z):
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def planted_urls(n):
+    """One URL in ten is of a bad host on a fine domain; of the others one in ten is bad by chance."""
+    rng = random.Random(n)
+    for i in range(n):
+        spam = i % 10 == 0
+        yield i, f"https://{'evil' if spam else 'h' + chr(97 + i % 7)}.example.org/{rng.choice(['en', 'de'])}/{i}", int(not (spam or rng.random() < 0.1)), 0
+
+
+@pytest.mark.parametrize("n", [200, 20_000])
+def test_the_same_rule_is_found_at_any_size(spark, n):
+    df = spark.createDataFrame(list(planted_urls(n)), "page_id long, url string, quality int, toxic int")
+    assert [r.antecedent for r in urls.mine(df, F.col("url"), F.col("quality") == 0).collect()] == [["host=evil"]]
+
+
+def test_few_bad_urls_among_very_many_make_a_rule_and_fewer_do_not(spark):
+    rows = [(f"http://h{chr(97 + i % 20)}.org/{chr(97 + i % 3)}", False) for i in range(4000)]
+    rows += [("http://bad.org/a", True)] * 3 + [("http://bad.org/b", True)] * 2 + [("http://four.org/a", True)] * 4
+    df = spark.createDataFrame(rows, "url string, bad boolean")
+    assert [r.antecedent for r in urls.mine(df, F.col("url"), F.col("bad")).collect()] == [["host=bad"]]
+
+
+def test_long_urls_are_mined_and_matched(spark):
+    words = [a + b for a in "abcdefgh" for b in "vwxyz"]
+    rng = random.Random(9)
+    deep = ["http://deep.org/" + "/".join(w for w in words if rng.random() < 0.9) for _ in range(12)]
+    rows = [(i, u, 0, 0) for i, u in enumerate(deep + ["http://same.org/" + "/".join(f"x{w}" for w in words)] * 6)]
+    rows += [(100 + 8 * i + j, f"http://fine.org/{w}/{j}", 1, 0) for i, w in enumerate(words) for j in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, quality int, toxic int")
+    # Each token of the long URLs but their hosts also occurs in fine ones, or in the same URLs as the host.
+    rules = {tuple(r.antecedent) for r in urls.mine(df, F.col("url"), F.col("quality") == 0).collect()}
+    assert ("host=deep",) in rules and ("host=same",) in rules
+    got = {r.page_id: r.verdict for r in urls.judge(df.select("page_id", "url"), df.select(F.col("page_id").alias("doc_id"), "quality", "toxic")).collect()}
+    assert all((v == "block") == (i < 100) for i, v in got.items())
+
+
+def test_baskets_hold_every_triple(spark):
+    for size in (1, 12, 13, 14, 23):
+        own = [f"t{i:02d}" for i in range(size)]
+        made = spark.createDataFrame([(own,)], "own array<string>").select(urls._baskets("own")).first()[0]
+        assert all(len(b) <= 12 for b in made)
+        assert all(any(set(c) <= set(b) for b in made) for c in combinations(own, min(3, size)))
+
+
 # Mixing
 
 
@@ -325,7 +382,8 @@ def test_warc_round_trip(spark, split_bytes):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     manifest = warc.write_archives(warc.with_revisits(pages), session.scratch(spark, "warc"))
     records = warc.read_archives(manifest, split_bytes)
-    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(records).collect())
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.resolved(records, files=manifest).collect())
+    assert warc.losses(manifest, records).count() == 0
     last = {"same": 2, "": 4, "alone": None, "twice": 6}
     want = Counter()
     for i, _, html in PAGES:
@@ -361,6 +419,83 @@ def test_ranges_own_each_record_once():
     assert len(list(warc.records_in_range(io.BytesIO(mixed), len(mixed), 0, len(mixed)))) == 2
 
 
+def member(text, level=6):
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return packer.compress(text if isinstance(text, bytes) else text.encode()) + packer.flush()
+
+
+def foreign(kind, block, *more, uri="<urn:uuid:1>"):
+    head = ["WARC/1.0", f"warc-type: {kind}", f"WARC-RECORD-ID:{uri}", *more, f"content-length:  {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+FOREIGN = [
+    foreign("warcinfo", b"software: x\r\n"),
+    foreign("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+    foreign("response", HTTP + b"body", "Content-Type: application/http;", " msgtype=response", "WARC-Target-URI: <http://a/\r\n\tb>", uri="<urn:uuid:2>"),
+    foreign("metadata", b"a: b\r\n", "no colon here", "WARC-Concurrent-To: <urn:uuid:2>"),
+    foreign("resource", b"plain", "WARC-Payload-Digest: SHA1:" + base64.b32encode(hashlib.sha1(b"plain").digest()).decode().lower()),
+    foreign("response", HTTP + b"hashed", "Content-Type: application/http", "WARC-Payload-Digest: sha256:" + hashlib.sha256(b"hashed").hexdigest()),
+    foreign("revisit", HTTP, "WARC-Refers-To: <urn:uuid:2>", "WARC-Payload-Digest: sha1:X"),
+    foreign("later-type", b"\xff\xfe"),
+]
+PAYLOADS = [b"software: x\r\n", b"", b"body", b"a: b\r\n", b"plain", b"hashed", None, b"\xff\xfe"]
+
+
+def archive(spark, data):
+    from pyarrow import fs
+
+    folder = session.scratch(spark, "foreign")
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/a.warc.gz", compression=None) as out:
+        out.write(data)
+    return spark.createDataFrame([(f"{folder}/a.warc.gz", len(data))], "file string, bytes long")
+
+
+@pytest.mark.parametrize("split_bytes", [61, 8 << 20])
+def test_archives_of_other_writers(spark, split_bytes):
+    files = archive(spark, b"".join(map(member, FOREIGN)) + member(b"".join(FOREIGN)))
+    rows = warc.read_archives(files, split_bytes).orderBy("offset", "number").collect()
+    assert [r.payload and bytes(r.payload) for r in rows] == [p and bytes(p) for p in PAYLOADS * 2]
+    assert [r.record_type for r in rows[:8]] == ["warcinfo", "request", "response", "metadata", "resource", "response", "revisit", "later-type"]
+    assert all(r.problem is None for r in rows)
+    assert (rows[2].id, rows[2].url) == ("<urn:uuid:2>", "http://a/ b") and rows[6].refers_to == "<urn:uuid:2>"
+    assert rows[5].payload_digest == base64.b32encode(hashlib.sha1(b"hashed").digest()).decode() and rows[6].payload_digest == "X"
+    assert warc.losses(files, spark.createDataFrame(rows, warc.RECORDS)).count() == 0
+
+
+@pytest.mark.parametrize("split_bytes", [61, 8 << 20])
+def test_damaged_archives_are_noticed(spark, split_bytes):
+    good = [member(foreign("resource", bytes([97 + i]) * 50)) for i in range(3)]
+    cut = {
+        "flipped": good[0] + good[1][:20] + bytes([good[1][20] ^ 255]) + good[1][21:] + good[2],
+        "truncated": good[0] + good[1] + good[2][:-9],
+        "between": good[0] + b"noise" + good[1] + good[2],
+    }
+    for name, data in cut.items():
+        files = archive(spark, data)
+        records = warc.read_archives(files, split_bytes)
+        lost = warc.losses(files, records).collect()
+        assert len(lost) == 1 and lost[0].records == (3 if name == "between" else 2), name
+        with pytest.raises(ValueError, match="a.warc.gz"):
+            warc.resolved(records, "string", files)
+    wrong = [
+        foreign("resource", b"x", "WARC-Payload-Digest: sha1:" + "A" * 32),
+        b"WARC/1.0\r\nWARC-Type: resource\r\n\r\nxyz",
+        foreign("resource", b"long").replace(b"content-length:  4", b"content-length:  9999"),
+        foreign("resource", b"long").replace(b"content-length:  4", b"content-length:  minus"),
+    ]
+    files = archive(spark, b"".join(map(member, wrong)) + good[0])
+    rows = warc.read_archives(files, split_bytes).orderBy("offset").collect()
+    assert [r.problem is None for r in rows] == [False] * 4 + [True]
+    assert warc.losses(files, spark.createDataFrame(rows, warc.RECORDS)).first().problems == 4
+    # A manifest that names more records than there are.
+    more = archive(spark, good[0]).withColumn("records", F.lit(2).cast("long"))
+    assert warc.losses(more, warc.read_archives(more)).count() == 1
+
+
 # Packing
 
 
