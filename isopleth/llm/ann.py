@@ -11,7 +11,7 @@ projection inside the radius visited so far.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,7 +93,7 @@ class Index:
     """Blocks of rows by dimension and leaf, and each leaf's box of projections."""
 
     blocks: DataFrame
-    rows: DataFrame
+    place: Callable[[DataFrame], DataFrame]
     boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     m: int
 
@@ -106,20 +106,30 @@ def build(
     block_rows: int = 512,
     sample_rows: int = 20_000,
     most_leaves: int = 4096,
+    copies: int | None = None,
+    sample_bytes: int = 64 << 20,
 ) -> Index:
-    """Index every row of :func:`vectors`.
+    """Index every vector of :func:`vectors`, each with its ``copies`` smallest ids (all where it is None).
 
-    Only the tree's cuts are fitted on a sample (about ``sample_rows`` rows by
-    hash of the id).  At most ``most_leaves`` leaves per dimension bound what
+    A search for k neighbours needs k + 1 copies of a vector: any further one is
+    as far from a query as these, and behind them.  They are picked before the
+    shuffle as well, so a vector that very many rows share costs no more than others.
+
+    Only the tree's cuts are fitted on a sample (by hash of the id, about
+    ``sample_rows`` rows and no more than about ``sample_bytes``).  At most ``most_leaves`` leaves per dimension bound what
     is sent to tasks; beyond that leaves grow and are read in more blocks.
     Blocks hold about ``block_rows`` rows dealt by id, so a leaf into which
-    very many equal vectors fall is many blocks.  Vectors are compared with
+    very many vectors fall is many blocks.  Vectors are compared with
     those of their own dimension only.
     """
+    if copies is not None:
+        copy = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+        df = df.withColumn("_copy", copy).where(F.col("_copy") <= copies).drop("_copy")
     base = pinned(df)
     per_dim = {d: n for d, n in base.groupBy(F.size("v")).count().collect()}
     total = sum(per_dim.values())
-    share = min(1.0, sample_rows / max(total, 1))
+    held = 8 * sum(d * n for d, n in per_dim.items())
+    share = min(1.0, sample_rows / max(total, 1), sample_bytes / max(held, 1))
     sample = base.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     picked: dict[int, list[np.ndarray]] = {}
     for (v,) in sample.select("v").toLocalIterator():
@@ -136,7 +146,10 @@ def build(
                 points = _matrix(part["v"], d) @ projection(d, m, seed)
                 yield pd.DataFrame({"id": part["id"], "v": part["v"], "dim": d, "leaf": trees[d].leaf(points), "p": list(points)})
 
-    rows = pinned(base.mapInPandas(place, "id long, v array<double>, dim int, leaf int, p array<double>"))
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.mapInPandas(place, "id long, v array<double>, dim int, leaf int, p array<double>")
+
+    rows = pinned(placed(base))
     sides = [f(F.get("p", F.lit(i))).alias(f"{name}{i}") for name, f in (("lo", F.min), ("hi", F.max)) for i in range(m)]
     leaves = pinned(rows.groupBy("dim", "leaf").agg(F.count("*").alias("n"), *sides))
     boxes = {}
@@ -153,7 +166,7 @@ def build(
         F.flatten(F.transform("b", lambda x: x["v"])).alias("vs"),
         F.flatten(F.transform("b", lambda x: x["p"])).alias("ps"),
     )
-    return Index(pinned(flat), rows, boxes, m)
+    return Index(pinned(flat), placed, boxes, m)
 
 
 def _order(box: tuple[np.ndarray, np.ndarray, np.ndarray], q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +201,12 @@ def nearest(
     ``query_block`` by ``block_rows``, and rows whose projection lies outside
     the stopping radius of the query's current neighbours are skipped.
     """
-    idx = build(df, **index)
+    df = pinned(df)
+    idx = build(df, copies=k + 1, **index)
     m, boxes = idx.m, idx.boxes
     reach = chi_square_quantile(probability, m)
-    queries = pinned(idx.rows.where(is_query).groupBy("id").agg(F.min(F.struct("v", "p", "dim")).alias("x")).select("id", "x.*"))
+    asking = df.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    queries = pinned(idx.place(asking).select("id", "v", "p", "dim"))
     n_blocks = max(1, math.ceil(queries.count() / query_block))
     most = max((len(b[0]) for b in boxes.values()), default=0)
     spark = df.sparkSession

@@ -367,6 +367,26 @@ def test_neighbours_edge_cases(spark):
     assert ann.nearest(ann.vectors(df.limit(0)), F.col("id") % 100 == 0).count() == 0
 
 
+def test_a_vector_that_many_rows_share(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.standard_normal(6).tolist()
+    rows = [(i, hot if i % 3 else rng.standard_normal(6).tolist()) for i in range(3000)]
+    df = ann.vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    # The hot vector's 2,000 rows are k + 1 in the index, and no result needs another.
+    held = ann.build(df, copies=6).blocks.select(F.explode("ids").alias("id")).collect()
+    assert len(held) == 1000 + 6
+    assert {r.id for r in held} >= {1, 2, 4, 5, 7, 8}
+    got = defaultdict(list)
+    for r in ann.nearest(df, F.col("id") % 100 == 0, k=5, probability=0.999999).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    all_v = np.array([v for _, v in rows])
+    for q in range(0, 3000, 100):
+        score = np.sqrt(((all_v - all_v[q]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((np.arange(3000), score)) if i != q][:5]
+        assert [i for i, _ in got[q]] == best
+        assert [s for _, s in got[q]] == pytest.approx(score[best], rel=1e-12)
+
+
 # WARC
 
 
