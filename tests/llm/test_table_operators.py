@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -622,3 +623,26 @@ def test_mixture_spends_exactly_on_repeated_rows(spark):
         assert sum(r["mix_used"] for r in taken) == budget
         assert all(0 < r["mix_used"] <= r["mix_tokens"] for r in taken)
         assert sum(r["mix_used"] < r["mix_tokens"] for r in taken) <= 1
+
+
+def test_jaccard_bound_keeps_every_link():
+    """The test on two orders loses no link, and drops most pairs that are none."""
+    rng = random.Random(3)
+    lost = links = dropped = others = 0
+    for percent in (90, 80, 50):
+        for _ in range(300):
+            n = rng.choice([1, 2, 5, 20, 60, 300])
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, n // 12, n // 6, n])):
+                copy[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            token, begins = jaccard.token_sets(pa.array([" ".join(base), " ".join(copy)]), 1)
+            size = np.diff(begins)
+            keys = [jaccard.first_keys(token, begins, jaccard._LISTS[k][1](size, percent), jaccard._LISTS[k][0]) for k in ("k1", "k2")]
+            a, b = (jaccard._Keyed(int(size[i]), *(k[i].values.to_numpy() for k in keys), percent) for i in (0, 1))
+            x, y = (set(token[begins[i] : begins[i + 1]].tolist()) for i in (0, 1))
+            if 100 * len(x & y) >= percent * len(x | y):
+                links, lost = links + 1, lost + (not jaccard._agree(a, b, percent))
+            else:
+                others, dropped = others + 1, dropped + (not jaccard._agree(a, b, percent))
+    assert links > 200 and lost == 0 and 2 * dropped > others
