@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isopleth.session import pinned, small_batches
+from isopleth.llm.tables import if_small
+from isopleth.session import pinned, small_batches, written
 
 #: Splitting pattern of the byte-level vocabulary.  Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -80,7 +81,7 @@ def pieces(
         T.StructField("ids_crc32", T.LongType()),
     ]
     if keep_ids:
-        fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -91,7 +92,7 @@ def pieces(
                 starts = [0, *range(first, len(ids), length)]
                 for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     row = (k, i, a, b - a, zlib.crc32(ids[a:b].tobytes()))
-                    rows.append(row + (ids[a:b].tolist(),) if keep_ids else row)
+                    rows.append(row + (ids[a:b].astype(np.int32),) if keep_ids else row)
             out = pd.DataFrame(rows, columns=[f.name for f in fields])
             if isinstance(key, T.IntegralType):
                 out["doc_id"] = out["doc_id"].astype("Int64")
@@ -155,14 +156,28 @@ def pack(
 
     Pieces are dealt to groups of about ``group_rows`` by row position, so a
     repeated id does not fill one group; each group packs on its own, longest
-    first, which costs at most a few part-filled sequences per group.  Rows
-    hold numbers only unless ``keep_ids``.  An empty table gives no rows.
+    first, which costs at most a few part-filled sequences per group.  A group
+    holds numbers only: with ``keep_ids`` (array of long) its rows are numbered
+    and the ids of a row wait where they were written for its place.  An empty
+    table gives no rows.
     """
     small_batches(docs.sparkSession)
-    cut = pinned(pieces(docs, tokenizer or public_tokenizer(), id_col, text_col, length, keep_ids))
+    cut = pieces(docs, tokenizer or public_tokenizer(), id_col, text_col, length, keep_ids)
+    if not keep_ids:
+        return _placed(pinned(cut), length, group_rows)
+    # Written, not cached: a row that is made again must not get another number.
+    cut = written(cut.withColumn("_row", F.monotonically_increasing_id()))
+    sizes = cut.select("_row", "piece", "length", "ids_crc32")
+    places = written(_placed(sizes, length, group_rows).select("_row", "sequence_id", "offset"))
+    whole = cut.join(if_small(places), "_row")
+    return whole.select(*cut.drop("_row", "ids").columns, F.col("ids").cast("array<long>").alias("ids"), "sequence_id", "offset")
+
+
+def _placed(cut: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """The kept rows ``piece, length, ids_crc32`` and more with ``sequence_id`` and ``offset``."""
     groups = max(1, math.ceil(cut.count() / group_rows))
     schema = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    integral = isinstance(cut.schema["doc_id"].dataType, T.IntegralType)
+    integral = "doc_id" in cut.columns and isinstance(cut.schema["doc_id"].dataType, T.IntegralType)
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         order = np.lexsort((frame["ids_crc32"], frame["piece"], -frame["length"]))

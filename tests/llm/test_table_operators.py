@@ -563,6 +563,23 @@ def test_packed_pieces_rebuild_the_documents(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_ids_stay_out_of_the_groups(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), int(id % 40)) AS text")
+    kind, seen = type(df.groupBy("doc_id")), []
+    apply = kind.applyInPandas
+    monkeypatch.setattr(kind, "applyInPandas", lambda self, f, schema: seen.append(schema.names) or apply(self, f, schema))
+    packed = packing.pack(df, length=32, group_rows=100, keep_ids=True)
+    got, path = packed.collect(), packing.public_tokenizer()
+    assert packed.schema["ids"].dataType.simpleString() == "array<bigint>"
+    assert seen and not any("ids" in names for names in seen)
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: r.piece):
+        by[r.doc_id] += r.ids
+    assert dict(by) == {r.doc_id: packing.token_ids(r.text, path).tolist() for r in df.collect()}
+    places = Counter((r.sequence_id, r.offset + i) for r in got for i in range(r.length))
+    assert max(places.values()) == 1 and max(at for _, at in places) < 32
+
+
 def test_sum_of_squares_choices_equal_brute_force():
     rng = random.Random(11)
     sizes = [rng.randint(1, 20) for _ in range(300)]
