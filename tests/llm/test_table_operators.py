@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -663,3 +664,27 @@ def test_jaccard_bound_keeps_every_link():
             else:
                 others, dropped = others + 1, dropped + (not jaccard._agree(a, b, percent))
     assert links > 200 and lost == 0 and 2 * dropped > others
+
+
+def test_parity_maps_lose_no_link_and_drop_most_others():
+    rng = random.Random(6)
+    links = lost = others = dropped = 0
+    for percent in (80, 90):
+        for _ in range(300):
+            n = rng.choice([1, 2, 5, 20, 60, 300, 700])
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            copy = base + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([0, 0, n // 8, n]))]
+            for _ in range(rng.choice([0, 1, 2, 3, n // 12, n // 6, n])):
+                copy[rng.randrange(n)] = f"v{rng.randrange(10**6)}"
+            token, begins = jaccard.token_sets(pa.array([" ".join(base), "", " ".join(copy)]), 1)
+            x, y = (set(token[begins[i] : begins[i + 1]].tolist()) for i in (0, 2))
+            a, none, b = jaccard.parity_maps(token, begins).to_pylist()
+            assert not any(none) and jaccard.least_apart(a, a) == 0
+            assert jaccard.least_apart(a, b) == jaccard.least_apart(b, a) <= len(x ^ y)
+            pair = pd.DataFrame({"a": [1], "b": [2], "na": [len(x)], "nb": [len(y)], "ma": [a], "mb": [b]})
+            gone = next(jaccard._near(percent)(iter([pair]))).empty
+            if 100 * len(x & y) >= percent * len(x | y):
+                links, lost = links + 1, lost + gone
+            else:
+                others, dropped = others + 1, dropped + gone
+    assert links > 150 and lost == 0 and 10 * dropped > 9 * others
