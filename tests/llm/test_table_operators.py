@@ -320,6 +320,53 @@ def test_components_of_chain_star_and_ring(spark):
     assert got == want
 
 
+def test_components_in_few_shuffles(spark):
+    """Stars and their tails take two groupings in all, whatever the number of partitions; the results are right."""
+    rng = random.Random(5)
+    names = rng.sample(range(10**6), 700)
+    links = [(names[i], names[0]) for i in range(1, 400)] + [(names[i], names[400]) for i in range(401, 650)]
+    links += [(names[i], names[rng.randrange(1, 400)]) for i in range(650, 700)]
+    held = {"spark.sql.shuffle.partitions": "101", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc, group = spark.sparkContext, "components in few shuffles"
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        got = dict(map(tuple, graph.components(spark.createDataFrame(links, "a long, b long").coalesce(2)).collect()))
+        sizes = {}
+        for job in sc.statusTracker().getJobIdsForGroup(group):
+            for stage in sc.statusTracker().getJobInfo(job).stageIds:
+                if info := sc.statusTracker().getStageInfo(stage):
+                    sizes[stage] = info.numTasks if info.numCompletedTasks else 0
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    one, two = {*names[:400], *names[650:]}, {*names[400:650]}
+    assert got == dict.fromkeys(one, min(one)) | dict.fromkeys(two, min(two))
+    assert 1 <= sum(n >= 101 for n in sizes.values()) <= 6, sizes
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(11)
+    for nodes, many in ((300, 200), (300, 330), (60, 400)):
+        names = rng.sample(range(-1000, 1000), nodes)
+        links = [(rng.choice(names), rng.choice(names)) for _ in range(many)]
+        root = {x: x for x in names}
+
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+        want = {x: top(x) for a, b in links if a != b for x in (a, b)}
+        assert dict(map(tuple, graph.components(spark.createDataFrame(links, "a long, b long")).collect())) == want
+
+
 # Neighbours
 
 
